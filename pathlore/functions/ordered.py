@@ -237,3 +237,14 @@ def blocked_pairs(df: DataFrame, key: str, blocks: int) -> DataFrame:
     return df.withColumn("_block", block).select("*", other).withColumns(
         {"_bi": F.least("_block", "_other"), "_bj": F.greatest("_block", "_other")}
     ).drop("_other")
+
+
+def blocked_product(left: DataFrame, right: DataFrame, blocks: int = 8) -> DataFrame:
+    """Every row of ``left`` beside every row of ``right`` as an equi-join on ``blocks ** 2`` keys.
+
+    For results that are a full grid by definition; both sides are distinct labels.
+    """
+    every = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
+    a = left.withColumn("_i", F.pmod(F.xxhash64(*left.columns), F.lit(blocks)).cast("int")).withColumn("_j", every)
+    b = right.withColumn("_j", F.pmod(F.xxhash64(*right.columns), F.lit(blocks)).cast("int")).withColumn("_i", every)
+    return a.join(b, ["_i", "_j"]).drop("_i", "_j")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from pathlore.functions.ordered import DEFAULT, SkewPolicy, with_position
+from pathlore.functions.ordered import DEFAULT, SkewPolicy, blocked_product, with_position
 
 # Page naming and page typing of the logs this engine reads.
 CLICK_ACTIONS = ("click-0", "click-1", "click-2", "click-3")
@@ -213,11 +213,7 @@ def common_members(
 def pairs_all(items: DataFrame, col: str = "activity", self_loop: bool = True, blocks: int = 8) -> DataFrame:
     """All ordered pairs of distinct items, spread over ``blocks * blocks`` join keys."""
     vocab = items.select(col).where(F.col(col).isNotNull()).distinct()
-    own = F.pmod(F.xxhash64(col), F.lit(blocks))
-    every = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
-    left = vocab.select(F.col(col).alias("src"), own.alias("_i"), every.alias("_j"))
-    right = vocab.select(F.col(col).alias("dst"), own.alias("_j"), every.alias("_i"))
-    out = left.join(right, ["_i", "_j"]).select("src", "dst")
+    out = blocked_product(vocab.select(F.col(col).alias("src")), vocab.select(F.col(col).alias("dst")), blocks)
     return out if self_loop else out.where("src <> dst")
 
 
