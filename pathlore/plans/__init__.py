@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-FAMILIES = ("log", "matrix", "score", "stats", "drift", "process", "spectral", "graph", "similarity", "predict", "stream")
+FAMILIES = ("log", "matrix", "score", "stats", "drift", "process", "spectral", "graph", "similarity", "predict", "source", "stream")
 
 
 def load() -> None:
