@@ -210,9 +210,31 @@ def cooccurrence(tokens: DataFrame, win: int, keys: tuple[str, ...] = ()) -> Dat
         *keys, F.col("pos").alias("p2"), F.col("token").alias("t2"), F.explode(F.array(block, block - 1)).alias("_b")
     )
     near = left.join(right, [*keys, "_b"]).where("p2 > p1 and p2 - p1 <= " + str(int(win)))
-    once = near.groupBy("t1", "t2").agg(_count().alias("n"))
-    both = once.select("t1", "t2", "n").unionByName(once.select(F.col("t2").alias("t1"), F.col("t1").alias("t2"), "n"))
-    return both.groupBy("t1", "t2").agg(F.sum("n").alias("n"))
+    return _symmetric_counts(near)
+
+
+def _symmetric_counts(pairs: DataFrame) -> DataFrame:
+    """Counts of (t1, t2) in both directions from pairs seen once, with one shuffle."""
+    once = pairs.groupBy(F.least("t1", "t2").alias("a"), F.greatest("t1", "t2").alias("b")).agg(_count().alias("n"))
+    there = F.struct(F.col("a").alias("t1"), F.col("b").alias("t2"))
+    back = F.struct(F.col("b").alias("t1"), F.col("a").alias("t2"))
+    same = F.col("a") == F.col("b")
+    ways = F.explode(F.when(same, F.array(there)).otherwise(F.array(there, back)))
+    return once.select(ways.alias("x"), F.when(same, 2 * F.col("n")).otherwise(F.col("n")).alias("n")).select("x.t1", "x.t2", "n")
+
+
+def cooccurrence_arrays(sequences: DataFrame, tokens: str, win: int) -> DataFrame:
+    """The same counts for sequences held as arrays: pairs are made inside the row, so only
+    pre-aggregated counts are shuffled."""
+    t = F.col(tokens)
+
+    def apart(k: Column) -> Column:
+        n = F.greatest(F.size(t) - k, F.lit(0))
+        return F.arrays_zip(F.slice(t, F.lit(1), n).alias("t1"), F.slice(t, k + 1, n).alias("t2"))
+
+    near = [apart(F.lit(k)) for k in range(1, win + 1)]
+    pairs = sequences.where(F.size(t) > 1).select(F.explode(F.concat(*near)).alias("p"))
+    return _symmetric_counts(pairs.select("p.t1", "p.t2"))
 
 
 def material_by_week(log: DataFrame, page: str = "page") -> DataFrame:

@@ -2,6 +2,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from pathlore.functions.ordered import with_position
 from pathlore.operators import matrix as M
 from pathlore.operators.log import join_material
 from pathlore.plans.registry import out, query, rnd
@@ -159,7 +160,22 @@ def variants(spark, sf):
       AND b.pos BETWEEN a.pos - 3 AND a.pos + 3 AND a.pos <> b.pos GROUP BY ALL""",
 )
 def cooccurrence(spark, sf):
-    return M.cooccurrence(M.token_positions(table(spark, sf, "documents"), "doc_id", "text"), 3, ("doc_id",))
+    words = table(spark, sf, "documents").select(F.split("text", r"\s+").alias("tokens"))
+    return M.cooccurrence_arrays(words, "tokens", 3)
+
+
+_SEQ = "sq AS (SELECT user_id, activity, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS pos FROM log)"
+
+
+@query(
+    "cooccurrence_positions",
+    with_("log", _SEQ)
+    + """SELECT a.activity AS t1, b.activity AS t2, count(*) AS n FROM sq a JOIN sq b ON a.user_id = b.user_id
+      AND b.pos BETWEEN a.pos - 4 AND a.pos + 4 AND a.pos <> b.pos GROUP BY ALL""",
+)
+def cooccurrence_positions(spark, sf):
+    placed = with_position(event_log(spark, sf), ["user_id"], M.ORDER, "pos")
+    return M.cooccurrence(placed.withColumnRenamed("activity", "token"), 4, ("user_id",))
 
 
 @query("material_by_week", with_("visits") + "SELECT page, week, count(*) AS n FROM visits GROUP BY ALL")
