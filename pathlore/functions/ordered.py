@@ -23,13 +23,15 @@ CHUNK = "_chunk"
 
 @dataclass(frozen=True)
 class SkewPolicy:
-    """When a key is hot and how finely it is cut. ``chunks`` is a power of two."""
+    """When a key is hot and how finely it is cut: into ranges of about ``chunk_rows`` rows, at
+    most ``chunks`` (a power of two)."""
 
     max_keys: int = 1024
     tracked: int = 16384  # sketch size, finds every key above about 1/5000 of the rows
     share: float = 1 / 1024
     min_rows: int = 1_000_000
-    chunks: int = 1024
+    chunk_rows: int = 500_000
+    chunks: int = 4096
 
 
 DEFAULT = SkewPolicy()
@@ -84,6 +86,14 @@ def _quantile_bounds(rows: DataFrame, chunks: int) -> tuple[float, ...]:
     return tuple(found or ())
 
 
+def _ranges(size: int, policy: SkewPolicy) -> int:
+    """Power of two of ranges for ``size`` rows."""
+    wanted = 2
+    while wanted < policy.chunks and wanted * policy.chunk_rows < size:
+        wanted *= 2
+    return wanted
+
+
 def find_cut(df: DataFrame, keys: list[str], order: str, policy: SkewPolicy = DEFAULT) -> Cut:
     """Hot keys of ``df`` and the order bounds for their rows; two small results at most."""
     memo = (df.semanticHash(), tuple(keys), order, policy)
@@ -94,12 +104,13 @@ def find_cut(df: DataFrame, keys: list[str], order: str, policy: SkewPolicy = DE
         top = F.expr(f"approx_top_k(_kh, {policy.max_keys}, {policy.tracked})").alias("top")
         found = rows.agg(F.count(F.lit(1)).alias("n"), top).first()
         limit = max(policy.min_rows, policy.share * found["n"])
-        hot = tuple(t["item"] for t in (found["top"] or []) if t["count"] >= limit)
-        rows = rows.where(F.col("_kh").isin(list(hot))) if hot else None
+        tops = [t for t in (found["top"] or []) if t["count"] >= limit]
+        hot, size = tuple(t["item"] for t in tops), sum(t["count"] for t in tops)
+        rows = rows.where(F.col("_kh").isin(list(hot)))
     else:
-        hot = ()
-        rows = rows if rows.count() >= policy.min_rows else None
-    cut = Cut(hot, _quantile_bounds(rows, policy.chunks)) if rows is not None else Cut()
+        hot, size = (), rows.count()
+        size = size if size >= policy.min_rows else 0
+    cut = Cut(hot, _quantile_bounds(rows, _ranges(size, policy))) if size else Cut()
     _MEMO[memo] = cut
     return cut
 

@@ -173,9 +173,10 @@ def edge_betweenness_tree(tree: DataFrame) -> DataFrame:
     )
 
 
-def girvan_newman_tree(tree: DataFrame, levels: int = 20) -> DataFrame:
+def girvan_newman_tree(tree: DataFrame, levels: int = 20, whole: bool = False) -> DataFrame:
     """Cuts the most central edge again and again: level k (from 0) has k + 2 communities.
 
+    ``whole`` adds level -1, the uncut tree.
     A community is named by its top node. A cut is an interval of the tour, so component sizes
     after each cut follow from the few intervals cut before; a level is one pass over the nodes.
     Ties are cut at the smallest node.
@@ -189,7 +190,7 @@ def girvan_newman_tree(tree: DataFrame, levels: int = 20) -> DataFrame:
 
     def member(known: list[dict]) -> Column:
         """Index of the innermost cut interval."""
-        found = None
+        found: Column | None = None
         for k in sorted(range(len(known)), key=lambda i: known[i]["size"]):
             found = F.when(inside(known[k]), k) if found is None else found.when(inside(known[k]), k)
         return found
@@ -197,13 +198,13 @@ def girvan_newman_tree(tree: DataFrame, levels: int = 20) -> DataFrame:
     for _ in range(min(levels, top["size"] - 1)):
         own = [c["size"] - sum(d["size"] for d in cuts if d["up"] == k) for k, c in enumerate(cuts)]
         comp = F.col("_comp")
-        whole = F.element_at(F.array(*[F.lit(s) for s in own]), comp + 1)
+        piece = F.element_at(F.array(*[F.lit(s) for s in own]), comp + 1)
         below = F.col("size")
         for c in cuts[1:]:
             nested = (F.col("tin") < c["tin"]) & (F.col("tout") > c["tout"]) & (comp == c["up"])
             below = below - F.when(nested, c["size"]).otherwise(0)
         used = [c["node"] for c in cuts]
-        scored = table.where(~F.col("node").isin(used)).withColumn("_comp", member(cuts)).withColumn("_s", below).withColumn("_b", F.col("_s") * (whole - F.col("_s")))
+        scored = table.where(~F.col("node").isin(used)).withColumn("_comp", member(cuts)).withColumn("_s", below).withColumn("_b", F.col("_s") * (piece - F.col("_s")))
         best = scored.orderBy(F.desc("_b"), "node").select("node", "tin", "tout", "size", "_comp").first()
         new = {"node": best["node"], "tin": best["tin"], "tout": best["tout"], "size": best["size"], "up": best["_comp"]}
         for c in cuts[1:]:  # cuts already below the new one hang on it from now on
@@ -211,7 +212,7 @@ def girvan_newman_tree(tree: DataFrame, levels: int = 20) -> DataFrame:
                 c["up"] = len(cuts)
         cuts.append(new)
     names = F.array(*[F.lit(c["node"]) for c in cuts])
-    per_level = F.array(*[F.struct(F.lit(k).cast("long").alias("level"), member(cuts[: k + 2]).alias("_k")) for k in range(len(cuts) - 1)])
+    per_level = F.array(*[F.struct(F.lit(k).cast("long").alias("level"), member(cuts[: k + 2]).alias("_k")) for k in range(-1 if whole else 0, len(cuts) - 1)])
     rows = table.select("node", F.explode(per_level).alias("_l"))
     return rows.select("_l.level", "node", F.element_at(names, F.col("_l._k") + 1).alias("community"))
 
@@ -235,9 +236,12 @@ def community_flatten(communities: DataFrame) -> DataFrame:
     return communities.select(F.explode("members").alias("node"), "community")
 
 
-def community_regroup(members: DataFrame) -> DataFrame:
-    """(node, community) -> (community, members array); for communities that are to be shown."""
-    return members.groupBy("community").agg(F.sort_array(F.collect_list("node")).alias("members"))
+def community_regroup(members: DataFrame, limit: int = 10_000) -> DataFrame:
+    """(node, community) -> (community, part, members array). A community of more than about
+    ``limit`` nodes is spread over several parts, so no row grows with it."""
+    sizes = members.groupBy("community").agg(F.ceil(_count() / limit).cast("int").alias("_parts"))
+    placed = members.join(sizes, "community").withColumn("part", F.pmod(F.xxhash64("node"), F.col("_parts")).cast("int"))
+    return placed.groupBy("community", "part").agg(F.sort_array(F.collect_list("node")).alias("members"))
 
 
 def community_purity(members: DataFrame, excellent: DataFrame, keys: tuple[str, ...] = ("level", "community")) -> DataFrame:
@@ -353,14 +357,15 @@ def _local_moves(arcs: DataFrame, key: list[str], rounds: int) -> DataFrame:
         at_home = (F.col("_c") == F.col("community")).cast("int")
         pick = choice.groupBy(*key, "a").agg(F.max(F.struct(gain.alias("g"), at_home.alias("h"), F.col("_c"))).alias("b"))
         turn = F.pmod(F.xxhash64("a"), F.lit(2)) == r % 2
-        moved = mine.join(pick, [*key, "a"]).select(*link, *([] if key else []), F.col("a").alias("node"), F.when(turn, F.col("b._c")).otherwise(F.col("community")).alias("_new"), "community", "k")
+        moved = mine.join(pick, [*key, "a"]).select(*link, F.col("a").alias("node"), F.when(turn, F.col("b._c")).otherwise(F.col("community")).alias("_new"), "community", "k")
         moved = cut_lineage(moved)
         new = moved.select(*key, "node", F.col("_new").alias("community"), "k")
         fresh = score(new).withColumnRenamed("q", "_q")
         better = cut_lineage(fresh.join(best, link).select(*link, F.greatest("_q", "q").alias("q"), (F.col("_q") > F.col("q") + 1e-12).alias("_up")))
         improved = not better.where("_up").isEmpty()
         if improved:
-            labels = cut_lineage(moved.join(better.select(*link, "_up"), link).select(*key, "node", F.when(F.col("_up"), F.col("_new")).otherwise(F.col("community")).alias("community"), "k"))
+            chosen = F.when(F.col("_up"), F.col("_new")).otherwise(F.col("community"))
+            labels = moved.join(better.select(*link, "_up"), link).select(*key, "node", chosen.alias("community"), "k")
         best = better.select(*link, "q")
         misses = 0 if improved else misses + 1
         if misses == 2:  # neither half can improve

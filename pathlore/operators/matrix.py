@@ -91,13 +91,16 @@ def eventually_follow(log: DataFrame, mode: str = "count", policy: SkewPolicy =
     if mode == "time":  # times relative to one constant keep the sums small
         zero = log.agg(F.min(F.unix_micros(F.col("ts").cast("timestamp"))) / F.lit(1_000_000.0)).scalar()
         at = at - zero
+    # one shuffle by case (and range, for hot cases) serves the join, the window and the sums
+    part = ["case_id"] if cut.plain else ["case_id", CHUNK]
     events = with_chunk(placed, ["case_id"], "ts", cut).select(
         *keys, *ORDER, CHUNK, F.col("activity").alias("dst"), at.alias("_at")
     )
-    parts = events.select(*keys, CHUNK, F.col("dst").alias("src")).distinct()
-    grid = events.join(parts, [*keys, CHUNK])
+    events = events.repartition(*[F.col(c) for c in part])
+    seen = events.select(*part, F.col("dst").alias("src")).distinct()
+    grid = events.join(seen, part)
     mine = (F.col("src") == F.col("dst")).cast("long")
-    before = Window.partitionBy("case_id", CHUNK, "src").orderBy(*ORDER).rowsBetween(Window.unboundedPreceding, -1)
+    before = Window.partitionBy(*part, "src").orderBy(*ORDER).rowsBetween(Window.unboundedPreceding, -1)
     grid = grid.withColumns(
         {"_n": F.coalesce(F.sum(mine).over(before), F.lit(0)), "_s": F.coalesce(F.sum(mine * F.col("_at")).over(before), F.lit(0.0))}
     ).where("_n > 0")
@@ -170,7 +173,8 @@ def complete_time(log: DataFrame, policy: SkewPolicy = DEFAULT) -> DataFrame:
 
 
 def variants(log: DataFrame, k: int = 10, policy: SkewPolicy = DEFAULT) -> DataFrame:
-    """The k most frequent activity sequences with their number of cases.
+    """The k most frequent activity sequences with their number of cases (ties: shorter first,
+    then the smaller first case).
 
     Cases are grouped by a fingerprint of (position, activity), a sum that combines before the
     shuffle; only one case of each of the k winners is written out as text.
@@ -185,13 +189,11 @@ def variants(log: DataFrame, k: int = 10, policy: SkewPolicy = DEFAULT) -> DataF
     )
     keys = ["length", "_f1", "_f2"]
     groups = prints.groupBy(*keys).agg(_count().alias("n"), F.min("case_id").alias("case_id"))
-    # ties at rank k are settled by the text, so all groups that tie stay until then
-    floor = groups.orderBy(F.desc("n")).limit(k).agg(F.min("n")).scalar()
-    top = groups.where(F.col("n") >= floor).select("case_id", "n")
+    top = groups.orderBy(F.desc("n"), "length", "case_id").limit(k).select("case_id", "length", "n")
     chosen = log.join(top.select("case_id"), "case_id", "left_semi")
     entries = F.sort_array(F.collect_list(F.struct(*ORDER, "activity")))
     text = chosen.groupBy("case_id").agg(F.concat_ws(">", F.transform(entries, lambda e: e["activity"])).alias("variant"))
-    return text.join(top, "case_id").select("variant", "n").orderBy(F.desc("n"), "variant").limit(k)
+    return text.join(top, "case_id").orderBy(F.desc("n"), "length", "case_id").select("variant", "n")
 
 
 def token_positions(df: DataFrame, key: str, text: str, pattern: str = r"\s+") -> DataFrame:

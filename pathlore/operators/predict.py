@@ -11,7 +11,7 @@ from functools import reduce
 
 import numpy as np
 import pandas as pd
-from pyspark.ml import Pipeline, PipelineModel
+from pyspark.ml import PipelineModel
 from pyspark.ml.classification import (
     DecisionTreeClassifier,
     GBTClassifier,
@@ -66,14 +66,17 @@ def _ml_scorer(estimator) -> Callable[[DataFrame], tuple[Scorer, object]]:
     return fit
 
 
-def knn_classify(train: DataFrame, test: DataFrame, k: int = 7, block: int = 4096) -> DataFrame:
+def knn_classify(train: DataFrame, test: DataFrame, k: int = 7, block: int | None = None) -> DataFrame:
     """Share of label 1 among the k nearest training rows (ties: smaller id), as ``score``.
 
     Training and test rows are hashed to blocks; each block pair yields its own k nearest per
     test row, and the k best of those few candidates are kept. Exact, and no task holds more than
     one block of either side.
     """
-    n_train, n_test = train.count(), test.count()
+    head = train.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("vec")).alias("p")).first()
+    n_train, n_test = head["n"], test.count()
+    # large blocks mean few copies of each row; about 32 MB of vectors per side and task
+    block = block or max(256, min(65_536, 4_000_000 // max(1, head["p"] or 1)))
     bt, bq = max(1, -(-n_train // block)), max(1, -(-n_test // block))
     kind = dict(test.dtypes)["id"]
     every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
@@ -267,6 +270,3 @@ def save_model(model, path: str) -> None:
 def load_model(path: str) -> PipelineModel:
     return PipelineModel.load(path)
 
-
-def fit_pipeline(stages: list, train: DataFrame) -> PipelineModel:
-    return Pipeline(stages=stages).fit(train)

@@ -48,21 +48,23 @@ def dependency_graph(graph: DataFrame, threshold: float = 0.5) -> DataFrame:
     return both.select("src", "dst", "n", dep.alias("dependency")).where(F.col("dependency") >= threshold)
 
 
-def _allowed(log: DataFrame, model: DataFrame, policy: SkewPolicy) -> DataFrame:
-    """One row per event: dst of its step (null at the end of a case) and whether the model has it."""
-    nexts = with_next(log, ["case_id"], ORDER, {"dst": "activity"}, policy).select(
-        "case_id", "user_id", F.col("activity").alias("src"), "dst"
-    )
+def _moves_of_cases(log: DataFrame, model: DataFrame, policy: SkewPolicy) -> DataFrame:
+    """Steps per (case, src, dst), null dst for the end of a case, and whether the model has them.
+
+    Counted before the join, in the partitioning by case that finding the steps has made.
+    """
+    nexts = with_next(log, ["case_id"], ORDER, {"dst": "activity"}, policy)
+    moves = nexts.groupBy("case_id", F.col("activity").alias("src"), "dst").agg(F.count(F.lit(1)).alias("n"))
     edges = model.select("src", "dst", F.lit(1).alias("_in")).distinct()
-    return nexts.join(edges, ["src", "dst"], "left")
+    return moves.join(edges, ["src", "dst"], "left")
 
 
-def _fitness(rows: DataFrame, by: list[str]) -> DataFrame:
-    step = F.col("dst").isNotNull()
-    per_case = rows.groupBy(*by, "case_id").agg(
-        F.count_if(step).alias("steps"), F.count_if(step & F.col("_in").isNotNull()).alias("ok")
+def _fitness(moves: DataFrame) -> DataFrame:
+    n = F.when(F.col("dst").isNotNull(), F.col("n")).otherwise(0)
+    per_case = moves.groupBy("case_id").agg(
+        F.sum(n).alias("steps"), F.sum(F.when(F.col("_in").isNotNull(), n).otherwise(0)).alias("ok")
     )
-    return per_case.groupBy(*by).agg(
+    return per_case.agg(
         F.try_divide(F.sum("ok"), F.sum("steps")).alias("fit_steps"),
         F.avg((F.col("ok") == F.col("steps")).cast("double")).alias("fit_cases"),
     )
@@ -70,7 +72,7 @@ def _fitness(rows: DataFrame, by: list[str]) -> DataFrame:
 
 def dfg_fitness(log: DataFrame, model: DataFrame, policy: SkewPolicy = DEFAULT) -> DataFrame:
     """Share of steps the model allows and share of cases whose steps are all allowed."""
-    return _fitness(_allowed(log, model, policy), [])
+    return _fitness(_moves_of_cases(log, model, policy))
 
 
 def dfg_precision(log: DataFrame, model: DataFrame, policy: SkewPolicy = DEFAULT) -> DataFrame:

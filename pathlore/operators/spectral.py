@@ -27,38 +27,58 @@ _SPREAD = 64
 # ---- scaling in long form -------------------------------------------------------------------
 
 
-def dense(matrix: DataFrame, row: str, feature: str, value: str = "value", by: tuple[str, ...] = ()) -> DataFrame:
-    """All cells of the matrix per ``by``, absent ones 0.
+def _grid(matrix: DataFrame, row: str, labels: DataFrame, by: tuple[str, ...]) -> DataFrame:
+    """Every row of each ``by`` beside every label row of it.
 
-    The few feature labels are copied to ``_SPREAD`` salts, so a week with most of the rows is
-    spread over that many tasks.
+    The few labels are copied to ``_SPREAD`` salts, so a week with most of the rows is spread
+    over that many tasks.
     """
     rows = matrix.select(*by, row).distinct().withColumn("_salt", F.pmod(F.xxhash64(row), F.lit(_SPREAD)).cast("int"))
-    names = matrix.select(*by, feature).distinct().withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(_SPREAD - 1))))
-    grid = rows.join(names, [*by, "_salt"]).drop("_salt").withColumn(value, F.lit(0.0))
+    copies = labels.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(_SPREAD - 1))))
+    return rows.join(copies, [*by, "_salt"]).drop("_salt")
+
+
+def dense(matrix: DataFrame, row: str, feature: str, value: str = "value", by: tuple[str, ...] = ()) -> DataFrame:
+    """All cells of the matrix per ``by``, absent ones 0."""
+    grid = _grid(matrix, row, matrix.select(*by, feature).distinct(), by)
     cells = matrix.select(*by, row, feature, F.col(value).cast("double").alias(value))
-    return grid.unionByName(cells).groupBy(*by, row, feature).agg(F.sum(value).alias(value))
+    return grid.join(cells, [*by, row, feature], "left").na.fill(0.0, [value])
+
 
+def _scaled(matrix: DataFrame, row: str, feature: str, value: str, by: tuple[str, ...], out: Column) -> DataFrame:
+    """Dense cells as ``out`` of the cell ``_x`` and its feature's _m, _s, _lo, _hi over all rows.
 
-def _scaled(cells: DataFrame, feature: str, by: tuple[str, ...], aggs: list[Column], out: Column, value: str) -> DataFrame:
-    stats = cells.groupBy(*by, feature).agg(*aggs)
-    joined = cells.join(stats, [*by, feature])
-    return joined.withColumn(value, out).select(*cells.columns)
+    The measures come from the present cells and the number of absent zeros, so the dense form
+    is built once and shuffled once.
+    """
+    x = F.col(value).cast("double")
+    present = matrix.groupBy(*by, feature).agg(
+        F.count(F.lit(1)).alias("_c"), F.avg(x).alias("_mc"), F.var_pop(x).alias("_vc"), F.min(x).alias("_lo"), F.max(x).alias("_hi")
+    )
+    sizes = matrix.groupBy(*by).agg(F.count_distinct(row).alias("_n"))
+    present = present.join(sizes, list(by)) if by else present.withColumn("_n", sizes.scalar())
+    c, n, absent = F.col("_c"), F.col("_n"), F.col("_n") > F.col("_c")
+    spread = F.col("_vc") * c / n + F.col("_mc") * F.col("_mc") * c * (n - c) / (n * n)
+    labels = present.select(
+        *by, feature, (F.col("_mc") * c / n).alias("_m"), F.sqrt(spread).alias("_s"),
+        F.when(absent, F.least("_lo", F.lit(0.0))).otherwise(F.col("_lo")).alias("_lo"),
+        F.when(absent, F.greatest("_hi", F.lit(0.0))).otherwise(F.col("_hi")).alias("_hi"),
+    )
+    cells = matrix.select(*by, row, feature, x.alias("_x"))
+    full = _grid(matrix, row, labels, by).join(cells, [*by, row, feature], "left").na.fill(0.0, ["_x"])
+    return full.select(*by, row, feature, F.when(F.col("_hi") > F.col("_lo"), out).otherwise(0.0).alias(value))
 
 
 def standardise(matrix: DataFrame, row: str = "user_id", feature: str = "feature", value: str = "value", by: tuple[str, ...] = ()) -> DataFrame:
-    """(x - mean) / population sd per feature with zeros counted; a constant feature becomes 0."""
-    cells = dense(matrix, row, feature, value, by)
-    x = (F.col(value) - F.col("_m")) / F.col("_s")
-    aggs = [F.avg(value).alias("_m"), F.stddev_pop(value).alias("_s"), F.min(value).alias("_lo"), F.max(value).alias("_hi")]
-    return _scaled(cells, feature, by, aggs, F.when(F.col("_hi") > F.col("_lo"), x).otherwise(0.0), value)
+    """(x - mean) / population sd per feature with zeros counted; a constant feature becomes 0.
+
+    ``matrix`` has at most one row per cell.
+    """
+    return _scaled(matrix, row, feature, value, by, (F.col("_x") - F.col("_m")) / F.col("_s"))
 
 
 def minmax(matrix: DataFrame, row: str = "user_id", feature: str = "feature", value: str = "value", by: tuple[str, ...] = ()) -> DataFrame:
-    cells = dense(matrix, row, feature, value, by)
-    x = (F.col(value) - F.col("_lo")) / (F.col("_hi") - F.col("_lo"))
-    aggs = [F.min(value).alias("_lo"), F.max(value).alias("_hi")]
-    return _scaled(cells, feature, by, aggs, F.when(F.col("_hi") > F.col("_lo"), x).otherwise(0.0), value)
+    return _scaled(matrix, row, feature, value, by, (F.col("_x") - F.col("_lo")) / (F.col("_hi") - F.col("_lo")))
 
 
 def l2_normalise(matrix: DataFrame, row: str = "user_id", value: str = "value", by: tuple[str, ...] = ()) -> DataFrame:

@@ -114,7 +114,7 @@ def girvan_newman_tree(spark, sf):
 @query("split_hierarchy")
 def split_hierarchy(spark, sf):
     tree = G.mst(_distances(spark, sf))
-    return G.split_hierarchy(G.girvan_newman_tree(tree, 10))
+    return G.split_hierarchy(G.girvan_newman_tree(tree, 10, whole=True))
 
 
 _MEM = """mb AS (SELECT c_custkey AS node, CAST(l AS BIGINT) AS level, c_custkey % CAST(pow(2, l) AS BIGINT) AS community, c_acctbal > 5000 AND c_custkey % 5 <> 1 AS ex

@@ -144,7 +144,8 @@ def complete_time(spark, sf):
 @query(
     "variants",
     with_("log", "v AS (SELECT case_id, string_agg(activity, '>' ORDER BY ts, event_id) AS variant FROM log GROUP BY case_id)")
-    + "SELECT variant, count(*) AS n FROM v GROUP BY variant ORDER BY n DESC, variant LIMIT 10",
+    + """SELECT variant, n FROM (SELECT variant, count(*) AS n, min(case_id) AS c FROM v GROUP BY variant)
+      ORDER BY n DESC, len(string_split(variant, '>')), c LIMIT 10""",
 )
 def variants(spark, sf):
     return M.variants(event_log(spark, sf), 10)

@@ -30,13 +30,17 @@ def build_session(master: str | None = None, partitions: int | None = None, **co
     return builder.getOrCreate()
 
 
+_OWN_DIR: list[str] = []
+
+
 def checkpoint_dir(spark: SparkSession) -> str:
     """The shared folder named by ``spark.checkpoint.dir``; a temporary one only where unset."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        folder = tempfile.mkdtemp(prefix="pathlore-ckpt-")
-        spark.conf.set("spark.checkpoint.dir", folder)
-    return folder
+    if folder:
+        return folder
+    if not _OWN_DIR:
+        _OWN_DIR.append(tempfile.mkdtemp(prefix="pathlore-"))
+    return _OWN_DIR[0]
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:

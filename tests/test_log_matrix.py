@@ -60,10 +60,10 @@ def test_empty_log(spark):
     assert P.dfg_fitness(empty, spark.createDataFrame([("a", "b")], "src string, dst string")).first()["fit_steps"] is None
 
 
-def test_variants_ties_are_settled_by_text(spark):
+def test_variant_ties_go_to_the_shorter(spark):
     rows = [(f"c{i}", i, t(j), 10 * i + j, a, 0) for i, s in enumerate(["ab", "ab", "ba", "aab", "b"]) for j, a in enumerate(s)]
     top = M.variants(spark.createDataFrame(rows, LOG), 3).collect()
-    assert [tuple(r) for r in top] == [("a>b", 2), ("a>a>b", 1), ("b", 1)]
+    assert [tuple(r) for r in top] == [("a>b", 2), ("b", 1), ("b>a", 1)]
 
 
 def test_cooccurrence_toy(spark):

@@ -12,9 +12,9 @@ from pathlore.operators import process as P
 from pathlore.operators import stats as T
 from pathlore.plans.tables import event_log, table, user_log
 
-HOT = SkewPolicy(min_rows=1, share=0.0, chunks=8)
+HOT = SkewPolicy(min_rows=1, share=0.0, chunk_rows=1, chunks=8)
 # only the largest keys: both routes in one query
-SOME = SkewPolicy(max_keys=5, min_rows=1, share=0.0, chunks=16)
+SOME = SkewPolicy(max_keys=5, min_rows=1, share=0.0, chunk_rows=1, chunks=16)
 
 
 def rows(df):
