@@ -61,8 +61,9 @@ def random_walks(
 
     Each node's neighbours own slices of [0, 1); the slices are filed under as many slots as the
     node has neighbours, so a step is an equi-join on (node, slot) that meets about two rows even
-    at a hub. Second-order weights use rejection: a step back, near or away is kept with
-    probability proportional to 1/p, 1 and 1/q, and tried again until kept.
+    at a hub. A step back, near or away weighs 1/p, 1 and 1/q. For p < 1 the extra weight of the
+    way back is drawn first, from the share of that edge; what remains uses rejection, which is
+    only needed for p > 1 or q other than 1, and tries again until a step is kept.
     """
     key = key or []
     arcs = _arcs(edges.where("w > 0"), key).groupBy(*key, "a", "b").agg(F.sum("w").alias("w"))
@@ -70,7 +71,7 @@ def random_walks(
     size = arcs.groupBy(*key, "a").agg(F.sum("w").alias("tot"), F.count(F.lit(1)).alias("deg"))
     placed = running_totals(arcs, [*key, "a"], ["b"], {"cum": "w"}, policy).join(size, [*key, "a"])
     lo, hi = (F.col("cum") - F.col("w")) / F.col("tot"), F.col("cum") / F.col("tot")
-    placed = placed.select(*key, "a", "b", "deg", lo.alias("lo"), F.when(F.col("cum") >= F.col("tot") * (1 - 1e-12), 1.0).otherwise(hi).alias("hi"))
+    placed = placed.select(*key, "a", "b", "deg", (F.col("w") / F.col("tot")).alias("share"), lo.alias("lo"), F.when(F.col("cum") >= F.col("tot") * (1 - 1e-12), 1.0).otherwise(hi).alias("hi"))
     last = F.least(F.floor(F.col("hi") * F.col("deg")), F.col("deg") - 1)
     slots = placed.select(*key, F.col("a").alias("cur"), "b", "lo", "hi", F.explode(F.sequence(F.floor(F.col("lo") * F.col("deg")), last)).alias("slot"))
     slots = cut_lineage(slots)
@@ -78,8 +79,9 @@ def random_walks(
     walkers = size.select(*key, F.col("a").alias("start"), F.explode(F.sequence(F.lit(1), F.lit(per_node))).alias("walk"))
     walkers = walkers.select("*", F.col("start").alias("cur"), F.lit(None).cast(dict(arcs.dtypes)["a"]).alias("prev"), F.array("start").alias("path"))
     near = arcs.select(*key, F.col("a").alias("prev"), F.col("b"), F.lit(True).alias("_near"))
-    biased = p != 1.0 or q != 1.0
-    top = max(1.0, 1 / p, 1 / q)
+    shares = cut_lineage(placed.select(*key, F.col("a").alias("cur"), F.col("b").alias("prev"), "share")) if p < 1 else None
+    rejecting = p > 1 or q != 1
+    top = max(1.0, 1 / q)
 
     def propose(w: DataFrame, step: int, attempt: int) -> DataFrame:
         u = _uniform(*[F.col(k) for k in key], F.col("start"), F.col("walk"), F.lit(step), F.lit(attempt), F.lit(seed))
@@ -91,15 +93,21 @@ def random_walks(
         pending, attempt = walkers, 0
         while True:
             tried = propose(pending, step, attempt)
-            if biased and step > 1:
-                alpha = F.when(F.col("b") == F.col("prev"), 1 / p).when(F.col("_near"), 1.0).otherwise(1 / q)
-                coin = _uniform(F.col("start"), F.col("walk"), F.lit(step), F.lit(attempt), F.lit(seed), F.lit("keep"))
-                tried = tried.join(near, [*key, "prev", "b"], "left").withColumn("_ok", coin < alpha / top).drop("_near")
-                tried = cut_lineage(tried)
+            named = [F.col(k) for k in key] + [F.col("start"), F.col("walk"), F.lit(step), F.lit(attempt), F.lit(seed)]
+            back = F.lit(False)
+            if p < 1 and step > 1:
+                extra = (1 / p - 1) * F.col("share")
+                tried = tried.join(shares, [*key, "cur", "prev"]).withColumn("_back", _uniform(*named, F.lit("back")) < extra / (1 + extra))
+                tried = tried.withColumn("b", F.when(F.col("_back"), F.col("prev")).otherwise(F.col("b"))).drop("share")
+                back = F.col("_back")
+            if rejecting and step > 1:
+                alpha = F.when(back, 1.0).when(F.col("b") == F.col("prev"), min(1.0, 1 / p)).when(F.col("_near"), 1.0).otherwise(1 / q)
+                keep = _uniform(*named, F.lit("keep")) < alpha / top
+                tried = cut_lineage(tried.join(near, [*key, "prev", "b"], "left").withColumn("_ok", keep).drop("_near", "_back"))
                 kept = tried.where("_ok").drop("_ok")
                 pending = tried.where("not _ok").drop("_ok", "b")
             else:
-                kept, pending = tried, None
+                kept, pending = tried.drop("_back"), None
             moved = kept if moved is None else moved.unionByName(kept)
             attempt += 1
             if pending is None or pending.isEmpty():

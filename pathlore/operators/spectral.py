@@ -137,10 +137,11 @@ def _gram(vectors: DataFrame, vec: str, shift: np.ndarray) -> np.ndarray:
 
 def moments(vectors: DataFrame, vec: str = "vec", limit: int = MAX_FEATURES) -> tuple[int, np.ndarray, np.ndarray]:
     """Row count, column means and the centred cross-product matrix."""
-    head = vectors.agg(F.count(F.lit(1)).alias("n"), F.max(F.size(vec)).alias("p")).first()
+    mean = vector_to_array(Summarizer.mean(array_to_vector(F.col(vec))))
+    head = vectors.agg(F.count(F.lit(1)).alias("n"), F.max(F.size(vec)).alias("p"), mean.alias("m")).first()
     if head["p"] is not None and head["p"] > limit:
         raise ValueError(f"more than {limit} features: the p x p matrix does not fit the driver")
-    mean = np.array(vectors.agg(vector_to_array(Summarizer.mean(array_to_vector(F.col(vec)))).alias("m")).first()["m"])
+    mean = np.array(head["m"])
     return head["n"], mean, _gram(vectors, vec, mean)
 
 

@@ -8,6 +8,7 @@ from pathlore.operators.matrix import direct_follow, case_to_user
 from pathlore.operators.stats import corr_matrix
 from pathlore.plans.registry import out, query, rnd
 from pathlore.plans.tables import event_log, features, vectors, with_
+from pathlore.session import cut_lineage
 
 _UM = "um AS (SELECT week, user_id, activity AS feature, CAST(count(*) AS DOUBLE) AS value FROM log GROUP BY ALL)"
 _DENSE = """dn AS (SELECT r.week AS week, r.user_id AS user_id, f.feature AS feature, coalesce(um.value, 0) AS value FROM (SELECT DISTINCT week, user_id FROM um) r
@@ -24,6 +25,13 @@ def _user_moves(spark, sf):
     return m.select("user_id", F.concat_ws("-", "src", "dst").alias("feature"), F.col("value").cast("double").alias("value"))
 
 
+def _user_vectors(spark, sf):
+    """The matrix as vectors, written once because a decomposition reads them several times."""
+    m = _user_moves(spark, sf)
+    names = X.feature_names(m)
+    return names, cut_lineage(X.to_vectors(m, names))
+
+
 @query(
     "standardise",
     with_("log", _UM, _DENSE)
@@ -158,9 +166,7 @@ for _kind, (_alpha, _beta) in X.CLEANING.items():
 
     @query(f"rmt_clean_{_kind}")
     def rmt_clean(spark, sf, alpha=_alpha, beta=_beta):
-        m = _user_moves(spark, sf)
-        names = X.feature_names(m)
-        v = X.to_vectors(m, names)
+        names, v = _user_vectors(spark, sf)
         cleaned = X.rmt_clean(v, X.pca(v, names), alpha, beta)
         return out(X.to_long(cleaned, names, vec="cleaned"))
 
@@ -238,7 +244,7 @@ def _users_as_variables(spark, sf):
     m = _user_moves(spark, sf)
     flipped = X.transpose_view(m).select(F.col("user_id").alias("move"), F.col("feature").alias("user_id"), "value")
     names = X.feature_names(flipped, "user_id")
-    return m, X.pca(X.to_vectors(flipped, names, "move", "user_id"), names)
+    return m, X.pca(cut_lineage(X.to_vectors(flipped, names, "move", "user_id")), names)
 
 
 def _result(m):
@@ -253,16 +259,13 @@ def pc_sign_vs_result(spark, sf):
 
 @query("pc_group_test")
 def pc_group_test(spark, sf):
-    m = _user_moves(spark, sf)
-    names = X.feature_names(m)
-    v = X.to_vectors(m, names)
+    names, v = _user_vectors(spark, sf)
     scores = X.scores_long(X.pca_scores(v, X.pca(v, names), 4))
-    return out(X.pc_group_test(scores, _result(m).withColumnRenamed("result", "cohort"), (1, 0)))
+    return out(X.pc_group_test(scores, _result(v).withColumnRenamed("result", "cohort"), (1, 0)))
 
 
 @query("edges_from_contribution")
 def edges(spark, sf):
-    m = _user_moves(spark, sf)
-    names = X.feature_names(m)
-    table = X.pca(X.to_vectors(m, names), names).table(spark)
+    names, v = _user_vectors(spark, sf)
+    table = X.pca(v, names).table(spark)
     return out(edges_from_contribution(X.pc_contribution(table, 5), 10))
