@@ -20,17 +20,17 @@ def put(path, text):
         f.write(text)
 
 
-LINES = """2018-09-24 10:00:00 ca116 u-1 s1 load /week01/lab.html#top of page
+LINES = """2018-09-24 10:00:00 m1 u-1 s1 load /week01/lab.html#top of page
 ;; 2018-09-24 a comment with many parts here
-2018-09-24 10:00:05 ca116 u-1 s1 blur
+2018-09-24 10:00:05 m1 u-1 s1 blur
 too short
-2018-09-24 10:00:09 ca116 u-1 s1 upload x
+2018-09-24 10:00:09 m1 u-1 s1 upload x
 """
 
 
 def test_activity_layout_and_choice(spark, tmp_path):
     base = str(tmp_path / "activity")
-    for m in ("ca116", "ca117"):
+    for m in ("m1", "m2"):
         for u in ("u-1", "u-2"):
             for d in ("2018-09-24", "2018-09-25"):
                 put(f"{base}/{m}/{u}/{d}", LINES)
@@ -40,12 +40,12 @@ def test_activity_layout_and_choice(spark, tmp_path):
     assert (first.case_id, first.user_id, first.lifecycle, first.description) == ("2018-09-24-u-1-s1", "u-1", "start", "/week01/lab.html#top of page")
     assert first.ts == datetime(2018, 9, 24, 10)
     assert log.where("activity = 'blur'").first().description is None
-    some = I.ingest_activity_log(spark, base, ["ca117", "ca117"], ["u-2"], ["2018-09-25"], I.SKIPPED_ACTIONS)
-    assert some.count() == 2 and some.first().source_file.endswith("ca117/u-2/2018-09-25")
+    some = I.ingest_activity_log(spark, base, ["m2", "m2"], ["u-2"], ["2018-09-25"], I.SKIPPED_ACTIONS)
+    assert some.count() == 2 and some.first().source_file.endswith("m2/u-2/2018-09-25")
 
 
 def report(**over):
-    row = {"date": "2019-03-04 12:00:00", "module": "ca116", "user": "u-1", "task": "ex1-q1", "language": "py", "correct": 1, "failed": 2, "passed": 3,
+    row = {"date": "2019-03-04 12:00:00", "module": "m1", "user": "u-1", "task": "ex1-q1", "language": "py", "correct": 1, "failed": 2, "passed": 3,
            "version": "1", "timeout": False, "extension": "py", "ip": "0", "upload": "x = 1\nprint(x)"}
     return json.dumps(row | over, indent=1)
 
@@ -53,16 +53,16 @@ def report(**over):
 def test_report_layouts(spark, tmp_path):
     name = "a.report.2019-03-04-12_00_00.json"
     base = str(tmp_path / "uploads")
-    put(f"{base}/ca116/u-1/2019-03-04/{name}", report())
-    put(f"{base}/ca116/u-1/2019-03-04/other.json", report(task="no report"))
-    put(f"{base}/ca117/u-2/2019-03-05/{name}", report(module="ca117", user="u-2", timeout=2.5))
+    put(f"{base}/m1/u-1/2019-03-04/{name}", report())
+    put(f"{base}/m1/u-1/2019-03-04/other.json", report(task="no report"))
+    put(f"{base}/m2/u-2/2019-03-05/{name}", report(module="m2", user="u-2", timeout=2.5))
     rows = I.ingest_upload_reports(spark, base).orderBy("user_id").collect()
     assert [(r.user_id, r.timeout, r.passed) for r in rows] == [("u-1", "false", 3), ("u-2", "2.5", 3)]
     assert rows[0].upload == "x = 1\nprint(x)"
     assert I.ingest_upload_reports(spark, base, dates=["2019-03-05"]).count() == 1
     tolerant = str(tmp_path / "tolerant")
-    put(f"{tolerant}/2019-03-04/ca116/u-1/{name}", report())
-    put(f"{tolerant}/2019-03-04/ca116/u-2/{name}", '{"date": "2019-')
+    put(f"{tolerant}/2019-03-04/m1/u-1/{name}", report())
+    put(f"{tolerant}/2019-03-04/m1/u-2/{name}", '{"date": "2019-')
     good, bad = I.ingest_upload_reports_tolerant(spark, tolerant)
     assert [r.user_id for r in good.collect()] == ["u-1"]
     assert [r.source_file.split("/")[-2] for r in bad.collect()] == ["u-2"]
