@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pathlore.llm import chat, substring_dedup, suffix_dedup, url_filter
+from pathlore.llm import chat, piece_codec, substring_dedup, suffix_dedup, url_filter
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -94,3 +95,20 @@ def op3_suffix_dedup(spark: SparkSession, sf: str) -> DataFrame:
 def op10_substring_dedup(spark: SparkSession, sf: str) -> DataFrame:
     out = substring_dedup.drop_repeated_passages(table(spark, sf, "documents"))
     return out.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+def piece_model() -> bytes:
+    with open(public_tokenizers.path("piece_bpe_32k.model"), "rb") as f:
+        return f.read()
+
+
+@query("op4_piece_codec")
+def op4_piece_codec(spark: SparkSession, sf: str) -> DataFrame:
+    out = piece_codec.encode(table(spark, sf, "documents"), piece_model())
+    return out.select(
+        "doc_id",
+        F.size("ids").cast("long").alias("n_tokens"),
+        F.sha2(F.array_join("ids", ","), 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+        F.coalesce(F.element_at("ends", -1), F.lit(0)).cast("long").alias("source_bytes"),
+    )
