@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pathlore.llm import chat, piece_codec, substring_dedup, suffix_dedup, url_filter
+from pathlore.llm import chat, piece_codec, substring_dedup, suffix_dedup, url_filter, vector_search
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -112,3 +112,18 @@ def op4_piece_codec(spark: SparkSession, sf: str) -> DataFrame:
         F.sha2("decoded", 256).alias("decoded_sha256"),
         F.coalesce(F.element_at("ends", -1), F.lit(0)).cast("long").alias("source_bytes"),
     )
+
+
+OP8_SQL = """
+WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT)) AS e
+  FROM embeddings WHERE vec_id IS NOT NULL AND len(embedding) > 0
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT q.vec_id AS query_id, c.vec_id, CAST(list_sum(list_transform(list_zip(q.e, c.e), lambda p: p[1] * p[2])) AS BIGINT) AS score
+  FROM v q JOIN v c ON q.vec_id % 100 = 0 AND q.vec_id <> c.vec_id AND len(q.e) = len(c.e)),
+r AS (SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score FROM s)
+SELECT * FROM r WHERE rank <= 10"""
+
+
+@query("op8_vector_search", OP8_SQL)
+def op8_vector_search(spark: SparkSession, sf: str) -> DataFrame:
+    return vector_search.top_k(table(spark, sf, "embeddings"), F.col("vec_id") % 100 == 0)
