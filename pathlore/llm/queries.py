@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pathlore.llm import chat, piece_codec, substring_dedup, suffix_dedup, url_filter, vector_search
+from pathlore.llm import chat, ngram_join, piece_codec, substring_dedup, suffix_dedup, url_filter, vector_search
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -127,3 +127,8 @@ SELECT * FROM r WHERE rank <= 10"""
 @query("op8_vector_search", OP8_SQL)
 def op8_vector_search(spark: SparkSession, sf: str) -> DataFrame:
     return vector_search.top_k(table(spark, sf, "embeddings"), F.col("vec_id") % 100 == 0)
+
+
+@query("op7_ngram_join")
+def op7_ngram_join(spark: SparkSession, sf: str) -> DataFrame:
+    return ngram_join.near_duplicates(table(spark, sf, "documents"))

@@ -43,7 +43,7 @@ def ngram_hash(h: np.ndarray, k: int, base: np.uint64 = BASE) -> np.ndarray:
         if done == k:
             return mix(out)
         part = part[:-size] * power + part[size:]
-        power = power * power
+        power = U64((int(power) * int(power)) & 0xFFFFFFFFFFFFFFFF)
         size *= 2
 
 
