@@ -15,10 +15,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from pathlore.llm.repeats import covered, repeated_windows
-from pathlore.llm.spans import Texts
+from pathlore.llm.spans import BYTE_HASH, Texts, ngram_hash
 
 WINDOW = 50  # bytes
 GRAM = 20  # bytes hashed to a minimiser
+COLLECTION_BYTES = 250_000  # strings ordered at once; their columns then stay in a processor's cache
 
 
 def collection_suffixes(strings: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -28,22 +29,25 @@ def collection_suffixes(strings: list[bytes]) -> tuple[np.ndarray, np.ndarray, n
     strings' tails, empty suffixes first.
     """
     sizes = np.array([len(s) for s in strings], dtype=np.int64)
-    data = np.frombuffer(b"".join(strings), dtype=np.uint8).astype(np.int16)
+    data = np.frombuffer(b"".join(strings), dtype=np.uint8)
+    # symbols are counted from 1, 0 stands in front of a whole string; one byte sorts faster than two
+    kind = np.uint8 if data.max(initial=0) < 255 else np.uint16
+    data = data.astype(kind) + kind(1)
     base = np.cumsum(sizes) - sizes
     total = len(strings)
 
     def before(string: np.ndarray, start: np.ndarray) -> np.ndarray:
         """The symbol in front of each suffix."""
-        out = np.full(len(string), -1, dtype=np.int16)
+        out = np.zeros(len(string), dtype=kind)
         inner = start > 0
         out[inner] = data[base[string[inner]] + start[inner] - 1]
         return out
 
-    string, start = np.arange(total), sizes.copy()
+    string, start = np.arange(total, dtype=np.int32), sizes.astype(np.int32)
     bwt, lcp, new = before(string, start), np.zeros(total, dtype=np.int32), np.ones(total, dtype=bool)
     for _ in range(int(sizes.max(initial=0))):
         # occurrences of symbols in BWT order are the non-empty suffixes in order (LF mapping)
-        at = np.flatnonzero(bwt >= 0)
+        at = np.flatnonzero(bwt)
         at = at[np.argsort(bwt[at], kind="stable")]
         symbol, fresh = bwt[at], new[at]
         if not fresh.any():
@@ -51,8 +55,8 @@ def collection_suffixes(strings: list[bytes]) -> tuple[np.ndarray, np.ndarray, n
         place = total + np.flatnonzero(fresh)
         rest = np.ones(total + len(at), dtype=bool)
         rest[place] = False
-        grown_string, grown_start = np.empty(len(rest), np.int64), np.empty(len(rest), np.int64)
-        grown_bwt, grown_lcp = np.empty(len(rest), np.int16), np.empty(len(rest), np.int32)
+        grown_string, grown_start = np.empty(len(rest), np.int32), np.empty(len(rest), np.int32)
+        grown_bwt, grown_lcp = np.empty(len(rest), kind), np.empty(len(rest), np.int32)
         grown_string[rest], grown_start[rest], grown_bwt[rest], grown_lcp[rest] = string, start, bwt, lcp
         source = at[fresh]
         grown_string[place], grown_start[place] = string[source], start[source] - 1
@@ -70,7 +74,7 @@ def collection_suffixes(strings: list[bytes]) -> tuple[np.ndarray, np.ndarray, n
             grown_lcp[total + t] = 1 + np.minimum.reduceat(np.append(lcp, 0), ranges)[::2]
         string, start, bwt, lcp = grown_string, grown_start, grown_bwt, grown_lcp
         new = ~rest
-    return string, start, lcp, bwt
+    return string, start, lcp, bwt.astype(np.int16) - 1
 
 
 def shared_windows(strings: list[bytes], ids: np.ndarray, window: int = WINDOW) -> tuple[np.ndarray, np.ndarray]:
@@ -82,7 +86,50 @@ def shared_windows(strings: list[bytes], ids: np.ndarray, window: int = WINDOW)
     first = np.repeat(first, np.diff(np.append(heads, len(owner))))
     size = np.array([len(s) for s in strings], dtype=np.int64)[string]
     late = np.flatnonzero((size - start >= window) & (owner > first))
-    return string[late], start[late]
+    return string[late].astype(np.int64), start[late].astype(np.int64)
+
+
+def _touching(strings: list[bytes], window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Strings with a window whose hash occurs again, and the range that holds all such windows.
+
+    Equal windows have equal hashes, so what is left out shares no window with any string.
+    """
+    size = np.array([len(s) for s in strings], dtype=np.int64)
+    end = np.cumsum(size)
+    h = ngram_hash(BYTE_HASH[np.frombuffer(b"".join(strings), dtype=np.uint8)], window)
+    at = np.flatnonzero(np.arange(len(h)) + window <= np.repeat(end, size)[: len(h)])
+    order = np.argsort(h[at], kind="stable")
+    same = h[at][order][1:] == h[at][order][:-1]
+    again = np.zeros(len(at), dtype=bool)
+    again[order[1:][same]] = True
+    again[order[:-1][same]] = True
+    at = at[again]
+    owner = np.searchsorted(end, at, side="right")
+    which, first = np.unique(owner, return_index=True)
+    last = np.append(first[1:], len(at)) - 1
+    begin = end[which] - size[which]
+    return which, at[first] - begin, at[last] - begin + window
+
+
+def settle_collections(
+    strings: list[bytes], value: np.ndarray, ids: np.ndarray, window: int, most: int = COLLECTION_BYTES
+) -> tuple[np.ndarray, np.ndarray]:
+    """``shared_windows`` over collections of whole minimiser classes of about ``most`` bytes."""
+    which, begin, end = _touching(strings, window)
+    strings = [strings[n][b:e] for n, b, e in zip(which.tolist(), begin.tolist(), end.tolist())]
+    value, ids = value[which], ids[which]
+    order = np.argsort(value, kind="stable")
+    ends = np.append(np.flatnonzero(value[order][1:] != value[order][:-1]) + 1, len(order))
+    size = np.cumsum([len(strings[i]) for i in order])
+    found, lo = [(np.empty(0, np.int64), np.empty(0, np.int64))], 0
+    while lo < len(order):
+        reach = np.searchsorted(size, (size[lo - 1] if lo else 0) + most)
+        hi = int(ends[max(np.searchsorted(ends, lo, side="right"), np.searchsorted(ends, reach, side="right") - 1)])
+        mine = order[lo:hi]
+        own, at = shared_windows([strings[i] for i in mine], ids[mine], window)
+        found.append((which[mine[own]], at + begin[mine[own]]))
+        lo = hi
+    return np.concatenate([f[0] for f in found]), np.concatenate([f[1] for f in found])
 
 
 def drop_repeated_bytes(
@@ -104,7 +151,7 @@ def drop_repeated_bytes(
     """
 
     def settle(strings, value, ids, start):
-        return shared_windows(strings, ids, window)
+        return settle_collections(strings, value, ids, window)
 
     def finish(table: pa.Table, texts: Texts, gone: dict) -> pa.Table:
         at = texts.offsets[gone["row"]] + gone["start"]
