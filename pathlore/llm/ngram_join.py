@@ -153,7 +153,7 @@ def _columns(docs: DataFrame, n: int, bits: int, word_count: np.ndarray, gram_co
                 first[1:] = (mark[order][1:] != mark[order][:-1]) | (size[order][1:] != size[order][:-1])
                 sent = np.zeros(hi - lo, dtype=bool)
                 sent[order[first]] = True
-                key = gram[sent[text]] >> np.uint64(24 - bits)
+                key = mix(gram[sent[text]]) >> np.uint64(24 - bits)  # mixed as low hashes come first
                 text = text[sent[text]]
                 block = (key >> np.uint64(40)).astype(np.int64)
                 order = np.argsort(block, kind="stable")

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pathlore.llm.spans import BYTE_HASH, Texts, ngram_hash, pack, sliding_min, unpack, words
+from pathlore.llm.spans import BYTE_HASH, Texts, mix, ngram_hash, pack, sliding_min, unpack, words
 
 GROUP_BYTES = 4_000_000
 BUCKET_BYTES = 8_000_000  # text bytes per bucket: even if everything repeats, a bucket gets about four times as many
@@ -89,8 +89,8 @@ class _Runs:
 
 
 def _keys(value: np.ndarray, bits: int) -> np.ndarray:
-    """``bits`` for the bucket and 40 more of a minimiser."""
-    return value >> np.uint64(24 - bits)
+    """``bits`` for the bucket and 40 more of a minimiser, mixed again as minima are small."""
+    return mix(value) >> np.uint64(24 - bits)
 
 
 def _five(keys: np.ndarray) -> np.ndarray:
