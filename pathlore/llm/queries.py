@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pathlore.llm import chat, ngram_join, piece_codec, substring_dedup, suffix_dedup, url_filter, vector_search
+from pathlore.llm import chat, lm_score, ngram_join, piece_codec, substring_dedup, suffix_dedup, url_filter, vector_search
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -132,3 +132,9 @@ def op8_vector_search(spark: SparkSession, sf: str) -> DataFrame:
 @query("op7_ngram_join")
 def op7_ngram_join(spark: SparkSession, sf: str) -> DataFrame:
     return ngram_join.near_duplicates(table(spark, sf, "documents"))
+
+
+@query("op5_lm_score")
+def op5_lm_score(spark: SparkSession, sf: str) -> DataFrame:
+    held_out = F.crc32(F.col("doc_id").cast("string")) % 10 == 0
+    return lm_score.score_texts(table(spark, sf, "documents"), held_out, piece_model())

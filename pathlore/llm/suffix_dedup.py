@@ -106,7 +106,7 @@ def _touching(strings: list[bytes], window: int) -> tuple[np.ndarray, np.ndarray
     at = at[again]
     owner = np.searchsorted(end, at, side="right")
     which, first = np.unique(owner, return_index=True)
-    last = np.append(first[1:], len(at)) - 1
+    last = np.append(first, len(at))[1:] - 1
     begin = end[which] - size[which]
     return which, at[first] - begin, at[last] - begin + window
 
