@@ -8,8 +8,7 @@ dropped. Overlaps are accumulated over columns for the pairs that matter, pairs
 reach the bound by size are discarded, and the rest are counted exactly.
 
 Texts with equal sets are one row of the product. To find components not every pair is needed:
-each text is first tried with the text of smallest hash among those it shares columns with (a pair
-per text); then only pairs of texts in different components of these links are accumulated. A link
+each text is first tried with one text, of smallest hash among those it shares columns with; then only pairs of texts in different components of these links are accumulated. A link
 between two different texts is thus found or already implied.
 """
 
@@ -28,7 +27,7 @@ from pathlore.session import cut_lineage
 
 WORDS = 5
 SLICE_BYTES = 1_000_000
-BLOCK_BYTES = 8_000_000  # text bytes per block of columns
+BLOCK_BYTES = 32_000_000  # text bytes per block of columns
 COUNTERS = 1 << 16  # frequency counters, whatever the size of the corpus; they only set the column order
 SALTS = 16
 
@@ -93,27 +92,46 @@ def _profile(docs: DataFrame, n: int) -> DataFrame:
     return cut_lineage(docs.mapInArrow(run, "id long, n long, one long, two long, part int, blob binary"))
 
 
-def _frequencies(profile: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """Counters of words and n-grams over all texts, added in two steps; 1 MB reaches the driver."""
+def _folded(rows: DataFrame, add) -> list[np.ndarray]:
+    """Blobs (part, blob) combined per part by ``add``, in two steps; parts one after another on the driver."""
 
-    def add(table):
-        rows = [unpack(b.as_py(), compressed=True) for b in table.column("blob")]
-        both = [np.sum([r[i] for r in rows], axis=0) for i in range(2)]
+    def fold(table):
+        arrays = [unpack(b.as_py(), compressed=True) for b in table.column("blob")]
+        both = [add([a[i] for a in arrays]) for i in range(len(arrays[0]))]
         return pa.table({"part": pa.array([table.column("part")[0].as_py()], pa.int32()), "blob": pa.array([pack(*both, level=3)], pa.binary())})
 
-    parts = profile.where("part is not null").select("part", "blob", F.pmod(F.xxhash64("blob"), F.lit(64)).alias("half"))
-    once = parts.groupBy("part", "half").applyInArrow(lambda t: add(t), "part int, blob binary")
-    rows = once.groupBy("part").applyInArrow(lambda t: add(t), "part int, blob binary").collect()
-    if not rows:
-        return np.zeros(COUNTERS), np.zeros(COUNTERS)
-    both = [unpack(bytes(r["blob"]), compressed=True) for r in sorted(rows, key=lambda r: r["part"])]
-    return np.concatenate([b[0] for b in both]), np.concatenate([b[1] for b in both])
+    halves = rows.withColumn("half", F.pmod(F.xxhash64("blob"), F.lit(64)))
+    once = halves.groupBy("part", "half").applyInArrow(lambda t: fold(t), "part int, blob binary")
+    found = once.groupBy("part").applyInArrow(lambda t: fold(t), "part int, blob binary").collect()
+    arrays = [unpack(bytes(r["blob"]), compressed=True) for r in sorted(found, key=lambda r: r["part"])]
+    return [np.concatenate(x) for x in zip(*arrays)]
+
+
+def _frequencies(profile: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Counters of words and n-grams over all texts; 1 MB reaches the driver."""
+    both = _folded(profile.where("part is not null").select("part", "blob"), lambda x: np.sum(x, axis=0))
+    return tuple(both) if both else (np.zeros(COUNTERS), np.zeros(COUNTERS))
+
+
+def _bitmap(ids: DataFrame, count: int) -> np.ndarray:
+    """A bit per hashed id, about 16 bits an id and 8 MB at most: what is not in it is not in ``ids``."""
+    bits = 1 << min(26, max(16, (16 * count).bit_length()))
+
+    def run(batches):
+        mine = np.zeros(bits, dtype=bool)
+        for batch in batches:
+            mine[(mix(batch.column(0).to_numpy().view(np.uint64)) & np.uint64(bits - 1)).astype(np.int64)] = True
+        blobs = [pack(p, level=1) for p in np.split(np.packbits(mine), 16)]
+        yield pa.RecordBatch.from_pydict({"part": pa.array(range(16), pa.int32()), "blob": pa.array(blobs, pa.binary())})
+
+    found = _folded(ids.mapInArrow(run, "part int, blob binary"), lambda x: np.bitwise_or.reduce(x, axis=0))
+    return found[0] if found else np.zeros(bits // 8, np.uint8)
 
 
 def _columns(docs: DataFrame, n: int, bits: int, word_count: np.ndarray, gram_count: np.ndarray) -> DataFrame:
-    """Incidence rows (key, doc, n, last) of the columns that at least two different sets share.
+    """Incidence rows (key, doc, n, centre) of the columns that at least two different sets share.
 
-    ``last`` is the place in the column order where the text's columns end.
+    ``centre`` is the text of smallest hash among those of similar size in the column.
     """
     # expected frequency of an n-gram from its words, and what its counter has beyond the usual:
     # integers, four to an octave, so that every task orders columns alike
@@ -124,7 +142,7 @@ def _columns(docs: DataFrame, n: int, bits: int, word_count: np.ndarray, gram_co
     excess = np.round(4 * np.log2(1 + np.maximum(gram_count - usual, 0))).astype(np.int64)
 
     def prefix(texts: Texts, lo: int, hi: int):
-        """Text, order and hash of each text's first columns; set sizes and fingerprints."""
+        """Text and hash of each text's first columns; set sizes and fingerprints."""
         text, gram, at, h = _sets(texts, lo, hi, n)
         part = np.append(share[(h & np.uint64(COUNTERS - 1)).astype(np.int64)], np.zeros(n, np.int64))
         expected = sum(part[at + i] for i in range(n)) + everything
@@ -137,15 +155,14 @@ def _columns(docs: DataFrame, n: int, bits: int, word_count: np.ndarray, gram_co
         size = np.diff(edges)
         keep = size - _need(size) + (size > 0)
         index = np.repeat(edges[:-1] - np.cumsum(keep) + keep, keep) + np.arange(keep.sum())
-        last = np.where(size > 0, place[np.minimum(edges[:-1] + np.maximum(keep, 1) - 1, max(len(place) - 1, 0))] if len(place) else 0, 0)
         totals = np.append(np.uint64(0), np.cumsum(mix(gram ^ np.uint64(0x5BD1E9955BD1E995))))
-        return text[index], gram[index], size, last.astype(np.int64), np.diff(totals[edges])
+        return text[index], gram[index], size, np.diff(totals[edges])
 
     def deal(batches):
         for batch in batches:
             ids_all = batch.column("id").to_numpy(zero_copy_only=False)
             for texts, lo, hi in _batches(batch, "text"):
-                text, gram, size, last, mark = prefix(texts, lo, hi)
+                text, gram, size, mark = prefix(texts, lo, hi)
                 ids = ids_all[lo:hi]
                 # of texts with one set only the smallest id is sent
                 order = np.lexsort((ids, mark, size))
@@ -166,19 +183,19 @@ def _columns(docs: DataFrame, n: int, bits: int, word_count: np.ndarray, gram_co
                     own, local = np.unique(text[s], return_inverse=True)
                     five = np.ascontiguousarray(key[s]).view(np.uint8).reshape(-1, 8)[:, :5].copy().reshape(-1)
                     local = local.astype(np.uint16 if len(own) < 65536 else np.uint32)
-                    blobs.append(pack(five, local, ids[own], size[own].astype(np.int32), last[own], mark[own]))
+                    blobs.append(pack(five, local, ids[own], size[own].astype(np.int32), mark[own]))
                 yield pa.RecordBatch.from_pydict({"block": pa.array(full, pa.int32()), "blob": pa.array(blobs, pa.binary())})
 
     def meet(key, table):
-        five, local, ids, size, last, mark, base = [], [], [], [], [], [], 0
+        five, local, ids, size, mark, base = [], [], [], [], [], 0
         for blob in table.column("blob"):
-            a, b, c, d, e, f = unpack(blob.as_buffer())
+            a, b, c, d, e = unpack(blob.as_buffer())
             five.append(a)
             local.append(b.astype(np.int64) + base)
-            for to, x in ((ids, c), (size, d), (last, e), (mark, f)):
+            for to, x in ((ids, c), (size, d), (mark, e)):
                 to.append(x)
             base += len(c)
-        five, local, ids, size, last, mark = (np.concatenate(x) for x in (five, local, ids, size, last, mark))
+        five, local, ids, size, mark = (np.concatenate(x) for x in (five, local, ids, size, mark))
         wide = np.zeros((len(five) // 5, 8), dtype=np.uint8)
         wide[:, :5] = five.reshape(-1, 5)
         column = wide.view(np.uint64).reshape(-1)
@@ -200,56 +217,82 @@ def _columns(docs: DataFrame, n: int, bits: int, word_count: np.ndarray, gram_co
         shared[1:] |= twin
         shared[:-1] |= twin
         column, local = column[shared] | (np.uint64(key[0].as_py()) << np.uint64(40)), local[shared]
-        return pa.table({"key": pa.array(column.view(np.int64)), "doc": pa.array(ids[local]), "n": pa.array(size[local].astype(np.int64)), "last": pa.array(last[local])})
+        # the centre of each column and size band
+        band = np.floor(np.log(size[local]) / np.log(4 / 3)).astype(np.int64)
+        order = np.lexsort((mix(ids[local].view(np.uint64)), band, column))
+        column, local, band = column[order], local[order], band[order]
+        head = np.ones(len(column), dtype=bool)
+        head[1:] = (column[1:] != column[:-1]) | (band[1:] != band[:-1])
+        centre = ids[local[np.maximum.accumulate(np.where(head, np.arange(len(head)), 0))]] if len(head) else ids[:0]
+        return pa.table({"key": pa.array(column.view(np.int64)), "doc": pa.array(ids[local]), "n": pa.array(size[local].astype(np.int64)), "centre": pa.array(centre)})
 
     dealt = docs.mapInArrow(deal, "block int, blob binary")
-    return dealt.groupBy("block").applyInArrow(meet, "key long, doc long, n long, last long")
+    return dealt.groupBy("block").applyInArrow(meet, "key long, doc long, n long, centre long")
 
 
-def _overlaps(docs: DataFrame, n: int, wanted: DataFrame) -> DataFrame:
-    """(doc, grams) of the wanted texts: their sorted n-gram hashes, 8 bytes each."""
+def _with_sets(docs: DataFrame, n: int, wanted: DataFrame) -> DataFrame:
+    """``wanted`` (id, ...) with ``grams``, each text's sorted n-gram hashes of 6 bytes.
+
+    Texts whose id is not in a bitmap of the wanted ids don't reach the shuffle of the join.
+    """
+    ids = wanted.select("id").distinct()
+    bitmap = _bitmap(ids, ids.count())
+
+    def keep(batches):
+        last = np.uint64(len(bitmap) * 8 - 1)
+        for batch in batches:
+            at = (mix(batch.column("id").to_numpy().view(np.uint64)) & last).astype(np.int64)
+            yield batch.filter(pa.array((bitmap[at >> 3] >> (7 - (at & 7))) & 1 == 1))
+
+    extra = [c for c in wanted.columns if c != "id"]
 
     def run(batches):
         for batch in batches:
             for texts, lo, hi in _batches(batch, "text"):
                 text, gram, _, _ = _sets(texts, lo, hi, n)
+                order = np.lexsort((gram >> np.uint64(16), text))
+                six = np.ascontiguousarray(gram[order] >> np.uint64(16)).view(np.uint8).reshape(-1, 8)[:, :6].copy()
                 edges = np.searchsorted(text, np.arange(hi - lo + 1))
-                blobs = [gram[edges[i] : edges[i + 1]].tobytes() for i in range(hi - lo)]
-                yield pa.RecordBatch.from_pydict({"doc": batch.column("id").slice(lo, hi - lo), "grams": pa.array(blobs, pa.binary())})
+                blobs = [six[edges[i] : edges[i + 1]].tobytes() for i in range(hi - lo)]
+                part = batch.slice(lo, hi - lo)
+                yield pa.RecordBatch.from_pydict({"id": part.column("id")} | {c: part.column(c) for c in extra} | {"grams": pa.array(blobs, pa.binary())})
 
-    rows = docs.where("id is not null").join(wanted.select(F.col("doc").alias("id")), "id", "left_semi")
-    sets = rows.select("id", "text").mapInArrow(run, "doc long, grams binary")
-    return cut_lineage(sets)
+    near = docs.mapInArrow(keep, "id long, text string")
+    schema = ["id long", *[f"{c} long" for c in extra], "grams binary"]
+    return near.join(wanted, "id").select("id", *extra, "text").mapInArrow(run, ", ".join(schema))
 
 
-def _linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) whose exact overlap reaches the similarity."""
+def _linked(pairs: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of ``pairs`` (a, b, x, y) whose exact overlap reaches the similarity."""
+
+    def six(value):
+        wide = np.zeros((len(value.as_buffer()) // 6, 8), dtype=np.uint8)
+        wide[:, :6] = np.frombuffer(value.as_buffer(), np.uint8).reshape(-1, 6)
+        return wide.view(np.uint64).reshape(-1)
 
     def run(batches):
         for batch in batches:
             keep = []
             for x, y in zip(batch.column("x"), batch.column("y")):
-                x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
+                x, y = six(x), six(y)
                 both = len(np.intersect1d(x, y, assume_unique=True))
                 keep.append(100 * both >= percent * (len(x) + len(y) - both) and both > 0)
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    first = pairs.join(sets.select(F.col("doc").alias("a"), F.col("grams").alias("x")), "a")
-    both = first.join(sets.select(F.col("doc").alias("b"), F.col("grams").alias("y")), "b")
-    return both.select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
+    return pairs.select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
 
 
-def _possible(rows: DataFrame) -> DataFrame:
+def _reaching(rows: DataFrame) -> DataFrame:
     """Accumulates columns to overlaps of pairs and discards pairs below the bound by their sizes.
 
-    Common n-grams up to the earlier of the two ends are columns of both texts, and behind it
-    the text that ends there has ceil(0.75 n) - 1 n-grams left; together they must reach
-    3/7 of both sizes.
+    ``rows`` (a, b, n_a, n_b) has a row per common column. Common
+    n-grams up to the earlier of two texts' last columns are columns of both, and behind it that
+    text has ceil(0.75 n) - 1 n-grams left; together they must reach 3/7 of both sizes. The bound
+    leaves one for two columns of a text that share a key.
     """
-    left = F.when(F.col("last_a") <= F.col("last_b"), F.col("n_a")).otherwise(F.col("n_b"))
-    counted = rows.groupBy("a", "b", "n_a", "n_b", "last_a", "last_b").agg(F.count(F.lit(1)).alias("common"))
-    reach = F.col("common") + F.floor((3 * left + 3) / 4)  # one more than the bound, as two columns of a text may share a key
-    return counted.where(7 * reach >= 3 * (F.col("n_a") + F.col("n_b")))
+    need = F.floor((3 * F.greatest("n_a", "n_b") + 3) / 4)
+    counted = rows.groupBy("a", "b", "n_a", "n_b").agg(F.count(F.lit(1)).alias("common"))
+    return counted.where(7 * (F.col("common") + need) >= 3 * (F.col("n_a") + F.col("n_b")))
 
 
 def near_duplicates(
@@ -275,29 +318,32 @@ def near_duplicates(
     word_count, gram_count = _frequencies(profile)
     named = docs.where("id is not null")
     rows = cut_lineage(_columns(named, words_per_gram, bits, word_count, gram_count))
-    sets = _overlaps(named, words_per_gram, rows.select("doc").distinct())
-
-    # texts of similar size in a column are tried with the one of smallest hash among them
-    band = F.floor(F.log("n") / F.log(F.lit(4 / 3))).alias("band")
-    banded = rows.select("*", band)
-    centre = banded.groupBy("key", "band").agg(F.min_by(F.struct("doc", "n", "last"), F.xxhash64("doc")).alias("c"))
-    tried = banded.join(centre, ["key", "band"]).where("doc <> c.doc").select(
-        F.col("doc").alias("a"), F.col("c.doc").alias("b"), F.col("n").alias("n_a"), F.col("c.n").alias("n_b"), F.col("last").alias("last_a"), F.col("c.last").alias("last_b")
-    )
-    best = _possible(tried).groupBy("a").agg(F.max_by("b", F.struct("common", "b")).alias("b"))
-    links = cut_lineage(_linked(best, sets, percent))
+
+    # a text is tried with the centre that it shares most of a quarter of its columns with
+    tried = rows.where("doc <> centre and pmod(key, 4) = 0").groupBy("doc", "centre").agg(F.count(F.lit(1)).alias("common"))
+    best = tried.groupBy("doc").agg(F.max_by("centre", F.struct("common", "centre")).alias("centre"))
+    best = cut_lineage(best.select(F.col("doc").alias("id"), F.col("centre").alias("b")))
+    one = _with_sets(named, words_per_gram, best).select(F.col("id").alias("a"), "b", F.col("grams").alias("x"))
+    two = _with_sets(named, words_per_gram, best.select(F.col("b").alias("id")).distinct()).select(F.col("id").alias("b"), F.col("grams").alias("y"))
+    links = cut_lineage(_linked(one.join(two, "b"), percent))
     labels = components(links)
 
     # then the pairs across components, over the columns that still hold several
-    labelled = rows.join(labels.withColumnRenamed("node", "doc"), "doc", "left").withColumn("label", F.coalesce("label", "doc"))
+    labelled = rows.select("key", "doc", "n").join(labels.withColumnRenamed("node", "doc"), "doc", "left")
+    labelled = labelled.withColumn("label", F.coalesce("label", "doc")).repartition("key")
     open_keys = labelled.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi")
     side = cut_lineage(labelled.join(open_keys.select("key"), "key"))
-    names = lambda s: side.select("key", *[F.col(c).alias(f"{c}_{s}") for c in ("doc", "n", "last", "label")])
+    names = lambda s: side.select("key", *[F.col(c).alias(f"{c}_{s}") for c in ("doc", "n", "label")])
     across = names("a").join(names("b"), "key").where(
         "label_a <> label_b and doc_a < doc_b and 4 * n_a >= 3 * n_b and 4 * n_b >= 3 * n_a"
     )
-    pairs = _possible(across.withColumnsRenamed({"doc_a": "a", "doc_b": "b"}))
-    links = cut_lineage(links.union(_linked(pairs.select("a", "b"), sets, percent)))
+    pairs = cut_lineage(_reaching(across.withColumnsRenamed({"doc_a": "a", "doc_b": "b"})).select("a", "b"))
+    wanted = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+    sets = cut_lineage(_with_sets(named, words_per_gram, wanted))
+    both = pairs.join(sets.select(F.col("id").alias("a"), F.col("grams").alias("x")), "a").join(
+        sets.select(F.col("id").alias("b"), F.col("grams").alias("y")), "b"
+    )
+    links = cut_lineage(links.union(_linked(both, percent)))
     labels = components(links)
 
     texts = profile.where("part is null")
