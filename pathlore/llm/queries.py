@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pathlore.llm import chat, lm_score, ngram_join, piece_codec, substring_dedup, suffix_dedup, url_filter, vector_search
+from pathlore.llm import chat, language_id, lm_score, ngram_join, piece_codec, substring_dedup, suffix_dedup, url_filter, vector_search
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -138,3 +138,12 @@ def op7_ngram_join(spark: SparkSession, sf: str) -> DataFrame:
 def op5_lm_score(spark: SparkSession, sf: str) -> DataFrame:
     held_out = F.crc32(F.col("doc_id").cast("string")) % 10 == 0
     return lm_score.score_texts(table(spark, sf, "documents"), held_out, piece_model())
+
+
+@query("op1_language_id")
+def op1_language_id(spark: SparkSession, sf: str) -> DataFrame:
+    docs = table(spark, sf, "documents").select("doc_id", "text", "lang")
+    rest = F.crc32(F.col("doc_id").cast("string")) % 3
+    model = language_id.fit(docs.where(rest != 1))
+    out = language_id.predict(docs, model)
+    return out.select("doc_id", F.coalesce(rest == 1, F.lit(False)).alias("held_out"), "lang_pred", "score", "parts")
