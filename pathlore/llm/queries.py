@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pathlore.llm import chat, language_id, lm_score, ngram_join, piece_codec, substring_dedup, suffix_dedup, url_filter, vector_search
+from pathlore.llm import chat, decontaminate, language_id, lm_score, ngram_join, piece_codec, substring_dedup, suffix_dedup, url_filter, vector_search
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -147,3 +147,15 @@ def op1_language_id(spark: SparkSession, sf: str) -> DataFrame:
     model = language_id.fit(docs.where(rest != 1))
     out = language_id.predict(docs, model)
     return out.select("doc_id", F.coalesce(rest == 1, F.lit(False)).alias("held_out"), "lang_pred", "score", "parts")
+
+
+@query("op9_decontaminate")
+def op9_decontaminate(spark: SparkSession, sf: str) -> DataFrame:
+    return decontaminate.contaminated(table(spark, sf, "documents"), table(spark, sf, "benchmark"))
+
+
+@query("pipeline")
+def pipeline(spark: SparkSession, sf: str) -> DataFrame:
+    import corpus_pipeline  # it imports this module
+
+    return corpus_pipeline.run(spark, sf)

@@ -129,7 +129,7 @@ def repeated_windows(
     ``start`` of row ``row``.
     """
     groups, bits = group_count(documents, text_col)
-    docs = documents.select(F.col(id_col).cast("long").alias(id_col), F.col(text_col), *carry).withColumn(
+    docs = documents.select(F.col(id_col).cast("long").alias(id_col), F.col(text_col), *[c for c in carry if c != text_col]).withColumn(
         "_grp", F.pmod(F.xxhash64(F.col(id_col).cast("long")), F.lit(groups)).cast("int")
     )
     by_group = docs.groupBy("_grp")
