@@ -1,131 +1,69 @@
 """Ordered computations that stay parallel when one key holds a large part of the rows.
 
-A window partitioned by a key alone puts the whole key into one task. Here one pruned pass with
-a mergeable sketch looks for keys above a size limit. Usually there is none and the plan is the
-plain window. Otherwise the rows of the hot keys, and only those, are cut into order ranges
-("chunks") at approximate quantiles of the order column, the window runs per (key, chunk), and a
-table with one row per hot (key, chunk) carries the missing value over the chunk edge.
-
-Hot keys and bounds are constants of the plan, so a task that is run again after a lost executor
-cuts the rows at the same places. They only route rows: an estimate that is off, or older than
-the data, changes the balance of the tasks and never a result.
+A window partitioned by a key alone puts the whole key into one task. Here the rows per key are
+counted first (key columns only, combined before the shuffle). If no key has more than
+``SkewPolicy.max_rows`` rows, the plan is the plain window. Otherwise the rows of every such key,
+and only those, are dealt by range of (key, order columns) into partitions of about
+``chunk_rows`` rows, whose number the partition is kept as the row's "chunk". The window runs per
+(key, chunk), and a table with one row per hot (key, chunk) carries the missing value over the
+chunk edge. What is hot depends on the key's own rows, not on the size of the table; the number
+of hot keys and of chunks has no limit, and a chunk may end between any two rows.
+
+The rows with their chunks are written to the shared folder and read by every branch of the plan,
+so a task that is run again after a lost executor sees the same chunks.
 """
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from pathlore.session import cut_lineage
+
 CHUNK = "_chunk"
 
 
 @dataclass(frozen=True)
 class SkewPolicy:
-    """When a key is hot and how finely it is cut: into ranges of about ``chunk_rows`` rows, at
-    most ``chunks`` (a power of two)."""
+    """A key with more than ``max_rows`` rows is cut into ranges of about ``chunk_rows`` rows."""
 
-    max_keys: int = 1024
-    tracked: int = 16384  # sketch size, finds every key above about 1/5000 of the rows
-    share: float = 1 / 1024
-    min_rows: int = 1_000_000
+    max_rows: int = 1_000_000
     chunk_rows: int = 500_000
-    chunks: int = 4096
 
 
 DEFAULT = SkewPolicy()
 
 
-@dataclass(frozen=True)
-class Cut:
-    """Which key hashes are cut (all rows if ``keys`` is empty) and where."""
-
-    hot: tuple[int, ...] = ()
-    bounds: tuple[float, ...] = field(default=())
-
-    @property
-    def plain(self) -> bool:
-        return not self.bounds
-
-
-_MEMO: dict[tuple, Cut] = {}
-
-
-def _order_number(df: DataFrame, name: str) -> Column:
-    """A number that rises with the order column; ties are allowed."""
-    kind = dict(df.dtypes)[name]
-    if kind in ("timestamp", "timestamp_ntz"):
-        return F.unix_micros(F.col(name).cast("timestamp"))
-    if kind == "date":
-        return F.unix_date(name).cast("long")
-    if kind == "string":
-        # the first seven bytes as one integer keep binary string order
-        prefix = F.rpad(F.hex(F.substring(F.col(name).cast("binary"), 1, 7)), 14, "0")
-        return F.conv(prefix, 16, 10).cast("long")
-    return F.col(name)
-
-
-def _search(bounds: tuple[float, ...], value: Column) -> Column:
-    """Number of bounds at or below ``value``, by halving steps."""
-    table = F.array(*[F.lit(b) for b in bounds])
-    steps, step = [], (len(bounds) + 1) // 2
-    while step:
-        steps.append(F.lit(step))
-        step //= 2
-    return F.aggregate(
-        F.array(*steps),
-        F.lit(0),
-        lambda acc, s: F.when(F.get(table, acc + s - 1) <= value, acc + s).otherwise(acc),
-    )
-
-
-def _quantile_bounds(rows: DataFrame, chunks: int) -> tuple[float, ...]:
-    shares = [i / chunks for i in range(1, chunks)]
-    found = rows.agg(F.percentile_approx("_o", shares, max(10_000, 10 * chunks)).alias("b")).first()["b"]
-    return tuple(found or ())
+def cut_rows(
+    df: DataFrame, keys: list[str], order: list[str], policy: SkewPolicy = DEFAULT, sized_by: DataFrame | None = None
+) -> tuple[DataFrame, bool]:
+    """``df`` with ``_chunk``, and whether no key is hot. The chunk is -1 for rows of ordinary keys.
 
-
-def _ranges(size: int, policy: SkewPolicy) -> int:
-    """Power of two of ranges for ``size`` rows."""
-    wanted = 2
-    while wanted < policy.chunks and wanted * policy.chunk_rows < size:
-        wanted *= 2
-    return wanted
-
-
-def find_cut(df: DataFrame, keys: list[str], order: str, policy: SkewPolicy = DEFAULT) -> Cut:
-    """Hot keys of ``df`` and the order bounds for their rows; two small results at most."""
-    memo = (df.semanticHash(), tuple(keys), order, policy)
-    if memo in _MEMO:
-        return _MEMO[memo]
-    rows = df.select(F.xxhash64(*keys).alias("_kh") if keys else F.lit(0).alias("_kh"), _order_number(df, order).alias("_o"))
+    Chunks rise with the order within a key; nulls come first in both. ``sized_by`` is a frame
+    with the same key columns and at least as many rows per key that is cheaper to count.
+    """
+    counted = (sized_by if sized_by is not None else df).groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows"))
+    if (counted.agg(F.max("_rows")).first()[0] or 0) <= policy.max_rows:
+        return df.withColumn(CHUNK, F.lit(-1)), True
+    rows = cut_lineage(df)
     if keys:
-        top = F.expr(f"approx_top_k(_kh, {policy.max_keys}, {policy.tracked})").alias("top")
-        found = rows.agg(F.count(F.lit(1)).alias("n"), top).first()
-        limit = max(policy.min_rows, policy.share * found["n"])
-        tops = [t for t in (found["top"] or []) if t["count"] >= limit]
-        hot, size = tuple(t["item"] for t in tops), sum(t["count"] for t in tops)
-        rows = rows.where(F.col("_kh").isin(list(hot)))
+        names = {k: f"_h_{k}" for k in keys}
+        hot = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows")).where(F.col("_rows") > policy.max_rows)
+        hot = cut_lineage(hot.withColumnsRenamed(names))
+        same = [rows[k].eqNullSafe(hot[n]) for k, n in names.items()]
+        cold, rows = rows.join(hot, same, "left_anti"), rows.join(hot, same, "left_semi")
+        size = hot.agg(F.sum("_rows")).first()[0] or 0
     else:
-        hot, size = (), rows.count()
-        size = size if size >= policy.min_rows else 0
-    cut = Cut(hot, _quantile_bounds(rows, _ranges(size, policy))) if size else Cut()
-    _MEMO[memo] = cut
-    return cut
-
-
-def with_chunk(df: DataFrame, keys: list[str], order: str, cut: Cut) -> DataFrame:
-    """Adds ``_chunk``: -1 for ordinary keys, the order range for hot keys (for all rows if no key)."""
-    if cut.plain:
-        return df.withColumn(CHUNK, F.lit(-1))
-    chunk = _search(cut.bounds, _order_number(df, order))
-    if keys:
-        chunk = F.when(F.xxhash64(*keys).isin(list(cut.hot)), chunk).otherwise(F.lit(-1))
-    return df.withColumn(CHUNK, chunk)
+        cold, size = rows.limit(0), rows.count()
+    ranges = max(2, -(-size // policy.chunk_rows))
+    dealt = rows.repartitionByRange(ranges, *[F.col(c) for c in dict.fromkeys([*keys, *order])])
+    dealt = cut_lineage(dealt.withColumn(CHUNK, F.spark_partition_id()))
+    return cold.withColumn(CHUNK, F.lit(-1)).unionByName(dealt), False
 
 
-def _edge_join(d: DataFrame, edges: DataFrame, keys: list[str], cut: Cut) -> DataFrame:
+def _edge_join(d: DataFrame, edges: DataFrame, keys: list[str]) -> DataFrame:
     """Left join on (key, chunk), the partitioning the window already made; matches null keys."""
     renamed = edges.select(
         *[F.col(k).alias(f"_e_{k}") for k in keys],
@@ -135,8 +73,6 @@ def _edge_join(d: DataFrame, edges: DataFrame, keys: list[str], cut: Cut) -> Dat
     on = d[CHUNK] == renamed["_e_chunk"]
     for k in keys:
         on = on & d[k].eqNullSafe(renamed[f"_e_{k}"])
-    if not keys:
-        renamed = F.broadcast(renamed)  # one row per chunk, at most len(cut.bounds) + 1
     return d.join(renamed, on, "left").drop("_e_chunk", *[f"_e_{k}" for k in keys])
 
 
@@ -144,19 +80,18 @@ def with_next(
     df: DataFrame, keys: list[str], order: list[str], cols: dict[str, str], policy: SkewPolicy = DEFAULT
 ) -> DataFrame:
     """Adds each ``new: source`` of ``cols`` as the value of the following row of the key."""
-    cut = find_cut(df, keys, order[0], policy)
     payload = F.struct(*[F.col(c).alias(n) for n, c in cols.items()])
-    if cut.plain:
+    d, plain = cut_rows(df, keys, order, policy)
+    if plain:
         w = Window.partitionBy(*keys).orderBy(*order)
         return df.withColumns({n: F.lead(c).over(w) for n, c in cols.items()})
-    d = with_chunk(df, keys, order[0], cut)
     heads = d.where(F.col(CHUNK) >= 0).groupBy(*keys, CHUNK).agg(
         F.min_by(payload, F.struct(*order)).alias("_head")
     )
     after = Window.partitionBy(*keys).orderBy(CHUNK)
     heads = heads.select(*keys, CHUNK, F.lead("_head").over(after).alias("_head")).where("_head is not null")
     d = d.withColumn("_next", F.lead(payload).over(Window.partitionBy(*keys, CHUNK).orderBy(*order)))
-    d = _edge_join(d, heads, keys, cut).withColumn("_next", F.coalesce("_next", "_head"))
+    d = _edge_join(d, heads, keys).withColumn("_next", F.coalesce("_next", "_head"))
     return d.select(*df.columns, *[F.col(f"_next.{n}").alias(n) for n in cols])
 
 
@@ -170,14 +105,12 @@ def running_totals(
 ) -> DataFrame:
     """Adds inclusive running sums ``new: source`` per key. ``order`` must be a total order.
 
-    ``sized_by`` is a frame with the same key and order columns and at least as many rows whose
-    skew is cheaper to look at than that of ``df``.
+    ``sized_by`` is a frame with the same keys and at least as many rows that is cheaper to count.
     """
-    cut = find_cut(sized_by if sized_by is not None else df, keys, order[0], policy)
-    if cut.plain:
+    d, plain = cut_rows(df, keys, order, policy, sized_by)
+    if plain:
         w = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
         return df.withColumns({n: F.sum(c).over(w) for n, c in sums.items()})
-    d = with_chunk(df, keys, order[0], cut)
     w = Window.partitionBy(*keys, CHUNK).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     totals = d.where(F.col(CHUNK) >= 0).groupBy(*keys, CHUNK).agg(
         *[F.sum(c).alias(f"_t_{n}") for n, c in sums.items()]
@@ -185,7 +118,7 @@ def running_totals(
     before = Window.partitionBy(*keys).orderBy(CHUNK).rowsBetween(Window.unboundedPreceding, -1)
     totals = totals.select(*keys, CHUNK, *[F.sum(f"_t_{n}").over(before).alias(f"_b_{n}") for n in sums])
     d = d.withColumns({n: F.sum(c).over(w) for n, c in sums.items()})
-    d = _edge_join(d, totals, keys, cut)
+    d = _edge_join(d, totals, keys)
     return d.select(
         *df.columns, *[(F.col(n) + F.coalesce(F.col(f"_b_{n}"), F.lit(0))).alias(n) for n in sums]
     )

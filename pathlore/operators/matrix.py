@@ -11,9 +11,8 @@ from pathlore.functions.ordered import (
     CHUNK,
     DEFAULT,
     SkewPolicy,
-    find_cut,
+    cut_rows,
     quantiles,
-    with_chunk,
     with_next,
     with_position,
 )
@@ -86,16 +85,14 @@ def eventually_follow(log: DataFrame, mode: str = "count", policy: SkewPolicy =
         "distance": F.col("_pos").cast("double"),
         "time": F.unix_micros(F.col("ts").cast("timestamp")) / F.lit(1_000_000.0),
     }[mode]
-    cut = find_cut(log, ["case_id"], "ts", policy)
     placed = with_position(log, ["case_id"], ORDER, "_pos", policy) if mode == "distance" else log
     if mode == "time":  # times relative to one constant keep the sums small
         zero = log.agg(F.min(F.unix_micros(F.col("ts").cast("timestamp"))) / F.lit(1_000_000.0)).scalar()
         at = at - zero
     # one shuffle by case (and range, for hot cases) serves the join, the window and the sums
-    part = ["case_id"] if cut.plain else ["case_id", CHUNK]
-    events = with_chunk(placed, ["case_id"], "ts", cut).select(
-        *keys, *ORDER, CHUNK, F.col("activity").alias("dst"), at.alias("_at")
-    )
+    events = placed.select(*keys, *ORDER, F.col("activity").alias("dst"), at.alias("_at"))
+    events, plain = cut_rows(events, ["case_id"], ORDER, policy, sized_by=log)
+    part = ["case_id"] if plain else ["case_id", CHUNK]
     events = events.repartition(*[F.col(c) for c in part])
     seen = events.select(*part, F.col("dst").alias("src")).distinct()
     grid = events.join(seen, part)
@@ -106,17 +103,18 @@ def eventually_follow(log: DataFrame, mode: str = "count", policy: SkewPolicy =
     ).where("_n > 0")
     value = F.sum("_n") if mode == "count" else F.sum(F.col("_n") * F.col("_at") - F.col("_s"))
     inside = grid.groupBy(*keys, "src", "dst").agg(value.alias("value"))
-    if cut.plain:
+    if plain:
         return inside
     sums = events.where(F.col(CHUNK) >= 0).groupBy(*keys, CHUNK, F.col("dst").alias("act")).agg(
         _count().alias("n"), F.sum("_at").alias("s")
     )
-    chunks = sums.select(*keys, CHUNK).distinct()
-    earlier = sums.select(*keys, F.col(CHUNK).alias("_c1"), F.col("act").alias("src"), F.col("n").alias("n1"), F.col("s").alias("s1"))
-    # running sums of each activity at every range of its case: ranges x activities rows
-    upto = earlier.join(chunks, keys).where(F.col("_c1") < F.col(CHUNK)).groupBy(*keys, CHUNK, "src").agg(
-        F.sum("n1").alias("n1"), F.sum("s1").alias("s1")
-    )
+    # running sums of each activity over the ranges of its case: ranges x activities rows
+    chunks, acts = sums.select(*keys, CHUNK).distinct(), sums.select(*keys, F.col("act").alias("src")).distinct()
+    seen = sums.select(*keys, CHUNK, F.col("act").alias("src"), F.col("n").alias("_n1"), F.col("s").alias("_s1"))
+    ahead = Window.partitionBy(*keys, "src").orderBy(CHUNK).rowsBetween(Window.unboundedPreceding, -1)
+    upto = chunks.join(acts, keys).join(seen, [*keys, CHUNK, "src"], "left").select(
+        *keys, CHUNK, "src", F.sum("_n1").over(ahead).alias("n1"), F.sum("_s1").over(ahead).alias("s1")
+    ).where("n1 > 0")
     across = upto.join(sums.withColumnRenamed("act", "dst"), [*keys, CHUNK])
     crossing = F.sum(F.col("n1") * F.col("n")) if mode == "count" else F.sum(F.col("n1") * F.col("s") - F.col("s1") * F.col("n"))
     across = across.groupBy(*keys, "src", "dst").agg(crossing.alias("value"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -34,10 +35,17 @@ _OWN_DIR: list[str] = []
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder named by ``spark.checkpoint.dir``; a temporary one only where unset."""
+    """The shared folder named by ``spark.checkpoint.dir``.
+
+    Only a session whose driver and executors are one process on one machine may go without it
+    and gets a temporary folder; elsewhere executors would write where nobody else can read.
+    """
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if folder:
         return folder
+    master = spark.conf.get("spark.master", "local")
+    if not re.fullmatch(r"local(\[[^]]*\])?", master):
+        raise RuntimeError(f"spark.checkpoint.dir must name a shared folder when the master is {master}")
     if not _OWN_DIR:
         _OWN_DIR.append(tempfile.mkdtemp(prefix="pathlore-"))
     return _OWN_DIR[0]

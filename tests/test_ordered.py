@@ -6,15 +6,15 @@ import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from pathlore.functions.ordered import SkewPolicy, blocked_pairs, blocked_product, find_cut, quantiles, running_totals, with_next, with_position
+from pathlore.functions.ordered import CHUNK, SkewPolicy, blocked_pairs, blocked_product, cut_rows, quantiles, running_totals, with_next, with_position
 from pathlore.operators import matrix as M
 from pathlore.operators import process as P
 from pathlore.operators import stats as T
 from pathlore.plans.tables import event_log, table, user_log
 
-HOT = SkewPolicy(min_rows=1, share=0.0, chunk_rows=1, chunks=8)
+HOT = SkewPolicy(max_rows=0, chunk_rows=150)
 # only the largest keys: both routes in one query
-SOME = SkewPolicy(max_keys=5, min_rows=1, share=0.0, chunk_rows=1, chunks=16)
+SOME = SkewPolicy(max_rows=8, chunk_rows=20)
 
 
 def rows(df):
@@ -25,7 +25,7 @@ def rows(df):
 @pytest.mark.parametrize("keys", [["user_id"], [], ["event_type", "user_id"]])
 def test_next_and_position(spark, sf, keys, policy):
     e = table(spark, sf, "events").select("event_id", "ts", "user_id", "event_type")
-    assert not find_cut(e, keys, "ts", policy).plain
+    assert not cut_rows(e, keys, ["ts", "event_id"], policy)[1]
     w = Window.partitionBy(*keys).orderBy("ts", "event_id")
     want = e.select("event_id", F.lead("event_id").over(w).alias("nx"), F.row_number().over(w).cast("long").alias("pos"))
     nx = with_next(e, keys, ["ts", "event_id"], {"nx": "event_id"}, policy).select("event_id", "nx")
@@ -93,3 +93,17 @@ def test_blocks_cover_each_pair_once(spark):
 def test_ordinary_keys_need_no_extra_join(spark, sf):
     plan = with_next(table(spark, sf, "events"), ["user_id"], ["ts", "event_id"], {"nx": "event_type"})._jdf.queryExecution().toString()
     assert "Join" not in plan and plan.count("Exchange hashpartitioning") == 1
+
+
+def test_chunks_follow_each_key(spark):
+    """Fifty hot keys in time spans of their own, days of equal times, ids with a common prefix."""
+    day = F.expr("timestamp'2024-01-01' + make_interval(0, 0, 0, cast(id % 50 * 400 + id div 5000 as int))")
+    df = spark.range(50 * 2000).select((F.col("id") % 50).alias("k"), day.alias("ts"), F.format_string("student-000000%06d", "id").alias("name"))
+    df = df.union(spark.range(40).select((F.col("id") + 100).alias("k"), F.current_timestamp().alias("ts"), F.lit("x").alias("name")))
+    d, plain = cut_rows(df, ["k"], ["ts", "name"], SkewPolicy(max_rows=1000, chunk_rows=500))
+    sizes = {(r.k, r[CHUNK]): r["count"] for r in d.groupBy("k", CHUNK).count().collect()}
+    assert not plain and sum(sizes.values()) == df.count()
+    assert all((c == -1) == (k >= 100) for k, c in sizes) and max(sizes.values()) <= 1000
+    whole, _ = cut_rows(df.where("k < 50").drop("k"), [], ["name"], SkewPolicy(max_rows=1000, chunk_rows=500))
+    sizes = [r["count"] for r in whole.groupBy(CHUNK).count().collect()]
+    assert max(sizes) <= 1000 and sum(sizes) == 100_000
