@@ -1,7 +1,8 @@
 """Two-sided p-values for small result tables, as Arrow-batched columns.
 
 Spark SQL has no t, F, chi-square or normal distribution function. The two special functions
-behind all of them are summed here term by term over whole columns.
+behind all of them are summed here over whole columns until they converge, and by
+uniform asymptotic forms where a parameter is large.
 """
 
 from __future__ import annotations
@@ -14,58 +15,150 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
-_TERMS = 400
-_log_gamma = np.vectorize(math.lgamma, otypes=[float])
-_erfc = np.vectorize(math.erfc, otypes=[float])
+_LARGE = 1e5  # parameters from which the uniform asymptotic form is exact to 1e-9
+
+
+def _log_gamma(x: np.ndarray) -> np.ndarray:
+    return np.vectorize(math.lgamma, otypes=[float])(x)
+
+
+def _erfc(x: np.ndarray) -> np.ndarray:
+    return np.vectorize(math.erfc, otypes=[float])(x)
+
+
+def _stirling(z: np.ndarray) -> np.ndarray:
+    """log Gamma(z) minus (z - 1/2) log z - z + log(2 pi) / 2."""
+    z = np.asarray(z, float)
+    small = _log_gamma(z) - (z - 0.5) * np.log(z) + z - 0.5 * math.log(2 * math.pi)
+    w = np.maximum(z, 10.0)
+    return np.where(z < 10, small, 1 / (12 * w) - 1 / (360 * w**3) + 1 / (1260 * w**5) - 1 / (1680 * w**7))
+
+
+def _log1p_rest(u: np.ndarray) -> np.ndarray:
+    """u - log(1 + u), also where u is small."""
+    v = np.where(np.abs(u) < 0.02, u, 0.0)
+    series = sum((-1) ** k * v**k / k for k in range(2, 12))
+    with np.errstate(divide="ignore"):
+        return np.where(np.abs(u) < 0.02, series, u - np.log1p(u))
+
+
+def _continued(first: np.ndarray, terms) -> np.ndarray:
+    """first + a1 / (b1 + a2 / (b2 + ...)) until it no longer changes; ``terms(k)`` gives (a_k, b_k)."""
+    tiny = 1e-300
+    value = np.where(first == 0, tiny, first)
+    c, d = value.copy(), np.zeros_like(value)
+    k = 0
+    while True:
+        k += 1
+        a, b = terms(k)
+        d = b + a * d
+        d = 1 / np.where(d == 0, tiny, d)
+        c = b + a / c
+        c = np.where(c == 0, tiny, c)
+        step = c * d
+        value = value * step
+        if np.all(np.abs(step - 1) < 1e-15):
+            return value
+
+
+def _upper_gamma_large(a: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """Temme's uniform expansion of Q(a, x) for large a, with its first correction."""
+    u = (x - a) / a
+    half = _log1p_rest(u)
+    eta = np.sign(u) * np.sqrt(2 * half)
+    near = np.abs(eta) < 0.05
+    e = np.where(near, eta, 0.0)
+    series = -1 / 3 + e / 12 - 2 * e**2 / 135 + e**3 / 864 + e**4 / 2835 - 139 * e**5 / 777600
+    far = 1 / np.where(near, 1.0, u) - 1 / np.where(near, 1.0, eta)
+    rest = np.exp(-a * half) / np.sqrt(2 * math.pi * a) * np.where(near, series, far)
+    return 0.5 * _erfc(eta * np.sqrt(a / 2)) + rest
 
 
 def upper_gamma(a: np.ndarray, x: np.ndarray) -> np.ndarray:
     """Regularised upper incomplete gamma Q(a, x)."""
-    a, x = np.broadcast_arrays(np.asarray(a, float), np.asarray(x, float))
+    a, x = (v.copy() for v in np.broadcast_arrays(np.asarray(a, float), np.asarray(x, float)))
     out = np.full(a.shape, np.nan)
-    zero = x <= 0
-    out[zero] = 1.0
-    low = (x > 0) & (x < a + 1)
+    out[x <= 0] = 1.0
+    large = (x > 0) & (a > _LARGE)
+    if large.any():
+        out[large] = _upper_gamma_large(a[large], x[large])
+    front = lambda p, y: np.sqrt(p / (2 * math.pi)) * np.exp(-p * _log1p_rest((y - p) / p) - _stirling(p))
+    low = (x > 0) & (a <= _LARGE) & (x < a + 1)
     if low.any():
         al, xl = a[low], x[low]
-        term = 1.0 / al
+        term, k = 1 / al, 0
         total = term.copy()
-        for k in range(1, _TERMS):
+        while np.any(term > 1e-17 * total):
+            k += 1
             term = term * xl / (al + k)
             total += term
-        out[low] = 1.0 - total * np.exp(al * np.log(xl) - xl - _log_gamma(al))
-    high = x >= a + 1
+        out[low] = 1.0 - total * front(al, xl)
+    high = (x > 0) & (a <= _LARGE) & (x >= a + 1)
     if high.any():
         ah, xh = a[high], x[high]
-        value = np.zeros_like(xh)
-        for k in range(_TERMS, 0, -1):  # continued fraction from the tail
-            value = k * (k - ah) / (xh + 2 * k + 1 - ah - value)
-        out[high] = np.exp(ah * np.log(xh) - xh - _log_gamma(ah)) / (xh + 1 - ah - value)
-    return out
-
-
-def lower_beta(a: np.ndarray, b: np.ndarray, x: np.ndarray) -> np.ndarray:
-    """Regularised incomplete beta I_x(a, b)."""
-    a, b, x = np.broadcast_arrays(*(np.asarray(v, float) for v in (a, b, x)))
+        tail = _continued(xh + 1 - ah, lambda k: (-k * (k - ah), xh + 2 * k + 1 - ah))
+        out[high] = front(ah, xh) / tail
+    return np.clip(out, 0, 1)
+
+
+def _lower_beta_large(a: np.ndarray, b: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """Temme's uniform expansion of I_x(a, b) for large a and b, with its first correction."""
+    r = a + b
+    x0, y0 = a / r, b / r
+    d = x - x0
+    half = x0 * _log1p_rest(d / x0) + y0 * _log1p_rest(-d / y0)
+    eta = np.sign(d) * np.sqrt(2 * half)
+    s = np.sqrt(x0 * y0)
+    close = np.abs(d) < 1e-8 * s
+    rest = np.where(close, (1 - 2 * x0) / (3 * s), 1 / np.where(close, 1.0, eta) - s / np.where(close, 1.0, d))
+    return 0.5 * _erfc(-eta * np.sqrt(r / 2)) + np.exp(-r * half) / np.sqrt(2 * math.pi * r) * rest
+
+
+def lower_beta(a: np.ndarray, b: np.ndarray, x: np.ndarray, rest: np.ndarray | None = None) -> np.ndarray:
+    """Regularised incomplete beta I_x(a, b); ``rest`` is 1 - x where that is known more exactly."""
+    rest = 1 - np.asarray(x, float) if rest is None else rest
+    a, b, x, left = np.broadcast_arrays(*(np.asarray(v, float) for v in (a, b, x, rest)))
     out = np.where(x <= 0, 0.0, np.where(x >= 1, 1.0, np.nan))
-    inside = (x > 0) & (x < 1)
+    out = np.where((x >= 1) & (left > 0), np.nan, out)
+    inside = (x > 0) & (left > 0)
     if not inside.any():
         return out
-    a, b, x = a[inside], b[inside], x[inside]
+    a, b, x, left = a[inside], b[inside], x[inside], left[inside]
+    part = np.full(a.shape, np.nan)
+    large = np.minimum(a, b) > _LARGE
+    if large.any():
+        part[large] = _lower_beta_large(a[large], b[large], x[large])
+    # one side far larger than the other: the gamma limit, exact to 1 / side squared
+    for p, q, small, flip in ((a, b, left, False), (b, a, x, True)):
+        one = np.isnan(part) & (p > 1e6 * np.maximum(q, 1) ** 1.5)
+        if one.any():
+            near = -(p[one] + (q[one] - 1) / 2) * np.log1p(-small[one])
+            value = upper_gamma(q[one], near)
+            part[one] = 1 - value if flip else value
+    rest = np.isnan(part)
+    if rest.any():
+        part[rest] = _lower_beta_fraction(a[rest], b[rest], x[rest])
+    out[inside] = np.clip(part, 0, 1)
+    return out
+
+
+def _lower_beta_fraction(a: np.ndarray, b: np.ndarray, x: np.ndarray) -> np.ndarray:
     swap = x > (a + 1) / (a + b + 2)
     p, q, y = np.where(swap, b, a), np.where(swap, a, b), np.where(swap, 1 - x, x)
-    tail = np.ones_like(y)
-    for m in range(_TERMS, 0, -1):  # continued fraction from the tail
-        even = m * (q - m) * y / ((p + 2 * m - 1) * (p + 2 * m))
-        odd = -(p + m) * (p + q + m) * y / ((p + 2 * m) * (p + 2 * m + 1))
-        tail = 1 + even / (1 + odd / tail)
-    first = -(p + q) * y / (p + 1)
-    front = np.exp(
-        p * np.log(y) + q * np.log1p(-y) - np.log(p) + _log_gamma(p + q) - _log_gamma(p) - _log_gamma(q)
-    )
-    part = front / (1 + first / tail)
-    out[inside] = np.where(swap, 1 - part, part)
-    return out
+
+    def terms(k):
+        m = k // 2
+        if k % 2:
+            return -(p + m) * (p + q + m) * y / ((p + 2 * m) * (p + 2 * m + 1)), 1.0
+        return m * (q - m) * y / ((p + 2 * m - 1) * (p + 2 * m)), 1.0
+
+    fraction = _continued(np.ones_like(y), terms)
+    x0 = p / (p + q)
+    d = y - x0
+    power = -p * _log1p_rest(d / x0) - q * _log1p_rest(-d / (1 - x0))
+    front = np.sqrt(q / (2 * math.pi * p * (p + q))) * np.exp(power + _stirling(p + q) - _stirling(p) - _stirling(q))
+    part = front / fraction
+    return np.where(swap, 1 - part, part)
 
 
 def _valid(*columns: pd.Series) -> np.ndarray:
@@ -82,12 +175,12 @@ def _masked(fn, *columns: pd.Series) -> pd.Series:
 
 @F.pandas_udf(DoubleType())
 def _p_t(t: pd.Series, df: pd.Series) -> pd.Series:
-    return _masked(lambda s, d: lower_beta(d / 2, 0.5, d / (d + s * s)), t, df)
+    return _masked(lambda s, d: lower_beta(d / 2, 0.5, d / (d + s * s), s * s / (d + s * s)), t, df)
 
 
 @F.pandas_udf(DoubleType())
 def _p_f(f: pd.Series, df1: pd.Series, df2: pd.Series) -> pd.Series:
-    return _masked(lambda s, a, b: lower_beta(b / 2, a / 2, b / (b + a * s)), f, df1, df2)
+    return _masked(lambda s, a, b: lower_beta(b / 2, a / 2, b / (b + a * s), a * s / (b + a * s)), f, df1, df2)
 
 
 @F.pandas_udf(DoubleType())

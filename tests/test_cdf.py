@@ -20,10 +20,42 @@ def test_closed_forms():
     assert lower_beta(2.0, 3.0, u) == pytest.approx(6 * u**2 - 8 * u**3 + 3 * u**4)
 
 
-def test_large_parameters():
-    # an F or chi-square near its mean has a tail near one half
-    assert 0.45 < upper_gamma(5000.0, np.array([5000.0]))[0] < 0.55
-    assert lower_beta(5000.0, 5000.0, np.array([0.5]))[0] == pytest.approx(0.5)
+def _integral(log_density, lo, hi, n=400_001):
+    x = np.linspace(lo, hi, n)
+    y = np.exp(log_density(x))
+    return (y.sum() - (y[0] + y[-1]) / 2) * (x[1] - x[0])
+
+
+@pytest.mark.parametrize("df", [10.0, 1e5, 1e8])
+@pytest.mark.parametrize("z", [-3.0, -0.5, 0.0, 1.0, 4.0])
+def test_tails_against_quadrature(df, z):
+    a = df / 2
+    x = a + z * math.sqrt(a)
+    # Gamma(a): the density around its mode, on a scale where nothing cancels
+    log_gamma = lambda v: (a - 1) * np.log1p((v - a) / a) - (v - a)
+    lo, hi = max(1e-9, a - 14 * math.sqrt(a)), a + 60 + 14 * math.sqrt(a)
+    if x > 0:
+        whole = _integral(log_gamma, lo, hi)
+        assert upper_gamma(a, np.array([x]))[0] == pytest.approx(_integral(log_gamma, max(x, lo), hi) / whole, abs=1e-8)
+    # Beta(a, b) with b near a
+    b = 0.8 * a
+    x0, s = a / (a + b), math.sqrt(a * b / (a + b) ** 3)
+    y = x0 + z * s
+    log_beta = lambda v: (a - 1) * np.log1p((v - x0) / x0) + (b - 1) * np.log1p(-(v - x0) / (1 - x0))
+    lo, hi = max(1e-9, x0 - 14 * s), min(1 - 1e-9, x0 + 14 * s)
+    if 0 < y < 1:
+        part = _integral(log_beta, lo, max(y, lo)) / _integral(log_beta, lo, hi)
+        assert lower_beta(a, b, np.array([y]))[0] == pytest.approx(part, abs=1e-8)
+
+
+def test_large_degrees():
+    # t with many degrees of freedom is normal, F(d, infinity) is chi-square
+    for df in (1e6, 1e8, 1e12, 1e14):
+        t = 0.5
+        assert lower_beta(df / 2, 0.5, np.array([df / (df + t * t)]), t * t / (df + t * t))[0] == pytest.approx(math.erfc(t / math.sqrt(2)), abs=1e-6)
+    assert lower_beta(5e7, 5e7, np.array([0.5]))[0] == pytest.approx(0.5, abs=1e-12)
+    assert upper_gamma(5e7, np.array([5e7]))[0] == pytest.approx(0.5 - 1 / (3 * math.sqrt(2 * math.pi * 5e7)), abs=1e-10)
+    assert lower_beta(1e-3, 5.0, np.array([1e-12]))[0] > 0.9
 
 
 def test_columns(spark):
