@@ -10,6 +10,8 @@ from pathlore.operators.log import pairs_all
 from pathlore.operators.matrix import ORDER, steps
 
 
+EDGE = "\u2192"  # between the activities of a transition that is one feature
+
 def dfg(log: DataFrame, policy: SkewPolicy = DEFAULT) -> DataFrame:
     return steps(log, policy).groupBy("src", "dst").agg(F.count(F.lit(1)).alias("n"))
 
@@ -110,8 +112,12 @@ def student_vs_models(log: DataFrame, model1: DataFrame, model2: DataFrame, poli
     return moves.groupBy("user_id").agg(*fits)
 
 
-def edges_from_contribution(contribution: DataFrame, k: int, feature: str = "feature", sep: str = "-") -> DataFrame:
-    """Edges ``a-b`` of the k transitions that contribute most."""
+def edges_from_contribution(contribution: DataFrame, k: int, feature: str = "feature", sep: str = EDGE) -> DataFrame:
+    """Edges of the k transitions that contribute most; ``sep`` stands between their activities.
+
+    Activity names hold hyphens, so features are to be joined by a character that no name has.
+    """
     top = contribution.orderBy(F.desc("contribution"), feature).limit(k)
-    parts = F.split(F.col(feature), sep)
-    return top.select(F.get(parts, F.lit(0)).alias("src"), F.get(parts, F.lit(1)).alias("dst"), "contribution")
+    at = F.instr(F.col(feature), sep)
+    src, dst = F.substring(F.col(feature), F.lit(1), at - 1), F.substring(F.col(feature), at + len(sep), F.length(feature))
+    return top.select(F.when(at > 0, src).alias("src"), F.when(at > 0, dst).alias("dst"), "contribution")

@@ -17,6 +17,9 @@ from pathlore.functions.ordered import DEFAULT, SkewPolicy, blocked_pairs, block
 
 
 
+_NOTHING = 1e-28  # squared relative spread that is rounding of a constant
+
+
 def _count() -> Column:
     return F.count(F.lit(1))
 
@@ -33,19 +36,23 @@ def corr_with_target(features: DataFrame, target: DataFrame, on: str = "user_id"
     """Correlation of each feature with a target, zeros counted, sorted by feature correlation.
 
     Absent cells of the long matrix are zeros: sums run over present cells, n over all users.
+    All sums are of deviations from the means, so large values lose no digits.
     """
     y = target.select(on, F.col("target").cast("double").alias("y"))
     users = features.select(on).distinct().join(y, on)
-    whole = users.agg(_count().alias("n"), F.sum("y").alias("sy"), F.sum(F.col("y") * F.col("y")).alias("syy"))
-    part = features.join(y, on).groupBy("feature").agg(
-        F.sum("value").alias("sx"),
-        F.sum(F.col("value") * F.col("value")).alias("sxx"),
-        F.sum(F.col("value") * F.col("y")).alias("sxy"),
+    whole = users.agg(_count().alias("n"), F.avg("y").alias("my"), F.var_pop("y").alias("vy"))
+    n, my, vy = (whole.select(c).scalar() for c in ("n", "my", "vy"))
+    cells = features.join(y, on).select("feature", F.col("value").cast("double").alias("x"), (F.col("y") - my).alias("dy"))
+    means = cells.groupBy("feature").agg((F.sum("x") / n).alias("mx"), _count().alias("c"))
+    dx = F.col("x") - F.col("mx")
+    part = cells.join(means, "feature").groupBy("feature", "mx", "c").agg(
+        F.sum(dx * dx).alias("sxx"), F.sum(dx * F.col("dy")).alias("sxy"), F.sum("dy").alias("sy")
     )
-    n, sy, syy = (whole.select(c).scalar() for c in ("n", "sy", "syy"))
-    cov = n * F.col("sxy") - F.col("sx") * sy
-    spread = (n * F.col("sxx") - F.col("sx") * F.col("sx")) * (n * syy - sy * sy)
-    return part.select("feature", F.when(spread > 0, cov / F.sqrt(spread)).alias("r")).orderBy("r", "feature")
+    # deviations of y add up to zero, so those of the absent cells are minus those of the present ones
+    cov = F.col("sxy") + F.col("mx") * F.col("sy")
+    sxx = F.col("sxx") + (n - F.col("c")) * F.col("mx") * F.col("mx")
+    r = F.when((sxx > _NOTHING * n * F.col("mx") * F.col("mx")) & (vy > _NOTHING * my * my), cov / F.sqrt(sxx * vy * n))
+    return part.select("feature", r.alias("r")).orderBy("r", "feature")
 
 
 def corr_matrix(
@@ -60,7 +67,9 @@ def corr_matrix(
 
     Cells absent from the long form are zeros. Variables are hashed to blocks of about ``block``
     and observations to slices, so each task multiplies two matrices of bounded size whatever
-    the shape of the input; what leaves it is sums per pair of variables, never row pairs.
+    the shape of the input; what leaves it is sums per pair of variables, never row pairs. Means
+    are subtracted before the product, so large values lose no digits; observations that a task
+    does not see are absent for both variables and add the product of the means.
     """
     import numpy as np
     import pandas as pd
@@ -71,7 +80,10 @@ def corr_matrix(
     kind = dict(matrix.dtypes)[variable]
     cells = matrix.where(F.col(value).isNotNull()).groupBy(variable, observation).agg(F.sum(value).cast("double").alias("x"))
     cells = cells.select(F.col(variable).alias("v"), F.xxhash64(observation).alias("o"), "x")
-    sums = cells.groupBy("v").agg(F.sum("x").alias("s"), F.sum(F.col("x") * F.col("x")).alias("ss"))
+    means = cells.groupBy("v").agg((F.sum("x") / n).alias("m"), _count().alias("_c"))
+    cells = cells.join(means.select("v", "m"), "v").select("v", "o", "m", (F.col("x") - F.col("m")).alias("d"))
+    squares = cells.groupBy("v").agg(F.sum(F.col("d") * F.col("d")).alias("_dd"))
+    sums = means.join(squares, "v").select("v", "m", (F.col("_dd") + (n - F.col("_c")) * F.col("m") * F.col("m")).alias("ss"))
 
     def owned(names, home, key):
         i, j = np.triu_indices(len(names), 1)
@@ -81,32 +93,33 @@ def corr_matrix(
     def multiply(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         names, row = np.unique(pdf["v"].to_numpy(), return_inverse=True)
         seen, col = np.unique(pdf["o"].to_numpy(), return_inverse=True)
-        x = np.zeros((len(names), len(seen)))
-        x[row, col] = pdf["x"].to_numpy()
+        mean = np.empty(len(names))
+        mean[row] = pdf["m"].to_numpy()
+        x = np.repeat(-mean[:, None], len(seen), axis=1)
+        x[row, col] = pdf["d"].to_numpy()
         home = np.empty(len(names), dtype=np.int64)
         home[row] = pdf["_block"].to_numpy()
         i, j = owned(names, home, key)
-        sxy = (x @ x.T)[i, j]
-        some = sxy != 0
-        return pd.DataFrame({"u": names[i[some]], "v": names[j[some]], "sxy": sxy[some]})
+        return pd.DataFrame({"u": names[i], "v": names[j], "sxy": (x @ x.T)[i, j], "seen": len(seen)})
 
     def pair_up(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("v", ignore_index=True)
         i, j = owned(pdf["v"].to_numpy(), pdf["_block"].to_numpy(), key)
         cols = {"u": pdf["v"].to_numpy()[i], "v": pdf["v"].to_numpy()[j]}
-        for c in ("s", "ss"):
+        for c in ("m", "ss"):
             cols |= {f"{c}1": pdf[c].to_numpy()[i], f"{c}2": pdf[c].to_numpy()[j]}
         return pd.DataFrame(cols)
 
     sliced = blocked_pairs(cells, "v", blocks).withColumn("_slice", F.pmod(F.col("o"), F.lit(slices)))
-    products = sliced.groupBy("_bi", "_bj", "_slice").applyInPandas(multiply, f"u {kind}, v {kind}, sxy double")
-    products = products.groupBy("u", "v").agg(F.sum("sxy").alias("sxy"))
+    products = sliced.groupBy("_bi", "_bj", "_slice").applyInPandas(multiply, f"u {kind}, v {kind}, sxy double, seen long")
+    products = products.groupBy("u", "v").agg(F.sum("sxy").alias("sxy"), F.sum("seen").alias("seen"))
     pairs = blocked_pairs(sums, "v", blocks).groupBy("_bi", "_bj").applyInPandas(
-        pair_up, f"u {kind}, v {kind}, s1 double, s2 double, ss1 double, ss2 double"
+        pair_up, f"u {kind}, v {kind}, m1 double, m2 double, ss1 double, ss2 double"
     )
-    cov = n * F.coalesce("sxy", F.lit(0.0)) - F.col("s1") * F.col("s2")
-    spread = (n * F.col("ss1") - F.col("s1") * F.col("s1")) * (n * F.col("ss2") - F.col("s2") * F.col("s2"))
-    rho = F.when(spread > 0, F.greatest(F.lit(-1.0), F.least(F.lit(1.0), cov / F.sqrt(spread))))
+    cov = F.coalesce("sxy", F.lit(0.0)) + (n - F.coalesce("seen", F.lit(0))) * F.col("m1") * F.col("m2")
+    varied = [F.col(f"ss{k}") > _NOTHING * n * F.col(f"m{k}") * F.col(f"m{k}") for k in (1, 2)]
+    r = cov / (F.sqrt("ss1") * F.sqrt("ss2"))
+    rho = F.when(varied[0] & varied[1], F.greatest(F.lit(-1.0), F.least(F.lit(1.0), r)))
     return pairs.join(products, ["u", "v"], "left").select("u", "v", rho.alias("rho"))
 
 
@@ -185,12 +198,19 @@ def ks_two_sample(df: DataFrame, group: str, value: str, pair: tuple, by: tuple[
 
 
 def anova_oneway(df: DataFrame, group: str, value: str, by: tuple[str, ...] = ()) -> DataFrame:
+    """One-way F; the spread between groups is taken around a group's mean, so large values lose no digits."""
     g = moments(df, group, value, by)
+    about = g.groupBy(*by).agg(F.min("mean").alias("_about"))
+    if by:
+        g = g.join(about, list(by))
+    else:
+        g = g.withColumn("_about", about.scalar())
+    off = F.col("mean") - F.col("_about")
     s = g.groupBy(*by).agg(
         F.count(F.lit(1)).alias("_k"),
         F.sum("n").alias("_n"),
-        F.sum(F.col("n") * F.col("mean")).alias("_s"),
-        F.sum(F.col("n") * F.col("mean") * F.col("mean")).alias("_ss"),
+        F.sum(F.col("n") * off).alias("_s"),
+        F.sum(F.col("n") * off * off).alias("_ss"),
         F.sum((F.col("n") - 1) * F.coalesce("var", F.lit(0.0))).alias("_within"),
     )
     df1, df2 = F.col("_k") - 1, F.col("_n") - F.col("_k")
@@ -348,15 +368,22 @@ def kurtosis(df: DataFrame, value: str, by: tuple[str, ...] = ()) -> DataFrame:
 
 
 def compare_means(df: DataFrame, group: str, pair: tuple, feature: str = "feature", value: str = "value", policy: SkewPolicy = DEFAULT) -> DataFrame:
-    """Per feature: means and sds of both groups with the rank test; names ``type_week`` are split."""
+    """Per feature: means and sds of both groups with the rank test; names ``type_week`` are split
+    at the last underscore."""
     aggs = []
     for i, g in enumerate(pair, 1):
         x = F.when(F.col(group) == g, F.col(value))
         aggs += [F.avg(x).alias(f"mean{i}"), F.stddev_samp(x).alias(f"sd{i}")]
     m = df.groupBy(feature).agg(*aggs)
     u = mann_whitney(df, group, value, pair, (feature,), policy)
-    parts = F.split(F.col(feature).cast("string"), "_")
-    return m.join(u, feature).withColumns({"material_type": F.get(parts, F.lit(0)), "of_week": F.get(parts, F.lit(1))})
+    name, split = F.col(feature).cast("string"), "(?s)^(.*)_([^_]*)$"
+    found = name.rlike(split)
+    return m.join(u, feature).withColumns(
+        {
+            "material_type": F.when(found, F.regexp_extract(name, split, 1)).otherwise(name),
+            "of_week": F.when(found, F.regexp_extract(name, split, 2)),
+        }
+    )
 
 
 def community_scores(members: DataFrame, scores: DataFrame, test_groups: int = 8, policy: SkewPolicy = DEFAULT) -> tuple[DataFrame, DataFrame]:
@@ -388,12 +415,16 @@ def bartlett_kmo(matrix: DataFrame, variable: str, observation: str, value: str
     rho = corr_matrix(matrix, variable, observation, value)
     names, r = symmetric(rho, "u", "v", "rho", diagonal=1.0, limit=max_features)
     p = len(names)
-    sign, logdet = np.linalg.slogdet(r)
-    chi2 = -(n - 1 - (2 * p + 5) / 6) * logdet
-    inv = np.linalg.inv(r)
+    # constant features have no correlation; a singular matrix (fewer rows than features, repeated
+    # features) has no determinant to test, and its partial correlations come from the pseudo-inverse
+    fixed = ~np.isfinite(r).all(axis=1) if p else np.empty(0, bool)
+    r = np.where(np.isfinite(r), r, 0.0)
+    singular = bool(fixed.any()) or np.linalg.matrix_rank(r) < p
+    chi2 = None if singular else float(-(n - 1 - (2 * p + 5) / 6) * np.linalg.slogdet(r)[1])
+    inv = np.linalg.pinv(r, hermitian=True) if singular else np.linalg.inv(r)
     partial = -inv / np.sqrt(np.outer(np.diag(inv), np.diag(inv)))
     off = ~np.eye(p, dtype=bool)
     kmo = (r[off] ** 2).sum() / ((r[off] ** 2).sum() + (partial[off] ** 2).sum())
     spark = matrix.sparkSession
-    out = spark.createDataFrame([(float(chi2), p * (p - 1) / 2, float(kmo))], "statistic double, df1 double, kmo double")
+    out = spark.createDataFrame([(chi2, p * (p - 1) / 2, float(kmo))], "statistic double, df1 double, kmo double")
     return out.withColumn("p_value", p_chi2(F.col("statistic"), F.col("df1")))

@@ -316,15 +316,15 @@ def top_k_per_group(spark, sf):
     return L.top_k(part, 5, [F.desc("p_retailprice"), F.asc("p_partkey")], by=["p_type"])
 
 
-_YEARS = """y6 AS (SELECT o_custkey AS user_id, count(*) AS orders6, CAST(count(*) FILTER (o_orderstatus = 'F') AS BIGINT) AS closed FROM orders WHERE year(o_orderdate) = 1996 GROUP BY 1),
-      y7 AS (SELECT o_custkey AS user_id, count(*) AS orders7, CAST(count(*) FILTER (o_orderstatus = 'F') AS BIGINT) AS closed FROM orders WHERE year(o_orderdate) = 1997 GROUP BY 1)"""
+_YEARS = """y6 AS (SELECT o_custkey AS user_id, count(*) AS orders6, CAST(count(*) FILTER (o_orderstatus = 'F') AS BIGINT) AS closed FROM orders WHERE year(o_orderdate) <= 1995 GROUP BY 1),
+      y7 AS (SELECT o_custkey AS user_id, count(*) AS orders7, CAST(count(*) FILTER (o_orderstatus = 'F') AS BIGINT) AS closed FROM orders WHERE year(o_orderdate) > 1995 GROUP BY 1)"""
 
 
 def _years(spark, sf):
     o = table(spark, sf, "orders").select(F.col("o_custkey").alias("user_id"), F.year("o_orderdate").alias("y"), "o_orderstatus")
     return [
-        o.where(F.col("y") == 1990 + i).groupBy("user_id").agg(F.count(F.lit(1)).alias(f"orders{i}"), F.count_if(F.col("o_orderstatus") == "F").alias("closed"))
-        for i in (6, 7)
+        o.where(part).groupBy("user_id").agg(F.count(F.lit(1)).alias(f"orders{i}"), F.count_if(F.col("o_orderstatus") == "F").alias("closed"))
+        for i, part in ((6, "y <= 1995"), (7, "y > 1995"))
     ]
 
 

@@ -151,13 +151,13 @@ def cross_year(spark, sf):
 
 @query(
     "cross_year_shared",
-    """WITH a AS (SELECT l_suppkey AS user_id, l_partkey % 97 AS feature, count(*) AS value FROM lineitem WHERE year(l_shipdate) = 1996 GROUP BY ALL),
-      b AS (SELECT DISTINCT l_partkey % 97 AS feature FROM lineitem WHERE year(l_shipdate) = 1997 AND l_partkey % 97 % 2 = 0) SELECT user_id, feature, value FROM a WHERE feature IN (SELECT feature FROM b)""",
+    """WITH a AS (SELECT l_suppkey AS user_id, l_partkey % 97 AS feature, count(*) AS value FROM lineitem WHERE year(l_shipdate) <= 1995 GROUP BY ALL),
+      b AS (SELECT DISTINCT l_partkey % 97 AS feature FROM lineitem WHERE year(l_shipdate) > 1995) SELECT user_id, feature, value FROM a WHERE feature IN (SELECT feature FROM b)""",
 )
 def cross_year_shared(spark, sf):
     l = table(spark, sf, "lineitem").select(F.col("l_suppkey").alias("user_id"), (F.col("l_partkey") % 97).alias("feature"), F.year("l_shipdate").alias("y"))
-    a = l.where("y = 1996").groupBy("user_id", "feature").agg(F.count(F.lit(1)).alias("value"))
-    return shared_columns(a, l.where("y = 1997 and feature % 2 = 0")).select("user_id", "feature", "value")
+    a = l.where("y <= 1995").groupBy("user_id", "feature").agg(F.count(F.lit(1)).alias("value"))
+    return shared_columns(a, l.where("y > 1995")).select("user_id", "feature", "value")
 
 
 @query(

@@ -93,12 +93,12 @@ def dfg_fitness(spark, sf):
 @query(
     "dfg_precision",
     with_("log", _NEXT, _DFG, _MODEL, _RARE)
-    + f"""SELECT count(*) FILTER (EXISTS (SELECT 1 FROM nx WHERE nx.src = m.src AND nx.dst = m.dst AND nx.user_id < 20 AND nx.week = 0)) AS seen_edges, count(*) AS open_edges,
-      {rnd('count(*) FILTER (EXISTS (SELECT 1 FROM nx WHERE nx.src = m.src AND nx.dst = m.dst AND nx.user_id < 20 AND nx.week = 0)) / count(*)')} AS precision
-      FROM m WHERE src IN (SELECT activity FROM log WHERE user_id < 20 AND week = 0)""",
+    + f"""SELECT count(*) FILTER (EXISTS (SELECT 1 FROM nx WHERE nx.src = m.src AND nx.dst = m.dst)) AS seen_edges, count(*) AS open_edges,
+      {rnd('count(*) FILTER (EXISTS (SELECT 1 FROM nx WHERE nx.src = m.src AND nx.dst = m.dst)) / count(*)')} AS precision
+      FROM m WHERE src IN (SELECT activity FROM log)""",
 )
 def dfg_precision(spark, sf):
-    return out(P.dfg_precision(event_log(spark, sf).where("user_id < 20 and week = 0"), _model(spark, sf)))
+    return out(P.dfg_precision(event_log(spark, sf), _model(spark, sf)))
 
 
 @query(

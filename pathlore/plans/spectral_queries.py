@@ -3,7 +3,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from pathlore.operators import spectral as X
-from pathlore.operators.process import edges_from_contribution
+from pathlore.operators.process import EDGE, edges_from_contribution
 from pathlore.operators.matrix import direct_follow, case_to_user
 from pathlore.operators.stats import corr_matrix
 from pathlore.plans.registry import out, query, rnd
@@ -22,7 +22,7 @@ def _weekly(spark, sf):
 def _user_moves(spark, sf):
     """user x transition counts, the matrix the cleaning is meant for."""
     m = case_to_user(direct_follow(event_log(spark, sf).drop("week")))
-    return m.select("user_id", F.concat_ws("-", "src", "dst").alias("feature"), F.col("value").cast("double").alias("value"))
+    return m.select("user_id", F.concat_ws(EDGE, "src", "dst").alias("feature"), F.col("value").cast("double").alias("value"))
 
 
 def _user_vectors(spark, sf):
@@ -74,13 +74,13 @@ def pca_scores_raw(spark, sf):
     return out(X.scores_long(X.pca_scores(v, X.pca(v, scaled=False), 8), "vec_id"))
 
 
-# the first 64 vectors read as a table of loadings with falling eigenvalues
-_TABLE = """tb AS (SELECT vec_id + 1 AS pc, 100.0 / (vec_id + 1) AS eigenvalue, feature, value AS loading FROM features WHERE vec_id < 64),
+# the vectors read as a table of loadings with falling eigenvalues
+_TABLE = """tb AS (SELECT vec_id + 1 AS pc, 100.0 / (vec_id + 1) AS eigenvalue, feature, value AS loading FROM features),
       ev AS (SELECT DISTINCT pc, CAST(eigenvalue AS DOUBLE) AS eigenvalue FROM tb)"""
 
 
 def _table(spark, sf):
-    f = features(spark, sf).where("vec_id < 64")
+    f = features(spark, sf)
     t = f.select((F.col("vec_id") + 1).alias("pc"), (100.0 / (F.col("vec_id") + 1)).alias("eigenvalue"), "feature", F.col("value").alias("loading"))
     total = t.select("pc", "eigenvalue").distinct().agg(F.sum("eigenvalue")).scalar()
     return t.withColumn("ratio", F.col("eigenvalue") / total)
