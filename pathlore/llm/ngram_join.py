@@ -2,14 +2,17 @@
 
 Two sets of n-grams x, y with 100 * |x & y| >= 75 * |x | y| share at least 3/7 (|x| + |y|) n-grams,
 and if both are sorted by one global order, at least one among the first |x| - ceil(0.75 |x|) + 1
-of each. Columns of the product are therefore those first n-grams only, rarest first; they are
-dealt to blocks by hash. In a block the texts of a column are known; columns of one text are
-dropped. Overlaps are accumulated over columns for the pairs that matter, pairs whose count cannot
-reach the bound by size are discarded, and the rest are counted exactly.
-
-Texts with equal sets are one row of the product. To find components not every pair is needed:
-each text is first tried with one text, of smallest hash among those it shares columns with; then only pairs of texts in different components of these links are accumulated. A link
-between two different texts is thus found or already implied.
+of each. The columns that bring texts together are therefore those first n-grams only, rarest
+first. They are dealt to blocks by hash; columns of one text are dropped, and texts with equal
+sets are one row.
+
+To find components not every pair is needed. Each text is first tried with one text, of smallest
+hash among those it shares columns with. Columns whose texts are then all in one component are
+closed. The texts of the others are put into blocks of bounded size, texts that share columns
+together, and each pair of blocks that shares an open column is multiplied: overlaps are
+accumulated over slices of n-grams for all rows of both, pairs below the bound that their sizes
+give are discarded, and what leaves the task is one link per pair of components. A link between
+two different texts is thus found or already implied.
 """
 
 from __future__ import annotations
@@ -30,6 +33,8 @@ SLICE_BYTES = 1_000_000
 BLOCK_BYTES = 32_000_000  # text bytes per block of columns
 COUNTERS = 1 << 16  # frequency counters, whatever the size of the corpus; they only set the column order
 SALTS = 16
+ROWS, GRAMS = 1000, 300_000  # texts and n-grams of a block of the product, but for a longer text
+COLUMNS = 4096  # n-grams multiplied at once
 
 
 def _sets(texts: Texts, lo: int, hi: int, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -259,22 +264,25 @@ def _with_sets(docs: DataFrame, n: int, wanted: DataFrame) -> DataFrame:
 
     near = docs.mapInArrow(keep, "id long, text string")
     schema = ["id long", *[f"{c} long" for c in extra], "grams binary"]
-    return near.join(wanted, "id").select("id", *extra, "text").mapInArrow(run, ", ".join(schema))
+    return near.join(wanted.hint("merge"), "id").select("id", *extra, "text").mapInArrow(run, ", ".join(schema))
+
+
+def _six(value) -> np.ndarray:
+    """Hashes of 6 bytes."""
+    raw = np.frombuffer(value.as_buffer(), np.uint8).reshape(-1, 6)
+    wide = np.zeros((len(raw), 8), dtype=np.uint8)
+    wide[:, :6] = raw
+    return wide.view(np.uint64).reshape(-1)
 
 
 def _linked(pairs: DataFrame, percent: int) -> DataFrame:
     """Pairs (a, b) of ``pairs`` (a, b, x, y) whose exact overlap reaches the similarity."""
 
-    def six(value):
-        wide = np.zeros((len(value.as_buffer()) // 6, 8), dtype=np.uint8)
-        wide[:, :6] = np.frombuffer(value.as_buffer(), np.uint8).reshape(-1, 6)
-        return wide.view(np.uint64).reshape(-1)
-
     def run(batches):
         for batch in batches:
             keep = []
             for x, y in zip(batch.column("x"), batch.column("y")):
-                x, y = six(x), six(y)
+                x, y = _six(x), _six(y)
                 both = len(np.intersect1d(x, y, assume_unique=True))
                 keep.append(100 * both >= percent * (len(x) + len(y) - both) and both > 0)
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
@@ -282,17 +290,42 @@ def _linked(pairs: DataFrame, percent: int) -> DataFrame:
     return pairs.select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
 
 
-def _reaching(rows: DataFrame) -> DataFrame:
-    """Accumulates columns to overlaps of pairs and discards pairs below the bound by their sizes.
-
-    ``rows`` (a, b, n_a, n_b) has a row per common column. Common
-    n-grams up to the earlier of two texts' last columns are columns of both, and behind it that
-    text has ceil(0.75 n) - 1 n-grams left; together they must reach 3/7 of both sizes. The bound
-    leaves one for two columns of a text that share a key.
-    """
-    need = F.floor((3 * F.greatest("n_a", "n_b") + 3) / 4)
-    counted = rows.groupBy("a", "b", "n_a", "n_b").agg(F.count(F.lit(1)).alias("common"))
-    return counted.where(7 * (F.col("common") + need) >= 3 * (F.col("n_a") + F.col("n_b")))
+def _product(table: pa.Table, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """Links between texts of two blocks (sides 0 and 1; 0 alone: with itself), one per pair of labels."""
+    side, doc, label = (table.column(c).to_numpy() for c in ("side", "doc", "label"))
+    grams = [_six(v) for v in table.column("grams")]
+    two = bool(side.any())
+    left, right = np.flatnonzero(side == 0), np.flatnonzero(side == int(two))
+    size = np.array([len(g) for g in grams], dtype=np.int64)
+    flat = np.concatenate(grams)
+    owner = np.repeat(np.arange(len(grams)), size)
+    _, code, times = np.unique(flat, return_inverse=True, return_counts=True)
+    shared = times[code] > 1
+    code, owner = code[shared], owner[shared]
+    order = np.argsort(code, kind="stable")
+    code, owner = code[order], owner[order]
+    code = np.cumsum(np.append(0, code[1:] != code[:-1])) if len(code) else code
+    place = np.empty(len(grams), dtype=np.int64)
+    place[right] = np.arange(len(right))
+    place[left] = np.arange(len(left)) if two else place[left]
+    both = np.zeros((len(left), len(right)), dtype=np.float32)
+    for lo in range(0, int(code[-1]) + 1 if len(code) else 0, COLUMNS):
+        s = slice(*np.searchsorted(code, [lo, lo + COLUMNS]))
+        mine, column = owner[s], code[s] - lo
+        parts = []
+        for rows, k in ((left, 0), (right, int(two))):
+            own = side[mine] == k
+            x = np.zeros((len(rows), COLUMNS), dtype=np.float32)
+            x[place[mine[own]], column[own]] = 1
+            parts.append(x)
+        both += parts[0] @ parts[1].T
+    both = both.astype(np.int64)
+    union = size[left][:, None] + size[right][None, :] - both
+    i, j = np.nonzero((100 * both >= percent * union) & (both > 0) & (label[left][:, None] != label[right][None, :]))
+    i, j = left[i], right[j]
+    pair = np.sort(np.column_stack([label[i], label[j]]), axis=1)
+    _, first = np.unique(pair, axis=0, return_index=True)
+    return doc[i[first]], doc[j[first]]
 
 
 def near_duplicates(
@@ -313,7 +346,7 @@ def near_duplicates(
     percent = 75
     docs = documents.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    bits = int(total // BLOCK_BYTES).bit_length()
+    bits = max(5, int(total // BLOCK_BYTES).bit_length())
     profile = _profile(docs, words_per_gram)
     word_count, gram_count = _frequencies(profile)
     named = docs.where("id is not null")
@@ -325,25 +358,37 @@ def near_duplicates(
     best = cut_lineage(best.select(F.col("doc").alias("id"), F.col("centre").alias("b")))
     one = _with_sets(named, words_per_gram, best).select(F.col("id").alias("a"), "b", F.col("grams").alias("x"))
     two = _with_sets(named, words_per_gram, best.select(F.col("b").alias("id")).distinct()).select(F.col("id").alias("b"), F.col("grams").alias("y"))
-    links = cut_lineage(_linked(one.join(two, "b"), percent))
+    links = cut_lineage(_linked(one.join(two.hint("merge"), "b"), percent))
     labels = components(links)
 
-    # then the pairs across components, over the columns that still hold several
-    labelled = rows.select("key", "doc", "n").join(labels.withColumnRenamed("node", "doc"), "doc", "left")
+    # then the blocks of texts that share columns with several components
+    labelled = rows.select("key", "doc", "n").join(labels.withColumnRenamed("node", "doc").hint("merge"), "doc", "left")
     labelled = labelled.withColumn("label", F.coalesce("label", "doc")).repartition("key")
-    open_keys = labelled.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi")
-    side = cut_lineage(labelled.join(open_keys.select("key"), "key"))
-    names = lambda s: side.select("key", *[F.col(c).alias(f"{c}_{s}") for c in ("doc", "n", "label")])
-    across = names("a").join(names("b"), "key").where(
-        "label_a <> label_b and doc_a < doc_b and 4 * n_a >= 3 * n_b and 4 * n_b >= 3 * n_a"
-    )
-    pairs = cut_lineage(_reaching(across.withColumnsRenamed({"doc_a": "a", "doc_b": "b"})).select("a", "b"))
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    sets = cut_lineage(_with_sets(named, words_per_gram, wanted))
-    both = pairs.join(sets.select(F.col("id").alias("a"), F.col("grams").alias("x")), "a").join(
-        sets.select(F.col("id").alias("b"), F.col("grams").alias("y")), "b"
-    )
-    links = cut_lineage(links.union(_linked(both, percent)))
+    open_keys = labelled.groupBy("key").agg(F.min("label").alias("least"), F.max("label").alias("most")).where("least < most")
+    side = cut_lineage(labelled.join(open_keys.select("key", "least").hint("merge"), "key"))
+    family = side.groupBy("doc", "label", "n").agg(F.min("least").alias("family"))
+    sizes = family.groupBy("family").agg(F.ceil(F.greatest(F.count(F.lit(1)) / ROWS, F.sum("n") / GRAMS)).alias("parts"))
+    placed = family.join(sizes.hint("merge"), "family")
+    placed = cut_lineage(placed.select("doc", "label", F.xxhash64("family", F.pmod(F.xxhash64("doc"), "parts")).alias("block")))
+    held = side.select("key", "doc").join(placed.hint("merge"), "doc")
+    held = cut_lineage(held.groupBy("key", "block").agg(F.min("label").alias("least"), F.max("label").alias("most")))
+    two = held.select("key", *[F.col(c).alias(f"{c}_2") for c in ("block", "least", "most")])
+    met = held.join(two.hint("merge"), "key").where("block < block_2 and (least <> most_2 or most <> least_2)")
+    met = met.select("block", "block_2").union(held.where("least < most").select("block", F.col("block").alias("block_2")))
+    met = cut_lineage(met.distinct())
+    sets = cut_lineage(_with_sets(named, words_per_gram, placed.select(F.col("doc").alias("id"), "label", "block")))
+    sides = []
+    for number, at, used in ((0, "block", "true"), (1, "block_2", "block < block_2")):
+        pairs = met.where(used).select(F.col("block").alias("one"), F.col("block_2").alias("two"), F.col(at).alias("at"))
+        rows_of = sets.join(pairs.hint("merge"), sets["block"] == pairs["at"])
+        sides.append(rows_of.select("one", "two", F.lit(number).cast("long").alias("side"), F.col("id").alias("doc"), "label", "grams"))
+
+    def multiply(table):
+        a, b = _product(table, percent)
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+    found = sides[0].union(sides[1]).groupBy("one", "two").applyInArrow(lambda t: multiply(t), "a long, b long")
+    links = cut_lineage(links.union(found))
     labels = components(links)
 
     texts = profile.where("part is null")

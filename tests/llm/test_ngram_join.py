@@ -64,6 +64,8 @@ def family_corpus(seed):
 def test_brute_force(spark, monkeypatch, seed):
     monkeypatch.setattr(ngram_join, "BLOCK_BYTES", 20_000)
     monkeypatch.setattr(ngram_join, "SLICE_BYTES", 30_000)
+    monkeypatch.setattr(ngram_join, "ROWS", 7)
+    monkeypatch.setattr(ngram_join, "COLUMNS", 50)
     rows = family_corpus(seed) + [(None, "one two"), (None, None)]
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(6)
     got = sorted(((r[0] is None, r[0] or 0, r[1], r[2]) for r in near_duplicates(df).collect()), key=str)
