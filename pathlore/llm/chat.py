@@ -37,18 +37,15 @@ def conversation_log(conversations: DataFrame, delta_chars: int = 2048) -> DataF
     Rows of one (conv_id, turn) are separate messages, ordered by role and a hash of the text.
     Null text and role are empty. ``seq`` counts deltas of at most ``delta_chars`` code points.
     """
-    turns = conversations.select(
+    texts = conversations.select(
         "conv_id", "turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text")
     )
+    # the row number is taken before the deltas are made, so that those of a row share it
+    row = F.monotonically_increasing_id().alias("row")
+    turns = texts.select("conv_id", F.struct("turn", "role", F.xxhash64("text").alias("digest"), row).alias("msg"), "role", "text")
     last = F.greatest(F.ceil(F.length("text") / delta_chars).cast("int") - 1, F.lit(0))
-    return turns.select(
-        "conv_id",
-        F.struct("turn", "role", F.xxhash64("text").alias("digest"), F.monotonically_increasing_id().alias("row")).alias("msg"),
-        F.explode(F.sequence(F.lit(0), last)).alias("seq"),
-        F.lit("delta").alias("kind"),
-        "role",
-        "text",
-    ).withColumn("text", F.expr(f"substring(text, seq * {delta_chars} + 1, {delta_chars})"))
+    deltas = turns.select("conv_id", "msg", F.explode(F.sequence(F.lit(0), last)).alias("seq"), F.lit("delta").alias("kind"), "role", "text")
+    return deltas.withColumn("text", F.expr(f"substring(text, seq * {delta_chars} + 1, {delta_chars})"))
 
 
 def fold_events(events: DataFrame) -> DataFrame:
