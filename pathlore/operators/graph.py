@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from pathlore.functions.ordered import DEFAULT, SkewPolicy, with_next
+from pathlore.functions.ordered import DEFAULT, SkewPolicy, running_totals, with_next
 from pathlore.session import cut_lineage
 
 # Purity limits of community labels and of the mixed-rate curve.
@@ -125,65 +125,82 @@ def mst(edges: DataFrame, key: list[str] | None = None) -> DataFrame:
 
 
 def rooted(tree: DataFrame, policy: SkewPolicy = DEFAULT) -> DataFrame:
-    """Connected tree -> (node, parent, tin, tout, size): the subtree of a node is an interval.
+    """Forest -> (node, parent, tin, tout, size, total): the subtree of a node is an interval.
 
-    The Euler tour visits each edge twice; its order comes from list ranking, which doubles the
-    known distance each round, so a path-like tree takes log(n) rounds as well. A hub's sorted
+    ``total`` is the size of the node's tree; every tree is rooted at its smallest node and has an
+    interval of its own. The Euler tour visits each edge twice. Its order comes from list ranking,
+    which doubles the known distance each round, so a path-like tree takes log(n) rounds as well;
+    a first ranking finds the smallest arc of each tour, where it starts. A hub's sorted
     neighbours are cut into ranges like any hot key.
     """
-    arcs = tree.select(F.explode(F.array(F.struct(F.col("u").alias("a"), F.col("v").alias("b")), F.struct(F.col("v").alias("a"), F.col("u").alias("b")))).alias("x")).select("x.*")
-    arcs = cut_lineage(arcs)
-    total = arcs.count()
-    if total == 0:
+    both = F.explode(F.array(F.struct(F.col("u").alias("a"), F.col("v").alias("b")), F.struct(F.col("v").alias("a"), F.col("u").alias("b"))))
+    arcs = cut_lineage(tree.select(both.alias("x")).select("x.*"))
+    everything = arcs.count()
+    if everything == 0:
         raise ValueError("the tree has no edge")
     # after arriving at b from a, go to the neighbour of b that follows a (the first after the last)
     turn = with_next(arcs.select(F.col("a").alias("at"), F.col("b").alias("nb")), ["at"], ["nb"], {"_nx": "nb"}, policy)
     first = arcs.groupBy(F.col("a").alias("at")).agg(F.min("b").alias("_first"))
     turn = turn.join(first, "at").select("at", F.col("nb").alias("came"), F.coalesce("_nx", "_first").alias("to"))
-    start = arcs.agg(F.min(F.struct("a", "b")).alias("s")).first()["s"]
-    step = arcs.join(turn, (F.col("b") == F.col("at")) & (F.col("a") == F.col("came"))).select("a", "b", F.col("b").alias("na"), F.col("to").alias("nb"))
-    ends = (F.col("na") == F.lit(start["a"])) & (F.col("nb") == F.lit(start["b"]))
-    step = step.select("a", "b", F.when(~ends, F.col("na")).alias("na"), F.when(~ends, F.col("nb")).alias("nb"), F.when(ends, 0).otherwise(1).cast("long").alias("dist"))
-    step = cut_lineage(step)
-    reach = 1
-    while reach < total:
+    tour = arcs.join(turn, (F.col("b") == F.col("at")) & (F.col("a") == F.col("came"))).select("a", "b", F.col("b").alias("na"), F.col("to").alias("nb"))
+    tour = cut_lineage(tour)
+
+    def ahead(step: DataFrame, *more: str) -> DataFrame:
+        return step.select(F.col("a").alias("na"), F.col("b").alias("nb"), F.col("na").alias("_na"), F.col("nb").alias("_nb"), *[F.col(c).alias(f"_{c}") for c in more])
+
+    seen, reach = tour.withColumn("start", F.struct("a", "b")), 1
+    while reach < everything:
         for _ in range(2):
-            ahead = step.select(F.col("a").alias("na"), F.col("b").alias("nb"), F.col("na").alias("_na"), F.col("nb").alias("_nb"), F.col("dist").alias("_d"))
-            step = step.join(ahead, ["na", "nb"], "left").select("a", "b", F.col("_na").alias("na"), F.col("_nb").alias("nb"), (F.col("dist") + F.coalesce("_d", F.lit(0))).alias("dist"))
+            seen = seen.join(ahead(seen, "start"), ["na", "nb"]).select("a", "b", F.col("_na").alias("na"), F.col("_nb").alias("nb"), F.least("start", "_start").alias("start"))
+            reach *= 2
+        seen = cut_lineage(seen)
+    # trees one after another: each takes the places of its arcs and two more for its root
+    trees = seen.groupBy("start").agg(_count().alias("arcs")).select("start", F.col("start.a").alias("top"), "arcs", (F.col("arcs") + 2).alias("room"))
+    trees = running_totals(trees, [], ["top"], {"upto": "room"}, policy)
+    trees = cut_lineage(trees.select("start", "top", "arcs", (F.col("upto") - F.col("room")).alias("base")))
+    step = tour.join(seen.select("a", "b", "start"), ["a", "b"])
+    ends = (F.col("na") == F.col("start.a")) & (F.col("nb") == F.col("start.b"))
+    step = step.select("a", "b", F.when(~ends, F.col("na")).alias("na"), F.when(~ends, F.col("nb")).alias("nb"), F.when(ends, 0).otherwise(1).cast("long").alias("dist"), "start")
+    step, reach = cut_lineage(step), 1
+    while reach < everything:
+        for _ in range(2):
+            step = step.join(ahead(step, "dist"), ["na", "nb"], "left").select(
+                "a", "b", F.col("_na").alias("na"), F.col("_nb").alias("nb"), (F.col("dist") + F.coalesce("_dist", F.lit(0))).alias("dist"), "start"
+            )
             reach *= 2
         step = cut_lineage(step)
-    pos = step.select("a", "b", (F.lit(total - 1) - F.col("dist")).alias("pos"))
+    pos = step.join(trees, "start").select("a", "b", (F.col("base") + F.col("arcs") - 1 - F.col("dist")).alias("pos"), "arcs")
     back = pos.select(F.col("b").alias("a"), F.col("a").alias("b"), F.col("pos").alias("tout"))
+    total = (F.col("arcs") / 2 + 1).cast("long").alias("total")
     down = pos.join(back, ["a", "b"]).where("pos < tout").select(
-        F.col("b").alias("node"), F.col("a").alias("parent"), F.col("pos").alias("tin"), "tout", ((F.col("tout") - F.col("pos") + 1) / 2).cast("long").alias("size")
+        F.col("b").alias("node"), F.col("a").alias("parent"), F.col("pos").alias("tin"), "tout", ((F.col("tout") - F.col("pos") + 1) / 2).cast("long").alias("size"), total
     )
-    root = arcs.where(F.col("a") == F.lit(start["a"])).limit(1).select(
-        F.col("a").alias("node"), F.lit(None).cast(dict(arcs.dtypes)["a"]).alias("parent"), F.lit(-1).cast("long").alias("tin"),
-        F.lit(total).cast("long").alias("tout"), F.lit(total // 2 + 1).cast("long").alias("size"),
+    root = trees.select(
+        F.col("top").alias("node"), F.lit(None).cast(dict(arcs.dtypes)["a"]).alias("parent"), (F.col("base") - 1).alias("tin"),
+        (F.col("base") + F.col("arcs")).alias("tout"), total.alias("size"), total,
     )
     return cut_lineage(down.unionByName(root))
 
 
 def edge_betweenness_tree(tree: DataFrame) -> DataFrame:
-    """Number of shortest paths over each edge of a tree: s * (n - s)."""
-    table = rooted(tree)
-    n = table.agg(F.max("size")).scalar()
+    """Number of shortest paths over each edge of a forest: s * (n - s) in a tree of n nodes."""
+    table, n = rooted(tree), F.col("total")
     return table.where("parent is not null").select(
         F.least("node", "parent").alias("u"), F.greatest("node", "parent").alias("v"), (F.col("size") * (n - F.col("size"))).alias("betweenness")
     )
 
 
 def girvan_newman_tree(tree: DataFrame, levels: int = 20, whole: bool = False) -> DataFrame:
-    """Cuts the most central edge again and again: level k (from 0) has k + 2 communities.
+    """Cuts the most central edge again and again: level k (from 0) of t trees has t + k + 1 communities.
 
-    ``whole`` adds level -1, the uncut tree.
+    ``whole`` adds level -1, the uncut trees.
     A community is named by its top node. A cut is an interval of the tour, so component sizes
     after each cut follow from the few intervals cut before; a level is one pass over the nodes.
     Ties are cut at the smallest node.
     """
     table = rooted(tree)
-    top = table.where("parent is null").first()
-    cuts = [{"node": top["node"], "tin": top["tin"], "tout": top["tout"], "size": top["size"], "up": None}]
+    tops = table.where("parent is null").orderBy("node").collect()
+    cuts = [{"node": t["node"], "tin": t["tin"], "tout": t["tout"], "size": t["size"], "up": None} for t in tops]
 
     def inside(c: dict) -> Column:
         return (F.col("tin") >= c["tin"]) & (F.col("tout") <= c["tout"])
@@ -195,24 +212,24 @@ def girvan_newman_tree(tree: DataFrame, levels: int = 20, whole: bool = False) -
             found = F.when(inside(known[k]), k) if found is None else found.when(inside(known[k]), k)
         return found
 
-    for _ in range(min(levels, top["size"] - 1)):
+    for _ in range(min(levels, sum(t["size"] - 1 for t in tops))):
         own = [c["size"] - sum(d["size"] for d in cuts if d["up"] == k) for k, c in enumerate(cuts)]
         comp = F.col("_comp")
         piece = F.element_at(F.array(*[F.lit(s) for s in own]), comp + 1)
         below = F.col("size")
-        for c in cuts[1:]:
+        for c in cuts[len(tops) :]:
             nested = (F.col("tin") < c["tin"]) & (F.col("tout") > c["tout"]) & (comp == c["up"])
             below = below - F.when(nested, c["size"]).otherwise(0)
         used = [c["node"] for c in cuts]
         scored = table.where(~F.col("node").isin(used)).withColumn("_comp", member(cuts)).withColumn("_s", below).withColumn("_b", F.col("_s") * (piece - F.col("_s")))
         best = scored.orderBy(F.desc("_b"), "node").select("node", "tin", "tout", "size", "_comp").first()
         new = {"node": best["node"], "tin": best["tin"], "tout": best["tout"], "size": best["size"], "up": best["_comp"]}
-        for c in cuts[1:]:  # cuts already below the new one hang on it from now on
+        for c in cuts[len(tops) :]:  # cuts already below the new one hang on it from now on
             if c["up"] == new["up"] and new["tin"] < c["tin"] and c["tout"] < new["tout"]:
                 c["up"] = len(cuts)
         cuts.append(new)
     names = F.array(*[F.lit(c["node"]) for c in cuts])
-    per_level = F.array(*[F.struct(F.lit(k).cast("long").alias("level"), member(cuts[: k + 2]).alias("_k")) for k in range(-1 if whole else 0, len(cuts) - 1)])
+    per_level = F.array(*[F.struct(F.lit(k).cast("long").alias("level"), member(cuts[: len(tops) + k + 1]).alias("_k")) for k in range(-1 if whole else 0, len(cuts) - len(tops))])
     rows = table.select("node", F.explode(per_level).alias("_l"))
     return rows.select("_l.level", "node", F.element_at(names, F.col("_l._k") + 1).alias("community"))
 

@@ -194,10 +194,6 @@ def variants(log: DataFrame, k: int = 10, policy: SkewPolicy = DEFAULT) -> DataF
     return text.join(top, "case_id").orderBy(F.desc("n"), "length", "case_id").select("variant", "n")
 
 
-def token_positions(df: DataFrame, key: str, text: str, pattern: str = r"\s+") -> DataFrame:
-    return df.select(key, F.posexplode(F.split(F.col(text), pattern)).alias("pos", "token"))
-
-
 def cooccurrence(tokens: DataFrame, win: int, keys: tuple[str, ...] = ()) -> DataFrame:
     """Symmetric counts of tokens at most ``win`` positions apart in one sequence.
 

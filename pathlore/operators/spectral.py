@@ -457,7 +457,3 @@ def pc_sign_vs_result(table: DataFrame, results: DataFrame, pc: int = 1) -> tupl
 def pc_group_test(scores: DataFrame, cohorts: DataFrame, pair: tuple, by: tuple[str, ...] = ("pc",)) -> DataFrame:
     """t-test of component scores between two cohorts."""
     return ttest_student(scores.join(cohorts.select("user_id", "cohort"), "user_id"), "cohort", "score", pair, by)
-
-
-def feature_corr(matrix: DataFrame, row: str = "user_id", feature: str = "feature", value: str = "value") -> DataFrame:
-    return corr_matrix(matrix, feature, row, value)

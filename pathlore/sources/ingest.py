@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -118,7 +119,7 @@ def ingest_upload_reports_tolerant(
 def read_csv_log(spark: SparkSession, path: str, ts: str = "time:timestamp") -> DataFrame:
     """CSV with header; index columns without a name are dropped, rows without a readable time too."""
     rows = spark.read.option("header", "true").csv(path)
-    named = [c for c in rows.columns if not c.startswith("Unnamed") and not c.startswith("_c")]
+    named = [c for c in rows.columns if not c.startswith("Unnamed") and not re.fullmatch(r"_c\d+", c)]
     rows = rows.select(*[F.col(f"`{c}`") for c in named])
     rows = rows.withColumn(ts, F.try_to_timestamp(F.nullif(F.trim(F.col(f"`{ts}`")), F.lit(""))))
     return rows.where(F.col(f"`{ts}`").isNotNull())
