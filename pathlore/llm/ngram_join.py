@@ -8,11 +8,12 @@ sets are one row.
 
 To find components not every pair is needed. Each text is first tried with one text, of smallest
 hash among those it shares columns with. Columns whose texts are then all in one component are
-closed. The texts of the others are put into blocks of bounded size, texts that share columns
-together, and each pair of blocks that shares an open column is multiplied: overlaps are
-accumulated over slices of n-grams for all rows of both, pairs below the bound that their sizes
-give are discarded, and what leaves the task is one link per pair of components. A link between
-two different texts is thus found or already implied.
+closed. In open columns of few texts overlaps are accumulated per pair over the columns, pairs
+below the bound that their sizes give are discarded, and the rest are counted exactly. The texts
+of dense open columns are put into blocks of bounded size, texts that share columns together, and
+each pair of blocks that shares such a column is multiplied over slices of n-grams; what leaves
+that task is one link per pair of components. A link between two different texts is thus found or
+already implied.
 """
 
 from __future__ import annotations
@@ -34,6 +35,7 @@ BLOCK_BYTES = 32_000_000  # text bytes per block of columns
 COUNTERS = 1 << 16  # frequency counters, whatever the size of the corpus; they only set the column order
 SALTS = 16
 ROWS, GRAMS = 1000, 300_000  # texts and n-grams of a block of the product, but for a longer text
+DENSE = 64  # texts from which a column's pairs are multiplied in blocks and not listed
 COLUMNS = 4096  # n-grams multiplied at once
 
 
@@ -328,6 +330,57 @@ def _product(table: pa.Table, percent: int) -> tuple[np.ndarray, np.ndarray]:
     return doc[i[first]], doc[j[first]]
 
 
+def _pairs(side: DataFrame) -> DataFrame:
+    """Pairs (a, b) of texts in different components that share enough columns.
+
+    Overlaps are accumulated over the columns and pairs below the bound by their sizes are
+    discarded: common n-grams up to the earlier of two texts' last columns are columns of both,
+    and behind it that text has ceil(0.75 n) - 1 n-grams left; together they must reach 3/7 of
+    both sizes. The bound leaves one for two columns of a text that share a key. Pairs that also
+    share a dense column are found there.
+    """
+    a, b = (side.select("key", *[F.col(c).alias(f"{c}_{s}") for c in ("doc", "n", "label")]) for s in "ab")
+    across = a.join(b, "key").where("label_a <> label_b and doc_a < doc_b and 4 * n_a >= 3 * n_b and 4 * n_b >= 3 * n_a")
+    counted = across.groupBy("doc_a", "doc_b", "n_a", "n_b").agg(F.count(F.lit(1)).alias("common"))
+    need = F.floor((3 * F.greatest("n_a", "n_b") + 3) / 4)
+    enough = counted.where(7 * (F.col("common") + need) >= 3 * (F.col("n_a") + F.col("n_b")))
+    return enough.select(F.col("doc_a").alias("a"), F.col("doc_b").alias("b")).distinct()
+
+
+def _blocks(side: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(doc, label, block) of texts in dense columns, and pairs of blocks that share one.
+
+    A text's family is the smallest component that it shares a column with; families are cut
+    into blocks of bounded size.
+    """
+    family = side.groupBy("doc", "label", "n").agg(F.min("least").alias("family"))
+    sizes = family.groupBy("family").agg(F.ceil(F.greatest(F.count(F.lit(1)) / ROWS, F.sum("n") / GRAMS)).alias("parts"))
+    placed = family.join(sizes.hint("merge"), "family")
+    placed = cut_lineage(placed.select("doc", "label", F.xxhash64("family", F.pmod(F.xxhash64("doc"), "parts")).alias("block")))
+    held = side.select("key", "doc").join(placed.hint("merge"), "doc")
+    held = cut_lineage(held.groupBy("key", "block").agg(F.min("label").alias("least"), F.max("label").alias("most")))
+    two = held.select("key", *[F.col(c).alias(f"{c}_2") for c in ("block", "least", "most")])
+    met = held.join(two.hint("merge"), "key").where("block < block_2 and (least <> most_2 or most <> least_2)")
+    met = met.select("block", "block_2").union(held.where("least < most").select("block", F.col("block").alias("block_2")))
+    return placed, cut_lineage(met.distinct())
+
+
+def _multiplied(placed: DataFrame, met: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) between components from the products of all pairs of blocks."""
+    rows = placed.join(sets.hint("merge"), "doc")
+    sides = []
+    for number, at, used in ((0, "block", "true"), (1, "block_2", "block < block_2")):
+        pairs = met.where(used).select(F.col("block").alias("one"), F.col("block_2").alias("two"), F.col(at).alias("at"))
+        both = rows.join(pairs.hint("merge"), rows["block"] == pairs["at"])
+        sides.append(both.select("one", "two", F.lit(number).cast("long").alias("side"), "doc", "label", "grams"))
+
+    def multiply(table):
+        a, b = _product(table, percent)
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+    return sides[0].union(sides[1]).groupBy("one", "two").applyInArrow(lambda t: multiply(t), "a long, b long")
+
+
 def near_duplicates(
     documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", words_per_gram: int = WORDS
 ) -> DataFrame:
@@ -361,34 +414,17 @@ def near_duplicates(
     links = cut_lineage(_linked(one.join(two.hint("merge"), "b"), percent))
     labels = components(links)
 
-    # then the blocks of texts that share columns with several components
+    # then the columns that still hold several components
     labelled = rows.select("key", "doc", "n").join(labels.withColumnRenamed("node", "doc").hint("merge"), "doc", "left")
     labelled = labelled.withColumn("label", F.coalesce("label", "doc")).repartition("key")
-    open_keys = labelled.groupBy("key").agg(F.min("label").alias("least"), F.max("label").alias("most")).where("least < most")
-    side = cut_lineage(labelled.join(open_keys.select("key", "least").hint("merge"), "key"))
-    family = side.groupBy("doc", "label", "n").agg(F.min("least").alias("family"))
-    sizes = family.groupBy("family").agg(F.ceil(F.greatest(F.count(F.lit(1)) / ROWS, F.sum("n") / GRAMS)).alias("parts"))
-    placed = family.join(sizes.hint("merge"), "family")
-    placed = cut_lineage(placed.select("doc", "label", F.xxhash64("family", F.pmod(F.xxhash64("doc"), "parts")).alias("block")))
-    held = side.select("key", "doc").join(placed.hint("merge"), "doc")
-    held = cut_lineage(held.groupBy("key", "block").agg(F.min("label").alias("least"), F.max("label").alias("most")))
-    two = held.select("key", *[F.col(c).alias(f"{c}_2") for c in ("block", "least", "most")])
-    met = held.join(two.hint("merge"), "key").where("block < block_2 and (least <> most_2 or most <> least_2)")
-    met = met.select("block", "block_2").union(held.where("least < most").select("block", F.col("block").alias("block_2")))
-    met = cut_lineage(met.distinct())
-    sets = cut_lineage(_with_sets(named, words_per_gram, placed.select(F.col("doc").alias("id"), "label", "block")))
-    sides = []
-    for number, at, used in ((0, "block", "true"), (1, "block_2", "block < block_2")):
-        pairs = met.where(used).select(F.col("block").alias("one"), F.col("block_2").alias("two"), F.col(at).alias("at"))
-        rows_of = sets.join(pairs.hint("merge"), sets["block"] == pairs["at"])
-        sides.append(rows_of.select("one", "two", F.lit(number).cast("long").alias("side"), F.col("id").alias("doc"), "label", "grams"))
-
-    def multiply(table):
-        a, b = _product(table, percent)
-        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
-
-    found = sides[0].union(sides[1]).groupBy("one", "two").applyInArrow(lambda t: multiply(t), "a long, b long")
-    links = cut_lineage(links.union(found))
+    held = labelled.groupBy("key").agg(F.min("label").alias("least"), F.max("label").alias("most"), F.count(F.lit(1)).alias("texts"))
+    side = cut_lineage(labelled.join(held.where("least < most").drop("most").hint("merge"), "key"))
+    pairs = cut_lineage(_pairs(side.where(F.col("texts") <= DENSE)))
+    placed, met = _blocks(side.where(F.col("texts") > DENSE))
+    wanted = pairs.select(F.explode(F.array("a", "b")).alias("id")).union(placed.select("doc")).distinct()
+    sets = cut_lineage(_with_sets(named, words_per_gram, wanted).withColumnRenamed("id", "doc"))
+    one, two = (sets.select(F.col("doc").alias(k), F.col("grams").alias(x)).hint("merge") for k, x in (("a", "x"), ("b", "y")))
+    links = cut_lineage(links.union(_linked(pairs.join(one, "a").join(two, "b"), percent)).union(_multiplied(placed, met, sets, percent)))
     labels = components(links)
 
     texts = profile.where("part is null")

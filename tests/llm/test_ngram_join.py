@@ -65,6 +65,7 @@ def test_brute_force(spark, monkeypatch, seed):
     monkeypatch.setattr(ngram_join, "BLOCK_BYTES", 20_000)
     monkeypatch.setattr(ngram_join, "SLICE_BYTES", 30_000)
     monkeypatch.setattr(ngram_join, "ROWS", 7)
+    monkeypatch.setattr(ngram_join, "DENSE", (0, 4)[seed - 1])
     monkeypatch.setattr(ngram_join, "COLUMNS", 50)
     rows = family_corpus(seed) + [(None, "one two"), (None, None)]
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(6)
