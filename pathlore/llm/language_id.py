@@ -24,6 +24,7 @@ FEATURES = 1 << 16
 SIZES = (1, 2, 3, 4, 5)  # byte n-grams
 LETTERS = re.compile(r"[^\W\d_]+")
 SLICE_BYTES = 2_000_000
+SLICES = 64
 CHUNK = 64  # words whose transfer matrices are multiplied before texts are walked chunk by chunk
 
 
@@ -88,8 +89,11 @@ def _scores(feature: np.ndarray, word: np.ndarray, count: int, weight: np.ndarra
 def fit(documents: DataFrame, lang_col: str = "lang", text_col: str = "text", id_col: str = "doc_id", sample: Sample = Sample(), rounds: int = 40) -> Model:
     """A model from the labelled rows of ``documents``; rows with null language or text are left out."""
     rows = documents.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
-    order = Window.partitionBy(lang_col).orderBy(F.xxhash64(id_col), id_col)
-    ids = rows.select(id_col, lang_col).withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= sample.texts)
+    # first per slice of a language, so that the last step reads at most SLICES * sample.texts ids of each
+    ids = rows.select(id_col, lang_col, F.pmod(F.xxhash64(id_col, F.lit(1)), F.lit(SLICES)).alias("_slice"))
+    for part in ([lang_col, "_slice"], [lang_col]):
+        order = Window.partitionBy(*part).orderBy(F.xxhash64(id_col), id_col)
+        ids = ids.withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= sample.texts)
     chosen = rows.select(id_col, lang_col, text_col).join(F.broadcast(ids.select(id_col, lang_col)), [id_col, lang_col])
 
     def cut(batches):
