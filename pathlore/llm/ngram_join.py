@@ -32,10 +32,10 @@ from pathlore.session import cut_lineage
 WORDS = 5
 SLICE_BYTES = 1_000_000
 BLOCK_BYTES = 32_000_000  # text bytes per block of columns
-COUNTERS = 1 << 16  # frequency counters, whatever the size of the corpus; they only set the column order
+COUNTER_BYTES, COUNTER_BITS = 4096, 22  # a frequency counter for so many text bytes, 2 ** 22 at most; they only set the column order
 SALTS = 16
 ROWS, GRAMS = 1000, 300_000  # texts and n-grams of a block of the product, but for a longer text
-DENSE = 64  # texts from which a column's pairs are multiplied in blocks and not listed
+DENSE = 256  # texts from which a column's pairs are multiplied in blocks and not listed
 COLUMNS = 4096  # n-grams multiplied at once
 
 
@@ -71,16 +71,16 @@ def _batches(batch: pa.RecordBatch, text_col: str) -> Iterator[tuple[Texts, int,
         yield texts, lo, hi
 
 
-def _profile(docs: DataFrame, n: int) -> DataFrame:
+def _profile(docs: DataFrame, n: int, counters: int) -> DataFrame:
     """Per text: id, number of n-grams, set fingerprint; per partition: word and n-gram counters."""
 
     def run(batches):
-        word_count, gram_count = np.zeros(COUNTERS, np.int64), np.zeros(COUNTERS, np.int64)
+        word_count, gram_count = np.zeros(counters, np.int64), np.zeros(counters, np.int64)
         for batch in batches:
             for texts, lo, hi in _batches(batch, "text"):
                 text, gram, _, h = _sets(texts, lo, hi, n)
-                word_count += np.bincount((h & np.uint64(COUNTERS - 1)).astype(np.int64), minlength=COUNTERS)
-                gram_count += np.bincount((gram & np.uint64(COUNTERS - 1)).astype(np.int64), minlength=COUNTERS)
+                word_count += np.bincount((h & np.uint64(counters - 1)).astype(np.int64), minlength=counters)
+                gram_count += np.bincount((gram & np.uint64(counters - 1)).astype(np.int64), minlength=counters)
                 edges = np.searchsorted(text, np.arange(hi - lo + 1))
                 total = [np.append(np.uint64(0), np.cumsum(x)) for x in (gram, mix(gram ^ np.uint64(0x5BD1E9955BD1E995)))]
                 one, two = (np.diff(t[edges]).view(np.int64) for t in total)
@@ -114,10 +114,10 @@ def _folded(rows: DataFrame, add) -> list[np.ndarray]:
     return [np.concatenate(x) for x in zip(*arrays)]
 
 
-def _frequencies(profile: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """Counters of words and n-grams over all texts; 1 MB reaches the driver."""
+def _frequencies(profile: DataFrame, counters: int) -> tuple[np.ndarray, np.ndarray]:
+    """Counters of words and n-grams over all texts; 16 bytes a counter reach the driver."""
     both = _folded(profile.where("part is not null").select("part", "blob"), lambda x: np.sum(x, axis=0))
-    return tuple(both) if both else (np.zeros(COUNTERS), np.zeros(COUNTERS))
+    return tuple(both) if both else (np.zeros(counters), np.zeros(counters))
 
 
 def _bitmap(ids: DataFrame, count: int) -> np.ndarray:
@@ -143,17 +143,18 @@ def _columns(docs: DataFrame, n: int, bits: int, word_count: np.ndarray, gram_co
     # expected frequency of an n-gram from its words, and what its counter has beyond the usual:
     # integers, four to an octave, so that every task orders columns alike
     total = max(1, int(word_count.sum()))
-    share = np.round(4 * np.log2(np.maximum(word_count, 1) / total)).astype(np.int64)
+    share = np.round(4 * np.log2(np.maximum(word_count, 1) / total)).astype(np.int16)
     everything = round(4 * np.log2(total))
     usual = np.median(gram_count) + 4 * np.sqrt(np.median(gram_count) + 1)
-    excess = np.round(4 * np.log2(1 + np.maximum(gram_count - usual, 0))).astype(np.int64)
+    excess = np.round(4 * np.log2(1 + np.maximum(gram_count - usual, 0))).astype(np.uint8)
+    last = np.uint64(len(share) - 1)
 
     def prefix(texts: Texts, lo: int, hi: int):
         """Text and hash of each text's first columns; set sizes and fingerprints."""
         text, gram, at, h = _sets(texts, lo, hi, n)
-        part = np.append(share[(h & np.uint64(COUNTERS - 1)).astype(np.int64)], np.zeros(n, np.int64))
+        part = np.append(share[(h & last).astype(np.int64)].astype(np.int64), np.zeros(n, np.int64))
         expected = sum(part[at + i] for i in range(n)) + everything
-        level = np.maximum(expected, excess[(gram & np.uint64(COUNTERS - 1)).astype(np.int64)])
+        level = np.maximum(expected, excess[(gram & last).astype(np.int64)])
         level = np.clip(level, 0, 126).astype(np.uint64)
         place = (level << np.uint64(56)) | (gram >> np.uint64(8))
         order = np.lexsort((place, text))
@@ -400,8 +401,9 @@ def near_duplicates(
     docs = documents.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     bits = max(5, int(total // BLOCK_BYTES).bit_length())
-    profile = _profile(docs, words_per_gram)
-    word_count, gram_count = _frequencies(profile)
+    counters = 1 << min(COUNTER_BITS, max(12, int(total // COUNTER_BYTES).bit_length()))
+    profile = _profile(docs, words_per_gram, counters)
+    word_count, gram_count = _frequencies(profile, counters)
     named = docs.where("id is not null")
     rows = cut_lineage(_columns(named, words_per_gram, bits, word_count, gram_count))
 
