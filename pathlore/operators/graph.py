@@ -5,6 +5,8 @@ Iterations keep only edge- or node-sized tables and cut their lineage with a wri
 
 from __future__ import annotations
 
+from itertools import count
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -336,10 +338,11 @@ def modularity(edges: DataFrame, members: DataFrame, key: list[str] | None = Non
     )
 
 
-def _local_moves(arcs: DataFrame, key: list[str], rounds: int) -> DataFrame:
+def _local_moves(arcs: DataFrame, key: list[str]) -> DataFrame:
     """Nodes of one hash half move to the neighbouring community of highest gain, then the other half.
 
-    A key keeps a round's labels only where its modularity rises.
+    A key keeps a round's labels only where its modularity rises; it ends when neither half can
+    raise it for any key.
     """
     degree = arcs.groupBy(*key, "a").agg(F.sum("w").alias("k"))
     labels = cut_lineage(degree.select(*key, F.col("a").alias("node"), F.col("a").alias("community"), "k"))
@@ -359,7 +362,7 @@ def _local_moves(arcs: DataFrame, key: list[str], rounds: int) -> DataFrame:
 
     best = cut_lineage(score(labels))
     misses = 0
-    for r in range(rounds):
+    for r in count():
         names = labels.select(*key, F.col("node").alias("b"), F.col("community").alias("_c"))
         to = arcs.where("a <> b").join(names, [*key, "b"]).groupBy(*key, "a", "_c").agg(F.sum("w").alias("_w"))
         sums = labels.groupBy(*key, F.col("community").alias("_c")).agg(F.sum("k").alias("_tot"))
@@ -390,16 +393,16 @@ def _local_moves(arcs: DataFrame, key: list[str], rounds: int) -> DataFrame:
     return labels.select(*key, "node", "community")
 
 
-def community_detect(edges: DataFrame, key: list[str] | None = None, rounds: int = 12, phases: int = 5) -> DataFrame:
-    """Modularity communities: local moves, then the same on the graph of communities.
+def community_detect(edges: DataFrame, key: list[str] | None = None) -> DataFrame:
+    """Modularity communities: local moves, then the same on the graph of communities, until nothing moves.
 
     ``key`` columns run any number of graphs in the same jobs. Returns key, node, community.
     """
     key = key or []
     arcs = cut_lineage(_arcs(edges.where("w > 0"), key).groupBy(*key, "a", "b").agg(F.sum("w").alias("w")))
     current: DataFrame | None = None
-    for _ in range(phases):
-        found = _local_moves(arcs, key, rounds)
+    while True:
+        found = _local_moves(arcs, key)
         if found.where("node <> community").isEmpty():
             if current is None:
                 current = found

@@ -131,6 +131,7 @@ def lda_classify(train: DataFrame, test: DataFrame) -> DataFrame:
 
 def algorithms(p: int, trees: int = 200, k: int = 7, seed: int = 5) -> dict[str, Callable]:
     """Name -> fit(train) -> (scorer, model)."""
+    # Display names and settings of the algorithms.
     return {
         "Logistic Regression": _ml_scorer(LogisticRegression(maxIter=100)),
         "Decision Tree": _ml_scorer(DecisionTreeClassifier(maxDepth=5, seed=seed)),

@@ -107,7 +107,8 @@ def _weekly(spark, sf):
     acts = ["click", "error", "purchase", "signup", "view"]
     m = event_log(spark, sf).groupBy("week", "user_id").pivot("activity", acts).agg(F.count(F.lit(1))).na.fill(0)
     m = m.select("week", F.col("user_id").alias("id"), (F.col("user_id") % 2).alias("label"), F.array(*[F.col(a).cast("double") for a in acts]).alias("vec"))
-    return {w: m.where(F.col("week") == w).drop("week") for w in range(3)}
+    weeks = sorted(r[0] for r in m.select("week").distinct().collect())
+    return {w: m.where(F.col("week") == w).drop("week") for w in weeks}
 
 
 @query("weekly_report")
