@@ -23,7 +23,7 @@ UNITS = (
 )
 NAME, UNIT, NUMBER = "\u0001", "\u0002", "\u0003"
 WINDOW = 8  # words
-STRIDE = 4  # every so many words a window of a text starts; a run of WINDOW + STRIDE - 1 words holds one
+WHOLE = 11  # words; shorter items are looked up whole too
 LITERAL = 4  # words of a benchmark window that are no placeholders
 BROADCAST_ROWS = 200_000  # larger sides are shuffled
 
@@ -50,10 +50,10 @@ def values(text: Column) -> Column:
     return F.filter(F.split(_normal(text, False), r"\s+"), lambda w: w != "")
 
 
-def _windows(words: Column, size: int, stride: int) -> Column:
-    """(pos, hash) of windows of ``size`` words that start every ``stride`` words."""
+def _windows(words: Column, size: int) -> Column:
+    """(pos, hash) of every window of ``size`` words."""
     last = F.size(words) - size
-    at = F.when(last >= 0, F.sequence(F.lit(0), F.greatest(last, F.lit(0)), F.lit(stride))).otherwise(F.array().cast("array<int>"))
+    at = F.when(last >= 0, F.sequence(F.lit(0), F.greatest(last, F.lit(0)))).otherwise(F.array().cast("array<int>"))
     return F.transform(at, lambda i: F.struct(i.alias("pos"), F.xxhash64(F.slice(words, i + 1, size)).alias("hash")))
 
 
@@ -82,8 +82,8 @@ def contaminated(
     another value in the text. A pair is given if ``matched >= coverage * words``. Placeholders
     whose values are inconsistent within the pair don't count.
 
-    Null and empty texts and items contain nothing. Items of fewer than ``WINDOW + STRIDE - 1``
-    words are looked up whole, at every place; items without ``LITERAL`` plain words (or all
+    Null and empty texts and items contain nothing. Every window of ``WINDOW`` words of a text
+    is looked up; items of fewer than ``WHOLE`` words are looked up whole too; items without ``LITERAL`` plain words (or all
     words, if they are fewer) are not looked up. Rows without an id are not reported; rows
     that share an id count as one text; repeated items are reported by their id once. Columns
     not named are not read.
@@ -91,19 +91,19 @@ def contaminated(
     docs = documents.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("doc"), F.col(text_col).alias("text"))
     items = benchmark.where(F.col(item_col).isNotNull()).select(F.col(item_col).alias("item"), F.col(text_col).alias("item_text"))
     items = items.withColumns({"item_words": template(F.col("item_text")), "item_values": values(F.col("item_text"))}).where("size(item_words) > 0")
-    long = F.size("item_words") >= WINDOW + STRIDE - 1
-    lengths = [r[0] for r in items.where(~long).select(F.size("item_words")).distinct().collect()]  # at most WINDOW + STRIDE - 2 values
+    length = F.size("item_words")
+    lengths = [r[0] for r in items.where(length < WHOLE).select(length).distinct().collect()]  # at most WHOLE - 1 values
 
     marked = docs.select("doc", template(F.col("text")).alias("words"))
     hits = None
-    for size, stride, chosen in [(WINDOW, STRIDE, items.where(long)), *[(n, 1, items.where(~long & (F.size("item_words") == n))) for n in sorted(lengths)]]:
+    for size, chosen in [(WINDOW, items.where(length >= WINDOW)), *[(n, items.where(length == n)) for n in sorted(lengths) if n != WINDOW]]:
         plain = lambda i, n=size: F.size(F.filter(F.slice("item_words", i + 1, n), lambda w: ~w.isin(NAME, UNIT, NUMBER)))
         asked = (
-            chosen.select("item", "item_words", F.explode(_windows(F.col("item_words"), size, 1)).alias("w"))
+            chosen.select("item", "item_words", F.explode(_windows(F.col("item_words"), size)).alias("w"))
             .where(plain(F.col("w.pos")) >= min(LITERAL, size))
             .select("item", F.col("w.pos").alias("item_pos"), F.col("w.hash").alias("hash"))
         )
-        given = marked.select("doc", F.explode(_windows(F.col("words"), size, stride)).alias("w")).select("doc", "w.pos", "w.hash")
+        given = marked.select("doc", F.explode(_windows(F.col("words"), size)).alias("w")).select("doc", "w.pos", "w.hash")
         met = given.join(_sized(asked), "hash").select("doc", "item", (F.col("pos") - F.col("item_pos")).alias("shift"))
         hits = met if hits is None else hits.union(met)
     hits = _sized(cut_lineage(hits.distinct()))
