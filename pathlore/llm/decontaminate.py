@@ -2,7 +2,8 @@
 
 A text becomes a template: numbers, names (capitalised words inside a sentence) and units behind
 numbers are typed placeholders, other words are lower case without punctuation. Windows of
-template words of the benchmark meet windows of the texts by hash. Along each shift between a text
+template words of the benchmark meet windows of the texts by hash; windows that are mostly
+placeholders meet by their values instead. Along each shift between a text
 and an item that shares a window, words are compared one by one, and placeholders count only if
 their values are consistent: one value of the item always stands for one value of the text.
 Everything is built-in functions.
@@ -50,6 +51,13 @@ def values(text: Column) -> Column:
     return F.filter(F.split(_normal(text, False), r"\s+"), lambda w: w != "")
 
 
+def _templates(text: Column) -> Column:
+    """Templates of a text as it stands, at the start of a sentence, inside one and behind a number; only the first word differs."""
+    bare = F.regexp_replace(text, r"^[^\p{L}\p{N}]+", "")
+    behind = lambda word: F.slice(template(F.concat(F.lit(word + " "), bare)), 2, F.greatest(F.size(template(bare)), F.lit(1)))
+    return F.array_distinct(F.array(template(text), template(bare), behind("x"), behind("1")))
+
+
 def _windows(words: Column, size: int) -> Column:
     """(pos, hash) of every window of ``size`` words."""
     last = F.size(words) - size
@@ -83,29 +91,42 @@ def contaminated(
     whose values are inconsistent within the pair don't count.
 
     Null and empty texts and items contain nothing. Every window of ``WINDOW`` words of a text
-    is looked up; items of fewer than ``WHOLE`` words are looked up whole too; items without ``LITERAL`` plain words (or all
-    words, if they are fewer) are not looked up. Rows without an id are not reported; rows
-    that share an id count as one text; repeated items are reported by their id once. Columns
-    not named are not read.
+    is looked up; items of fewer than ``WHOLE`` words are looked up whole too. Windows without
+    ``LITERAL`` plain words (or all words, if they are fewer) are looked up by their values. The
+    first word of an item is a plain word, a name or a unit by what stands before it; it is looked
+    up as each of them, and counts if the words or the values are the same. Rows without an id are
+    not reported; rows that share an id count as one text; repeated items are reported by their id
+    once. Columns not named are not read.
     """
     docs = documents.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("doc"), F.col(text_col).alias("text"))
     items = benchmark.where(F.col(item_col).isNotNull()).select(F.col(item_col).alias("item"), F.col(text_col).alias("item_text"))
     items = items.withColumns({"item_words": template(F.col("item_text")), "item_values": values(F.col("item_text"))}).where("size(item_words) > 0")
+    # a first word that is no word by itself in another context would move the others
+    fits = lambda t: F.size(t) == F.size("item_words")
+    items = items.withColumn("item_templates", F.filter(_templates(F.col("item_text")), fits))
     length = F.size("item_words")
     lengths = [r[0] for r in items.where(length < WHOLE).select(length).distinct().collect()]  # at most WHOLE - 1 values
 
-    marked = docs.select("doc", template(F.col("text")).alias("words"))
     hits = None
     for size, chosen in [(WINDOW, items.where(length >= WINDOW)), *[(n, items.where(length == n)) for n in sorted(lengths) if n != WINDOW]]:
-        plain = lambda i, n=size: F.size(F.filter(F.slice("item_words", i + 1, n), lambda w: ~w.isin(NAME, UNIT, NUMBER)))
-        asked = (
-            chosen.select("item", "item_words", F.explode(_windows(F.col("item_words"), size)).alias("w"))
-            .where(plain(F.col("w.pos")) >= min(LITERAL, size))
-            .select("item", F.col("w.pos").alias("item_pos"), F.col("w.hash").alias("hash"))
+        plain = F.size(F.filter(F.slice("words", F.col("w.pos") + 1, size), lambda w: ~w.isin(NAME, UNIT, NUMBER)))
+        each = chosen.select("item", "item_values", F.explode("item_templates").alias("words"))
+        each = each.select("item", "item_values", "words", F.explode(_windows(F.col("words"), size)).alias("w")).withColumn("literal", plain >= min(LITERAL, size))
+        each = each.select(
+            "item",
+            F.col("w.pos").alias("item_pos"),
+            F.when(F.col("literal"), F.col("w.hash")).otherwise(F.xxhash64(F.slice("item_values", F.col("w.pos") + 1, size))).alias("hash"),
+            "literal",
         )
-        given = marked.select("doc", F.explode(_windows(F.col("words"), size)).alias("w")).select("doc", "w.pos", "w.hash")
-        met = given.join(_sized(asked), "hash").select("doc", "item", (F.col("pos") - F.col("item_pos")).alias("shift"))
-        hits = met if hits is None else hits.union(met)
+        each = cut_lineage(each.distinct())
+        for literal, words in ((True, template), (False, values)):
+            asked = each.where(F.col("literal") == literal).drop("literal")
+            if not literal and asked.isEmpty():
+                continue
+            given = docs.select("doc", words(F.col("text")).alias("words"))
+            given = given.select("doc", F.explode(_windows(F.col("words"), size)).alias("w")).select("doc", "w.pos", "w.hash")
+            met = given.join(_sized(asked), "hash").select("doc", "item", (F.col("pos") - F.col("item_pos")).alias("shift"))
+            hits = met if hits is None else hits.union(met)
     hits = _sized(cut_lineage(hits.distinct()))
 
     # compare word by word along each shift
@@ -113,7 +134,8 @@ def contaminated(
     both = both.withColumns({"words": template(F.col("text")), "vals": values(F.col("text"))})
     place = F.sequence(F.lit(0), F.size("item_words") - 1)
     at = lambda i: F.col("shift") + i
-    inside = lambda i: (at(i) >= 0) & (F.get("words", at(i)) == F.get("item_words", i))
+    first = lambda i: (i == 0) & (F.get("vals", at(i)) == F.get("item_values", i))
+    inside = lambda i: (at(i) >= 0) & ((F.get("words", at(i)) == F.get("item_words", i)) | first(i))
     same = F.transform(
         F.filter(place, inside),
         lambda i: F.struct(
