@@ -8,7 +8,21 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pathlore.llm import chat, decontaminate, language_id, lm_score, ngram_join, piece_codec, substring_dedup, suffix_dedup, url_filter, vector_search
+from pathlore.llm import (
+    chat,
+    collocations,
+    decontaminate,
+    language_id,
+    lm_score,
+    ngram_join,
+    path_join,
+    piece_codec,
+    substring_dedup,
+    suffix_dedup,
+    url_filter,
+    vector_search,
+    whitening,
+)
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -154,6 +168,46 @@ def op9_decontaminate(spark: SparkSession, sf: str) -> DataFrame:
     return decontaminate.contaminated(table(spark, sf, "documents"), table(spark, sf, "benchmark"))
 
 
+@query("op11_whitening")
+def op11_whitening(spark: SparkSession, sf: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf, "embeddings"))
+
+
+OP12_SQL = r"""
+WITH d AS (SELECT coalesce(lang, 'und') AS lang,
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS text FROM documents),
+p AS (SELECT lang, unnest(string_split_regex(text, '[.,;:!?\x0A-\x0D]')) AS piece FROM d),
+w AS (SELECT lang, list_filter(string_split_regex(piece, '[ \x09]+'), lambda x: x <> '') AS w FROM p),
+g AS (SELECT lang, 1 AS size, unnest(w) AS phrase FROM w
+  UNION ALL SELECT lang, 2, unnest(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) FROM w
+  UNION ALL SELECT lang, 3, unnest(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) FROM w),
+f AS (SELECT lang, size, phrase, count(*) AS f FROM g GROUP BY ALL),
+n AS (SELECT lang, CAST(sum(f) AS BIGINT) AS n FROM f WHERE size = 1 GROUP BY lang),
+c AS (SELECT lang, size, phrase, f AS a, string_split(phrase, ' ') AS s FROM f WHERE size > 1 AND f >= 10),
+parts AS (SELECT lang, phrase, a, 1 AS k, s[1] AS head, array_to_string(s[2:], ' ') AS tail FROM c
+  UNION ALL SELECT lang, phrase, a, 2, s[1] || ' ' || s[2], s[3] FROM c WHERE size = 3),
+cuts AS (SELECT parts.lang, parts.phrase, a, k, l.f AS l, r.f AS r,
+    CAST((1000000::HUGEINT * a * a) // (l.f::HUGEINT * r.f) AS BIGINT) AS score
+  FROM parts JOIN f l ON l.lang = parts.lang AND l.phrase = head JOIN f r ON r.lang = parts.lang AND r.phrase = tail),
+best AS (SELECT * FROM cuts QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
+inside AS (SELECT lang, s[1] || ' ' || s[2] AS phrase, a FROM c WHERE size = 3
+  UNION ALL SELECT lang, s[2] || ' ' || s[3], a FROM c WHERE size = 3),
+held AS (SELECT lang, phrase, max(a) AS held FROM inside GROUP BY ALL),
+kept AS (SELECT best.* FROM best LEFT JOIN held USING (lang, phrase) WHERE held IS NULL OR 100 * held < 50 * a)
+SELECT lang, CAST(row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS BIGINT) AS rank, phrase, a, l, r, n, score
+FROM kept JOIN n USING (lang) QUALIFY rank <= 2000"""
+
+
+@query("op12_collocations", OP12_SQL)
+def op12_collocations(spark: SparkSession, sf: str) -> DataFrame:
+    return collocations.collocations(table(spark, sf, "documents")).withColumn("rank", F.col("rank").cast("long"))
+
+
+@query("op13_path_join")
+def op13_path_join(spark: SparkSession, sf: str) -> DataFrame:
+    return path_join.near_duplicates(table(spark, sf, "documents"))
+
+
 @query("pipeline")
 def pipeline(spark: SparkSession, sf: str) -> DataFrame:
     import corpus_pipeline  # it imports this module
