@@ -4,10 +4,12 @@ import random
 import re
 from collections import Counter
 
+import numpy as np
+import pyarrow as pa
 import pytest
 
 from pathlore.llm import collocations
-from pathlore.llm.collocations import _bits, _Frontier, score
+from pathlore.llm.collocations import _bits, pair_key, score
 
 
 def brute(rows, least=10, first=2000, share=50):
@@ -61,24 +63,26 @@ def test_brute_force(spark, first):
     assert len(expected) > 5 and run(spark, rows, first=first) == expected
 
 
-def test_long_piece_and_small_slices(spark, monkeypatch):
-    monkeypatch.setattr(collocations, "LONG_PIECE", 40)
-    monkeypatch.setattr(collocations, "BLOCK", 3)
-    monkeypatch.setattr(collocations, "HELD_BYTES", 100)
-    monkeypatch.setattr(collocations, "CACHE", 4)
-    rows = corpus(5, 60)
-    counted = lambda size, bits: list(collocations._pieces(rows[0][1].encode(), size))
-    assert counted(3, None) == counted(3, None)
-    for text in [t.encode() for _, t in rows if t]:
-        whole = Counter()
-        for piece in re.split(rb"[\n]", text.translate(collocations._PLAIN)):
-            w = piece.split()
-            whole.update(zip(w, w[1:], w[2:]))
-        cut = Counter()
-        for w, own, _ in collocations._pieces(text, 3):
-            cut.update(collocations._grams(w, own, 3))
-        assert cut == whole
-    assert run(spark, rows, first=10) == brute(rows, first=10)
+@pytest.mark.parametrize("size", [1, 7, 60])
+def test_long_texts(spark, monkeypatch, size):
+    # every text is cut into parts of about ``size`` bytes
+    monkeypatch.setattr(collocations, "SLICE_BYTES", size)
+    rows = corpus(5, 25) * 4
+    expected = brute(rows, first=10)
+    got = Counter()
+    for lang, text in rows:
+        batch = pa.RecordBatch.from_pydict({"text": pa.array([text]), "lang": pa.array([5])})
+        for data, offsets, langs, own in collocations._chunks(batch):
+            key, piece, here, _, _ = collocations._keys(data, offsets, langs, own)
+            got.update(tuple(key[i : i + 3]) for i in range(min(here, len(key) - 2)) if piece[i] == piece[i + 2])
+    monkeypatch.undo()
+    whole = Counter()
+    for lang, text in rows:
+        batch = pa.RecordBatch.from_pydict({"text": pa.array([text]), "lang": pa.array([5])})
+        for data, offsets, langs, own in collocations._chunks(batch):
+            key, piece, _, _, _ = collocations._keys(data, offsets, langs, own)
+            whole.update(tuple(key[i : i + 3]) for i in range(len(key) - 2) if piece[i] == piece[i + 2])
+    assert got == whole and expected
 
 
 def test_threshold_falls_until_enough_survive(spark):
@@ -101,11 +105,14 @@ def test_exact_beyond_64_bits(spark):
     assert df.first()[0] == 1000000 * a * a // (l * r)
 
 
-def test_bits_agree_with_the_tasks(spark):
-    rows = [("é", "a b"), ("en", "ü ß"), ("en", "x y z")]
-    bits = _bits(spark.createDataFrame(rows, "lang string, phrase string"))
-    assert all(_Frontier(g.encode(), bits)[tuple(w.encode() for w in p.split())] for g, p in rows)
-    assert int(bits.view("uint8").sum()) > 0 and sum(bin(b).count("1") for b in bits) <= 3
+def test_keys_agree_with_spark(spark):
+    r = random.Random(1)
+    rows = [(r.randrange(-(2**63), 2**63), r.randrange(-(2**63), 2**63)) for _ in range(50)]
+    df = spark.createDataFrame(rows, "w1 long, w2 long").select("w1", "w2", pair_key("w1", "w2").alias("k"))
+    got = df.collect()
+    w1, w2, k = (np.array([x[i] for x in got], np.int64).view(np.uint64) for i in range(3))
+    assert (collocations._pair_key(w1, w2) == k).all()
+    assert collocations._known(_bits(df.select("k")), k).all()
 
 
 def test_empty(spark):

@@ -80,7 +80,7 @@ def test_other_threshold(spark):
     assert run(spark, rows, percent=70) == brute(rows, 70)
 
 
-@pytest.mark.parametrize("depth", [64, 2])
+@pytest.mark.parametrize("depth", [6, 2])
 def test_large_nodes(spark, monkeypatch, depth):
     # nodes of more than 6 sets are followed; a star of copies that link to their source only
     monkeypatch.setattr(path_join, "LEAF", 6)
@@ -95,7 +95,7 @@ def test_large_nodes(spark, monkeypatch, depth):
             words[r.randrange(300)] = f"x{r.random()}"
         rows.append((i + 10, " ".join(words)))
     rows.append((500, " ".join(base)))
-    rows += [(1000 + i, t) for i, t in families(5, 10)]
+    rows += [(1000 + i, t) for i, t in families(5, 3)]
     assert run(spark, rows, trees=6) == brute(rows)
 
 
