@@ -27,8 +27,8 @@ from pathlore.llm.ngram_join import _batches, _bitmap, _sets
 from pathlore.llm.spans import mix
 from pathlore.session import cut_lineage
 
-HASHES = 128
-LEAF, GRAMS = 512, 400_000  # sets and n-grams of a node that is compared exhaustively
+HASHES = 64
+LEAF, GRAMS = 1024, 500_000  # sets and n-grams of a node that is compared exhaustively
 FEW = 8  # sets compared exhaustively whatever their size
 DEPTH = 64  # levels after which nodes are compared block by block instead of followed
 CENTRES = 3  # sets that all blocks of a node share
@@ -160,7 +160,7 @@ def _near(table: pa.Table, percent: int) -> pa.Table:
 
     Sets that are connected this way keep together under a name made of their keys, so that
     the same sets met in several trees are compared once. A pair at the threshold fails here
-    with probability below 10^-6.
+    with probability of about 10^-6.
     """
     table = table.sort_by([("node", "ascending"), ("key", "ascending")])
     node, key, label, size = (table.column(c).to_numpy() for c in ("node", "key", "label", "n"))
@@ -279,7 +279,7 @@ def near_duplicates(
     id_col: str = "doc_id",
     text_col: str = "text",
     words_per_gram: int = 5,
-    trees: int = 4,
+    trees: int = 8,
 ) -> DataFrame:
     """One row (id, n_shingles, component_id, kept) per row of ``documents``.
 
