@@ -5,7 +5,8 @@ numbers are typed placeholders, other words are lower case without punctuation.
 template words of the benchmark meet windows of the texts by hash; windows that are mostly
 placeholders meet by their values instead. Along each shift between a text
 and an item that shares a window, words are compared one by one, and placeholders count only if
-their values are consistent: one value of the item always stands for one value of the text.
+their values are consistent along it: one value of the item always stands for one value of the
+text. Several parameterisations of one question in a text are several shifts.
 Everything is built-in functions.
 """
 
@@ -26,7 +27,7 @@ NAME, UNIT, NUMBER = "\u0001", "\u0002", "\u0003"
 WINDOW = 8  # words
 WHOLE = 11  # words; shorter items are looked up whole too
 LITERAL = 4  # words of a benchmark window that are no placeholders
-BROADCAST_ROWS = 200_000  # larger sides are shuffled
+BROADCAST_ROWS, BROADCAST_BYTES = 200_000, 16_000_000  # larger sides are shuffled
 
 
 def _normal(text: Column, placeholders: bool) -> Column:
@@ -70,9 +71,10 @@ def without(documents: DataFrame, found: DataFrame, id_col: str = "doc_id") -> D
     return documents.join(_sized(cut_lineage(found.select(id_col).distinct())), id_col, "left_anti")
 
 
-def _sized(df: DataFrame) -> DataFrame:
-    """``df`` with a broadcast hint if its rows were counted and are few."""
-    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+def _sized(df: DataFrame, text: str | None = None) -> DataFrame:
+    """``df`` with a broadcast hint if its rows, and the bytes of its texts, were counted and are few."""
+    size = df.agg(F.count(F.lit(1)).alias("rows"), F.sum(F.octet_length(text) if text else F.lit(0)).alias("bytes")).first()
+    return F.broadcast(df) if size["rows"] <= BROADCAST_ROWS and (size["bytes"] or 0) <= BROADCAST_BYTES else df
 
 
 def contaminated(
@@ -86,9 +88,10 @@ def contaminated(
     """One row (id, item, matched, words, exact) per text and benchmark item that it contains.
 
     ``matched`` is the number of the item's ``words`` template words that the text has at the
-    same shift (over all shifts that share a window), ``exact`` says that no placeholder has
-    another value in the text. A pair is given if ``matched >= coverage * words``. Placeholders
-    whose values are inconsistent within the pair don't count.
+    same shift (the places of all shifts that share a window are united), ``exact`` says that no
+    placeholder met along these shifts has another value in the text. A pair is given if
+    ``matched >= coverage * words``. Placeholders whose values are inconsistent within a shift
+    don't count there.
 
     Null and empty texts and items contain nothing. Every window of ``WINDOW`` words of a text
     is looked up; items of fewer than ``WHOLE`` words are looked up whole too. Windows without
@@ -107,30 +110,30 @@ def contaminated(
     length = F.size("item_words")
     lengths = [r[0] for r in items.where(length < WHOLE).select(length).distinct().collect()]  # at most WHOLE - 1 values
 
-    hits = None
+    # windows of every size, by template words and by values, met in one scan of the texts
+    asked, kinds = None, []
     for size, chosen in [(WINDOW, items.where(length >= WINDOW)), *[(n, items.where(length == n)) for n in sorted(lengths) if n != WINDOW]]:
         plain = F.size(F.filter(F.slice("words", F.col("w.pos") + 1, size), lambda w: ~w.isin(NAME, UNIT, NUMBER)))
         each = chosen.select("item", "item_values", F.explode("item_templates").alias("words"))
         each = each.select("item", "item_values", "words", F.explode(_windows(F.col("words"), size)).alias("w")).withColumn("literal", plain >= min(LITERAL, size))
         each = each.select(
+            F.when(F.col("literal"), 2 * size).otherwise(2 * size + 1).alias("kind"),
             "item",
             F.col("w.pos").alias("item_pos"),
             F.when(F.col("literal"), F.col("w.hash")).otherwise(F.xxhash64(F.slice("item_values", F.col("w.pos") + 1, size))).alias("hash"),
-            "literal",
         )
-        each = cut_lineage(each.distinct())
-        for literal, words in ((True, template), (False, values)):
-            asked = each.where(F.col("literal") == literal).drop("literal")
-            if not literal and asked.isEmpty():
-                continue
-            given = docs.select("doc", words(F.col("text")).alias("words"))
-            given = given.select("doc", F.explode(_windows(F.col("words"), size)).alias("w")).select("doc", "w.pos", "w.hash")
-            met = given.join(_sized(asked), "hash").select("doc", "item", (F.col("pos") - F.col("item_pos")).alias("shift"))
-            hits = met if hits is None else hits.union(met)
-    hits = _sized(cut_lineage(hits.distinct()))
+        asked = each if asked is None else asked.union(each)
+    asked = cut_lineage(asked.distinct())
+    kinds = sorted(r[0] for r in asked.select("kind").distinct().collect())  # at most two for each size
+    tagged = lambda k: F.transform(_windows(F.col("vals" if k % 2 else "words"), k // 2), lambda w: F.struct(F.lit(k).alias("kind"), w["pos"].alias("pos"), w["hash"].alias("hash")))
+    given = docs.select("doc", template(F.col("text")).alias("words"), *([values(F.col("text")).alias("vals")] if any(k % 2 for k in kinds) else []))
+    empty = F.array().cast("array<struct<kind: int, pos: int, hash: bigint>>")
+    given = given.select("doc", F.explode(F.concat(empty, *[tagged(k) for k in kinds])).alias("w")).select("doc", "w.kind", "w.pos", "w.hash")
+    met = given.join(_sized(asked), ["kind", "hash"]).select("doc", "item", (F.col("pos") - F.col("item_pos")).alias("shift"))
+    hits = _sized(cut_lineage(met.distinct()))
 
     # compare word by word along each shift
-    both = docs.join(hits, "doc").join(_sized(items), "item")
+    both = docs.join(hits, "doc").join(_sized(items, "item_text"), "item")
     both = both.withColumns({"words": template(F.col("text")), "vals": values(F.col("text"))})
     place = F.sequence(F.lit(0), F.size("item_words") - 1)
     at = lambda i: F.col("shift") + i
@@ -142,21 +145,17 @@ def contaminated(
             i.alias("i"), F.get("item_words", i).alias("kind"), F.get("item_values", i).alias("theirs"), F.get("vals", at(i)).alias("ours")
         ),
     )
-    pairs = both.groupBy("doc", "item", F.size("item_words").alias("total")).agg(F.array_distinct(F.flatten(F.collect_set(same))).alias("same"))
+    shifts = both.select("doc", "item", F.size("item_words").alias("total"), same.alias("same"))
     slots = F.filter("same", lambda s: s["kind"].isin(NAME, UNIT, NUMBER))
     valued = lambda s: F.struct(s["kind"].alias("k"), s["theirs"].alias("t"), s["ours"].alias("o"))
-    maps = F.array_distinct(F.transform(slots, valued))
+    shifts = shifts.withColumn("maps", F.array_distinct(F.transform(slots, valued)))
     steady = lambda s: F.size(F.filter("maps", lambda m: (m["k"] == s["kind"]) & (m["t"] == s["theirs"]))) == 1
     counted = F.filter("same", lambda s: ~s["kind"].isin(NAME, UNIT, NUMBER) | steady(s))
-    return (
-        pairs.withColumn("maps", maps)
-        .withColumn("counted", counted)
-        .select(
-            F.col("doc").alias(id_col),
-            F.col("item").alias(item_col),
-            F.size(F.array_distinct(F.transform("counted", lambda s: s["i"]))).alias("matched"),
-            F.col("total").alias("words"),
-            F.forall("counted", lambda s: s["theirs"] == s["ours"]).alias("exact"),
-        )
-        .where(F.col("matched") >= coverage * F.col("words"))
+    places = F.transform(counted, lambda s: s["i"])
+    shifts = shifts.select("doc", "item", "total", places.alias("places"), F.forall("maps", lambda m: m["t"] == m["o"]).alias("exact"))
+    # one row per place: nothing grows with the shifts of a pair
+    united = shifts.select("doc", "item", "total", "exact", F.explode("places").alias("i")).groupBy("doc", "item", "total", "i").agg(F.min("exact").alias("exact"))
+    pairs = united.groupBy("doc", "item", "total").agg(F.count(F.lit(1)).cast("int").alias("matched"), F.min("exact").alias("exact"))
+    return pairs.where(F.col("matched") >= coverage * F.col("total")).select(
+        F.col("doc").alias(id_col), F.col("item").alias(item_col), "matched", F.col("total").alias("words"), "exact"
     )

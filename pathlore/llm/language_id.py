@@ -17,13 +17,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from pathlore.llm.spans import BYTE_HASH, Texts, mix, ngram_hash, words
+from pathlore.llm.spans import BYTE_HASH, Texts, mix, ngram_hash, row_slices, words
 
 UNKNOWN = "und"
 FEATURES = 1 << 16
 SIZES = (1, 2, 3, 4, 5)  # byte n-grams
 LETTERS = re.compile(r"[^\W\d_]+")
-SLICE_BYTES = 2_000_000
+SLICE_BYTES = 400_000  # text whose arrays a worker holds at once
 SLICES = 64
 CHUNK = 64  # words whose transfer matrices are multiplied before texts are walked chunk by chunk
 
@@ -241,26 +241,22 @@ def _marginals(score: np.ndarray, first: np.ndarray, move: np.ndarray, start: np
 
 
 def predict(documents: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
-    """One row (id, lang_pred, score, parts, ``carry``) per row of ``documents``; only the text is read.
+    """One row (id, lang_pred, score, parts, sure, ``carry``) per row of ``documents``; only the text is read.
 
     ``lang_pred`` is the language with the largest mean marginal over all words (ties: the first
     by name), ``score`` that mean; ``parts`` are the runs (lang, words) of the most probable
-    language of each word. Null texts and texts without a letter are ``und`` with score 0, as
+    language of each word, ``sure`` the mean over the words of that language's marginal. Null texts and texts without a letter are ``und`` with score 0, as
     are all texts if the model has no language. A null id stays null, repeated rows repeat.
     """
     langs = model.langs
 
     def run(batches):
         for batch in batches:
-            texts, lo = batch.column(text_col).to_pylist(), 0
-            while lo < len(texts):
-                hi, size = lo, 0
-                while hi < len(texts) and (hi == lo or size + len(texts[hi] or "") <= SLICE_BYTES):
-                    size += len(texts[hi] or "")
-                    hi += 1
-                found = [letters(t) for t in texts[lo:hi]] if langs else [[] for _ in range(lo, hi)]
+            for lo, hi in row_slices(batch.column(text_col), SLICE_BYTES):
+                found = [letters(t) for t in batch.column(text_col).slice(lo, hi - lo).to_pylist()] if langs else [[] for _ in range(lo, hi)]
                 first = np.append(0, np.cumsum([len(f) for f in found]))
                 name, score = np.array([UNKNOWN] * (hi - lo), dtype=object), np.zeros(hi - lo)
+                sure = np.zeros(hi - lo)
                 edges, kinds, sizes = np.zeros(hi - lo + 1, np.int64), [], np.empty(0, np.int64)
                 if first[-1]:
                     raw = Texts(pa.array([" ".join(w for f in found for w in f)]))
@@ -273,6 +269,7 @@ def predict(documents: DataFrame, model: Model, id_col: str = "doc_id", text_col
                     mean = np.add.reduceat(gamma, first[full], axis=0) / np.diff(first)[full, None]
                     name[full] = [langs[i] for i in mean.argmax(axis=1)]
                     score[full] = np.clip(mean.max(axis=1), 0, 1)
+                    sure[full] = np.clip(np.add.reduceat(gamma.max(axis=1), first[full]) / np.diff(first)[full], 0, 1)
                     best = gamma.argmax(axis=1)
                     new = np.append(True, best[1:] != best[:-1])
                     new[first[full]] = True
@@ -283,10 +280,11 @@ def predict(documents: DataFrame, model: Model, id_col: str = "doc_id", text_col
                 part = batch.slice(lo, hi - lo)
                 columns = {id_col: part.column(id_col), "lang_pred": pa.array(name, pa.string()), "score": pa.array(score)}
                 columns["parts"] = pa.ListArray.from_arrays(pa.array(edges, pa.int32()), parts)
+                columns["sure"] = pa.array(sure)
                 yield pa.RecordBatch.from_pydict(columns | {c: part.column(c) for c in carry})
-                lo = hi
+            pa.default_memory_pool().release_unused()
 
     kinds = dict(documents.dtypes)
-    schema = [f"`{id_col}` {kinds[id_col]}", "lang_pred string", "score double", "parts array<struct<lang: string, words: long>>"]
+    schema = [f"`{id_col}` {kinds[id_col]}", "lang_pred string", "score double", "parts array<struct<lang: string, words: long>>", "sure double"]
     schema += [f"`{c}` {kinds[c]}" for c in carry]
     return documents.select(*dict.fromkeys([id_col, text_col, *carry])).mapInArrow(run, ", ".join(schema))

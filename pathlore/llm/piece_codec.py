@@ -18,9 +18,12 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from pathlore.llm.spans import row_slices
+
 MARK = "▁"  # the vocabulary's space
-SLICE_BYTES = 1_000_000  # text encoded at once
-CACHE = 200_000  # distinct segments a worker keeps
+SLICE_BYTES = 400_000  # text encoded at once
+CACHE_BYTES = 24_000_000  # of the distinct segments a worker keeps
+ENTRY_BYTES = 150  # of a segment beside its text and pieces
 
 
 def _varint(raw: bytes, at: int) -> tuple[int, int]:
@@ -88,13 +91,13 @@ class Normaliser:
 
         def copy(lo: int, hi: int) -> None:
             out.append(text[lo:hi])
-            source.append(np.arange(lo, hi, dtype=np.int64))
+            source.append(np.arange(lo, hi, dtype=np.int32))
 
         for found in self.key.finditer(text) if self.key else ():
             copy(at, found.start())
             new = self.map[found.group()]
             out.append(new)
-            source.append(np.full(len(new), found.start(), dtype=np.int64))
+            source.append(np.full(len(new), found.start(), dtype=np.int32))
             at = found.end()
         copy(at, len(text))
         body, source = b"".join(out), np.concatenate(source)
@@ -106,13 +109,13 @@ class Normaliser:
             keep[last[-1] + 1 if len(last) else 0 :] = False
             body, source = np.frombuffer(body, np.uint8)[keep].tobytes(), source[keep]
         if not body:
-            return b"", np.array([len(text)], dtype=np.int64)
+            return b"", np.array([len(text)], dtype=np.int32)
         if self.dummy:
             body, source = b" " + body, np.append(source[0], source)
         if self.escape:
             wide = np.where(np.frombuffer(body, np.uint8) == 32, 3, 1)
             body, source = body.replace(b" ", MARK.encode()), np.repeat(source, wide)
-        return body, np.append(source, len(text))
+        return body, np.append(source, np.int32(len(text)))
 
 
 class Codec:
@@ -146,6 +149,7 @@ class Codec:
     def reset(self) -> None:
         self.code: dict[str, int] = {}
         self.ids, self.widths, self.first, self.shown = array("i"), array("i"), array("q", [0]), []
+        self.held = 0  # bytes, roughly
 
     def learn(self, segments: list[str]) -> None:
         for segment, ids in zip(segments, self.library.encode(segments, num_threads=1)):
@@ -157,10 +161,11 @@ class Codec:
                 self.widths.extend([self.width[i] for i in ids])
             self.first.append(len(self.ids))
             self.shown.append(b"".join([self.piece[i] for i in ids]))
+            self.held += ENTRY_BYTES + 3 * len(segment) + 8 * len(ids)
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, list[bytes]]:
         """Ids, first and last source bytes, pieces per text (offsets), and the texts decoded."""
-        if len(self.code) > CACHE:
+        if self.held > CACHE_BYTES:
             self.reset()
         codes, counts, ends, aligned = [], [], [], []
         for text in texts:
@@ -187,7 +192,7 @@ class Codec:
         start_of = np.append(0, end)[offsets]  # normalised bytes in front of each text
         shift = np.cumsum([0] + [len(a) for a in aligned])
         row = np.repeat(np.arange(len(texts)), np.diff(offsets))
-        source = np.concatenate(aligned) if aligned else np.empty(0, np.int64)
+        source = np.concatenate(aligned) if aligned else np.empty(0, np.int32)
         begin, end = (source[x - start_of[row] + shift[row]] for x in (begin, end))
         shown, listed, decoded = self.shown, codes.tolist(), []
         for i in range(len(texts)):
@@ -217,20 +222,15 @@ def encode(documents: DataFrame, model: bytes, id_col: str = "doc_id", text_col:
             _CODECS[key] = Codec(model)
         codec = _CODECS[key]
         for batch in batches:
-            texts = [t or "" for t in batch.column(text_col).to_pylist()]
-            lo = 0
-            while lo < len(texts):
-                hi, size = lo, 0
-                while hi < len(texts) and (hi == lo or size + len(texts[hi]) <= SLICE_BYTES):
-                    size += len(texts[hi])
-                    hi += 1
-                ids, begin, end, offsets, decoded = codec.encode(texts[lo:hi])
+            for lo, hi in row_slices(batch.column(text_col), SLICE_BYTES):
+                texts = [t or "" for t in batch.column(text_col).slice(lo, hi - lo).to_pylist()]
+                ids, begin, end, offsets, decoded = codec.encode(texts)
                 lists = [pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(x, pa.int32())) for x in (ids, begin, end)]
                 part = batch.slice(lo, hi - lo)
                 columns = {id_col: part.column(id_col), "ids": lists[0], "begins": lists[1], "ends": lists[2]}
                 columns["decoded"] = pa.array(decoded, pa.binary()).cast(pa.string())
                 yield pa.RecordBatch.from_pydict(columns | {c: part.column(c) for c in carry})
-                lo = hi
+            pa.default_memory_pool().release_unused()
 
     kinds = dict(documents.dtypes)
     schema = [f"`{id_col}` {kinds[id_col]}", "ids array<int>", "begins array<int>", "ends array<int>", "decoded string"]

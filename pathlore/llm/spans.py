@@ -6,6 +6,7 @@ import struct
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 
 U64 = np.uint64
@@ -89,6 +90,17 @@ class Texts:
         return out
 
 
+def row_slices(column: pa.Array, most: int) -> list[tuple[int, int]]:
+    """Row ranges of a string column of about ``most`` bytes; a longer text is a range of its own."""
+    size = np.append(0, np.cumsum(pc.binary_length(column).fill_null(0).to_numpy(zero_copy_only=False)))
+    out, lo = [], 0
+    while lo < len(column):
+        hi = max(lo + 1, int(np.searchsorted(size, size[lo] + most, side="right")) - 1)
+        out.append((lo, hi))
+        lo = hi
+    return out
+
+
 def words(data: np.ndarray, offsets: np.ndarray, lower: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Words ``[^\\x20\\x09-\\x0D]+`` of the texts between ``offsets``.
 

@@ -51,31 +51,47 @@ def template(text):
 
 
 def brute(docs, items, coverage=0.5):
+    """From the definition: shifts with an equal window, consistent values along each, places united."""
     out = set()
     for d, text in docs:
         mine = template(text)
         for k, item in items:
             theirs = template(item)
             n = len(theirs)
-            size = 8 if n >= 11 else n
-            same = set()
+            sizes = {8} | {n} if n < 11 else {8}
+            places, exact = set(), True
             for shift in range(-n, len(mine)):
-                hit = [i for i in range(n) if 0 <= shift + i < len(mine) and mine[shift + i][0] == theirs[i][0]]
-                runs = [
-                    i for i in range(n - size + 1)
-                    if size and all(j in hit for j in range(i, i + size)) and sum(theirs[j][0] not in "NU#" for j in range(i, i + size)) >= min(4, size)
-                    and (shift + i) % (4 if n >= 11 else 1) == 0
-                ]
-                if runs:
-                    same |= {(i, theirs[i][0], theirs[i][1], mine[shift + i][1]) for i in hit}
-            maps = {s[1:] for s in same if s[1] in "NU#"}
-            counted = [s for s in same if s[1] not in "NU#" or sum(m[:2] == s[1:3] for m in maps) == 1]
-            matched = len({s[0] for s in counted})
-            if n and matched and matched >= coverage * n:
-                out.add((d, k, matched, n, all(s[2] == s[3] for s in counted)))
+                at = [i for i in range(n) if 0 <= shift + i < len(mine)]
+                word = {i for i in at if mine[shift + i][0] == theirs[i][0]}
+                value = {i for i in at if mine[shift + i][1] == theirs[i][1]}
+                word |= value & {0}  # its kind depends on what stands before it
+
+                def met(lo, size, word=word, value=value, theirs=theirs):
+                    window = range(lo, lo + size)
+                    plain = sum(theirs[j][0] not in "NU#" for j in window)
+                    return word.issuperset(window) if plain >= min(4, size) else value.issuperset(window)
+
+                if any(met(lo, size) for size in sizes if size for lo in range(n - size + 1)):
+                    slots = {(theirs[i], mine[shift + i][1]) for i in word if theirs[i][0] in "NU#"}
+                    exact &= all(t[1] == o for t, o in slots)
+                    places |= {i for i in word if theirs[i][0] not in "NU#" or sum(s[0] == theirs[i] for s in slots) == 1}
+            if n and places and len(places) >= coverage * n:
+                out.add((d, k, len(places), n, exact))
     return out
 
 
+def test_two_variants_in_one_text(spark):
+    heavy = "In 1970 Tom Smith and Ann Jones sold 12 red and 30 blue apples for 45 dollars to 7 men in 8 days"
+    other = heavy.replace("1970", "1980").replace("12", "55").replace("30", "31").replace("45", "46").replace("7 men", "9 men").replace("8 days", "2 days")
+    third = other.replace("55", "56").replace("46", "99")
+    docs = [(1, f"so it says: {heavy}"), (2, f"so it says: {other}"), (3, f"so it says: {other}. and then it goes on: {third}"), (4, f"a: {heavy}. b: {third}"), (5, f"a: {heavy}. b: {heavy}")]
+    bench = spark.createDataFrame([(7, heavy)], "item_id long, text string")
+    got = {tuple(r) for r in contaminated(spark.createDataFrame(docs, "doc_id long, text string"), bench).collect()}
+    assert got == brute(docs, [(7, heavy)])
+    assert {(g[0], g[4]) for g in got} == {(1, True), (2, False), (3, False), (4, False), (5, True)}
+    assert len({g[2] for g in got}) == 1
+
+
 def test_planted(spark):
     docs = [(i, document(i)) for i in range(12)]
     df = spark.createDataFrame(docs, "doc_id long, text string").withColumnsRenamed({})

@@ -59,7 +59,7 @@ def test_whole_documents(spark, sf):
 def test_reset_and_odd_tables(spark, monkeypatch):
     from pathlore.llm import piece_codec
 
-    monkeypatch.setattr(piece_codec, "CACHE", 3)
+    monkeypatch.setattr(piece_codec, "CACHE_BYTES", 500)
     codec, library = Codec(MODEL), sentencepiece.SentencePieceProcessor(model_file=PATH)
     for t in ("one two three four", "five six seven eight", "one two"):
         ids, *_ = codec.encode([t])
