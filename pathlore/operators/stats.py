@@ -68,8 +68,9 @@ def corr_matrix(
     Cells absent from the long form are zeros. Variables are hashed to blocks of about ``block``
     and observations to slices, so each task multiplies two matrices of bounded size whatever
     the shape of the input; what leaves it is sums per pair of variables, never row pairs. Means
-    are subtracted before the product, so large values lose no digits; observations that a task
-    does not see are absent for both variables and add the product of the means.
+    are subtracted before the product, so large values lose no digits. A task gives, for pairs that
+    it has seen together, the sums over the observations that both hold; what the other
+    observations add follows from the means.
     """
     import numpy as np
     import pandas as pd
@@ -93,14 +94,16 @@ def corr_matrix(
     def multiply(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         names, row = np.unique(pdf["v"].to_numpy(), return_inverse=True)
         seen, col = np.unique(pdf["o"].to_numpy(), return_inverse=True)
-        mean = np.empty(len(names))
-        mean[row] = pdf["m"].to_numpy()
-        x = np.repeat(-mean[:, None], len(seen), axis=1)
-        x[row, col] = pdf["d"].to_numpy()
-        home = np.empty(len(names), dtype=np.int64)
-        home[row] = pdf["_block"].to_numpy()
+        mean, home = np.empty(len(names)), np.empty(len(names), dtype=np.int64)
+        mean[row], home[row] = pdf["m"].to_numpy(), pdf["_block"].to_numpy()
+        d, held = np.zeros((len(names), len(seen))), np.zeros((len(names), len(seen)))
+        d[row, col], held[row, col] = pdf["d"].to_numpy(), 1.0
+        both, one = held @ held.T, d @ held.T  # observations of both; deviations of the first there
+        sxy = d @ d.T + one * mean[None, :] + one.T * mean[:, None]
         i, j = owned(names, home, key)
-        return pd.DataFrame({"u": names[i], "v": names[j], "sxy": (x @ x.T)[i, j], "seen": len(seen)})
+        met = both[i, j] > 0
+        i, j = i[met], j[met]
+        return pd.DataFrame({"u": names[i], "v": names[j], "sxy": sxy[i, j], "both": both[i, j]})
 
     def pair_up(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("v", ignore_index=True)
@@ -111,12 +114,13 @@ def corr_matrix(
         return pd.DataFrame(cols)
 
     sliced = blocked_pairs(cells, "v", blocks).withColumn("_slice", F.pmod(F.col("o"), F.lit(slices)))
-    products = sliced.groupBy("_bi", "_bj", "_slice").applyInPandas(multiply, f"u {kind}, v {kind}, sxy double, seen long")
-    products = products.groupBy("u", "v").agg(F.sum("sxy").alias("sxy"), F.sum("seen").alias("seen"))
+    products = sliced.groupBy("_bi", "_bj", "_slice").applyInPandas(multiply, f"u {kind}, v {kind}, sxy double, both double")
+    products = products.groupBy("u", "v").agg(F.sum("sxy").alias("sxy"), F.sum("both").alias("both"))
     pairs = blocked_pairs(sums, "v", blocks).groupBy("_bi", "_bj").applyInPandas(
         pair_up, f"u {kind}, v {kind}, m1 double, m2 double, ss1 double, ss2 double"
     )
-    cov = F.coalesce("sxy", F.lit(0.0)) + (n - F.coalesce("seen", F.lit(0))) * F.col("m1") * F.col("m2")
+    # sum over both of (d1 + m1)(d2 + m2), less n * m1 * m2
+    cov = F.coalesce("sxy", F.lit(0.0)) + (F.coalesce("both", F.lit(0.0)) - n) * F.col("m1") * F.col("m2")
     varied = [F.col(f"ss{k}") > _NOTHING * n * F.col(f"m{k}") * F.col(f"m{k}") for k in (1, 2)]
     r = cov / (F.sqrt("ss1") * F.sqrt("ss2"))
     rho = F.when(varied[0] & varied[1], F.greatest(F.lit(-1.0), F.least(F.lit(1.0), r)))

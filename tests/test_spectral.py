@@ -132,3 +132,15 @@ def test_feature_guard(spark, sf):
         X.feature_names(features(spark, sf), limit=10)
     with pytest.raises(ValueError, match="features"):
         X.moments(vectors(spark, sf), limit=10)
+
+
+@pytest.mark.parametrize("block,slice_cells", [(2, 20), (3, 7), (512, 50), (1, 1)])
+def test_corr_sparse_in_any_blocks(spark, block, slice_cells):
+    r = np.random.default_rng(block)
+    dense = np.where(r.random((120, 7)) < 0.1, r.normal(5, 2, (120, 7)), 0.0)
+    dense[:, 6] = r.normal(1000, 1, 120)
+    cells = [(int(j), f"o{i}", float(dense[i, j])) for i in range(120) for j in range(7) if dense[i, j] != 0]
+    df = spark.createDataFrame(cells, "v long, o string, value double")
+    got = corr_matrix(df, "v", "o", block=block, slice_cells=slice_cells).toPandas()
+    assert len(got) == 21
+    assert got.rho.to_numpy() == pytest.approx(np.corrcoef(dense.T)[got.u, got.v], abs=1e-9)
