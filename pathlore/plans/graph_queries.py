@@ -3,7 +3,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from pathlore.operators import graph as G
-from pathlore.operators.matrix import activity_matrix, case_to_user, direct_follow
+from pathlore.operators.matrix import activity_matrix, case_to_user, direct_follow, steps
 from pathlore.operators.score import cohort_fixed4, weekly_mark
 from pathlore.operators.spectral import corr_distance
 from pathlore.operators.stats import corr_matrix
@@ -283,3 +283,29 @@ def community_detect(spark, sf):
 def community_detect_per_user(spark, sf):
     edges = G.user_graph(*_moves(spark, sf))[0]
     return G.community_detect(edges, ["user_id"])
+
+
+def _user_edges(spark, sf):
+    """Activities of a user as nodes, linked if they follow each other at least twice on a day."""
+    pairs = steps(event_log(spark, sf)).where("src <> dst").groupBy(F.col("user_id").alias("graph"), F.least("src", "dst").alias("u"), F.greatest("src", "dst").alias("v"))
+    return pairs.agg(F.count(F.lit(1)).alias("n")).where("n >= 2").select("graph", "u", "v")
+
+
+# shortest paths of up to four edges: the graphs have five nodes
+_PATHS = """nx AS (SELECT user_id AS graph, activity AS a, lead(activity) OVER (PARTITION BY case_id ORDER BY ts, event_id) AS b FROM log),
+  e AS (SELECT graph, least(a, b) AS u, greatest(a, b) AS v FROM nx WHERE b IS NOT NULL AND a <> b GROUP BY ALL HAVING count(*) >= 2),
+  ar AS (SELECT graph, u AS a, v AS b FROM e UNION ALL SELECT graph, v, u FROM e),
+  pt(graph, s, t, way) AS (SELECT graph, a, b, [a, b] FROM ar UNION ALL SELECT pt.graph, s, b, list_append(way, b) FROM pt JOIN ar ON ar.graph = pt.graph AND ar.a = pt.t AND NOT list_contains(way, b)),
+  sp AS (SELECT * FROM pt QUALIFY len(way) = min(len(way)) OVER (PARTITION BY graph, s, t)),
+  wt AS (SELECT graph, way, 1.0::DOUBLE / count(*) OVER (PARTITION BY graph, s, t) AS w FROM sp WHERE s < t),
+  on_ AS (SELECT graph, w, unnest(list_transform(range(1, len(way)), lambda i: {'u': least(way[i], way[i + 1]), 'v': greatest(way[i], way[i + 1])})) AS p FROM wt)"""
+
+
+@query("edge_betweenness", "WITH RECURSIVE " + with_("log", _PATHS)[5:] + f"SELECT graph, p.u AS u, p.v AS v, {rnd('sum(w)')} AS betweenness FROM on_ GROUP BY ALL")
+def edge_betweenness(spark, sf):
+    return out(G.edge_betweenness(_user_edges(spark, sf)))
+
+
+@query("girvan_newman")
+def girvan_newman(spark, sf):
+    return G.girvan_newman(_user_edges(spark, sf))

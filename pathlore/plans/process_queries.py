@@ -2,6 +2,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from pathlore.operators import petri as N
 from pathlore.operators import process as P
 from pathlore.plans.registry import out, query, rnd
 from pathlore.plans.tables import event_log, with_
@@ -118,3 +119,56 @@ def model_size(spark, sf):
 )
 def student_vs_models(spark, sf):
     return out(P.student_vs_models(event_log(spark, sf), _model(spark, sf), _rare(spark, sf)))
+
+
+_CAUSAL = "ca AS (SELECT src, dst FROM m WHERE src <> dst AND NOT EXISTS (SELECT 1 FROM m b WHERE b.src = m.dst AND b.dst = m.src))"
+# sets of activities as bits
+_ALPHA = """ac AS (SELECT activity, CAST(pow(2, row_number() OVER (ORDER BY activity) - 1) AS BIGINT) AS bit FROM (SELECT DISTINCT activity FROM log)),
+  st AS (SELECT s FROM range(1, (SELECT CAST(pow(2, count(*)) AS BIGINT) FROM ac)) r(s)
+    WHERE NOT EXISTS (SELECT 1 FROM m JOIN ac a ON a.activity = m.src JOIN ac b ON b.activity = m.dst WHERE s & a.bit > 0 AND s & b.bit > 0)),
+  pr AS (SELECT i.s AS i, o.s AS o FROM st i, st o WHERE NOT EXISTS (SELECT 1 FROM ac a, ac b WHERE i.s & a.bit > 0 AND o.s & b.bit > 0
+    AND NOT EXISTS (SELECT 1 FROM ca WHERE ca.src = a.activity AND ca.dst = b.activity))),
+  mx AS (SELECT i, o FROM pr WHERE NOT EXISTS (SELECT 1 FROM pr q WHERE q.i & pr.i = pr.i AND q.o & pr.o = pr.o AND (q.i <> pr.i OR q.o <> pr.o))),
+  nm AS (SELECT (SELECT string_agg(activity, '+' ORDER BY activity) FROM ac WHERE mx.i & bit > 0) AS inputs,
+    (SELECT string_agg(activity, '+' ORDER BY activity) FROM ac WHERE mx.o & bit > 0) AS outputs FROM mx),
+  fl AS (SELECT case_id, first(activity ORDER BY ts, event_id) AS f, last(activity ORDER BY ts, event_id) AS l FROM log GROUP BY case_id),
+  net AS (SELECT inputs || '>' || outputs AS place, inputs, outputs FROM nm
+    UNION ALL SELECT 'start', '', (SELECT string_agg(DISTINCT f, '+' ORDER BY f) FROM fl) UNION ALL SELECT 'end', (SELECT string_agg(DISTINCT l, '+' ORDER BY l) FROM fl), '')"""
+_REPLAY = """ar AS (SELECT place, 1 AS side, 1 AS t, unnest(string_split(inputs, '+')) AS activity FROM net WHERE inputs <> ''
+    UNION ALL SELECT place, 0, -1, unnest(string_split(outputs, '+')) FROM net WHERE outputs <> ''),
+  mv AS (SELECT case_id, place, ts, event_id, side, t FROM log JOIN ar USING (activity)
+    UNION ALL SELECT case_id, 'start', TIMESTAMP '1900-01-01', 0, 0, 1 FROM (SELECT DISTINCT case_id FROM log)
+    UNION ALL SELECT case_id, 'end', TIMESTAMP '2900-01-01', 0, 0, -1 FROM (SELECT DISTINCT case_id FROM log)),
+  hd AS (SELECT *, sum(t) OVER (PARTITION BY case_id, place ORDER BY ts, event_id, side) AS held FROM mv),
+  pl AS (SELECT case_id, place, sum(t) FILTER (t > 0) AS p, -sum(t) FILTER (t < 0) AS c, -least(min(held), 0) AS mi, sum(t) AS net FROM hd GROUP BY ALL),
+  cs AS (SELECT case_id, CAST(sum(p) AS BIGINT) AS produced, CAST(sum(c) AS BIGINT) AS consumed, CAST(sum(mi) AS BIGINT) AS missing, CAST(sum(net + mi) AS BIGINT) AS remaining FROM pl GROUP BY case_id)"""
+
+
+def _net(spark, sf):
+    log = event_log(spark, sf)
+    return N.alpha_net(_model(spark, sf), N.case_ends(log))
+
+
+@query("alpha_net", with_("log", _NEXT, _DFG, _MODEL, _CAUSAL, _ALPHA) + "SELECT place, inputs, outputs FROM net")
+def alpha_net(spark, sf):
+    return _net(spark, sf).select("place", F.array_join("inputs", "+").alias("inputs"), F.array_join("outputs", "+").alias("outputs"))
+
+
+@query(
+    "token_replay",
+    with_("log", _NEXT, _DFG, _MODEL, _CAUSAL, _ALPHA, _REPLAY)
+    + f"SELECT case_id, produced, consumed, missing, remaining, {rnd('1 - missing / consumed / 2 - remaining / produced / 2')} AS fitness FROM cs",
+)
+def token_replay(spark, sf):
+    return out(N.token_replay(event_log(spark, sf), _net(spark, sf)))
+
+
+@query(
+    "replay_fitness",
+    with_("log", _NEXT, _DFG, _MODEL, _CAUSAL, _ALPHA, _REPLAY)
+    + f"""SELECT CAST(sum(produced) AS BIGINT) AS produced, CAST(sum(consumed) AS BIGINT) AS consumed, CAST(sum(missing) AS BIGINT) AS missing,
+      CAST(sum(remaining) AS BIGINT) AS remaining, {rnd('avg(CASE WHEN missing = 0 AND remaining = 0 THEN 1.0 ELSE 0 END)')} AS fit_cases,
+      {rnd('1 - sum(missing) / sum(consumed) / 2 - sum(remaining) / sum(produced) / 2')} AS fitness FROM cs""",
+)
+def replay_fitness(spark, sf):
+    return out(N.replay_fitness(event_log(spark, sf), _net(spark, sf)))
