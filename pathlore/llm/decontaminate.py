@@ -59,11 +59,11 @@ def _templates(text: Column) -> Column:
     return F.array_distinct(F.array(template(text), template(bare), behind("x"), behind("1")))
 
 
-def _windows(words: Column, size: int) -> Column:
-    """(pos, hash) of every window of ``size`` words."""
+def _windows(words: Column, size: int, kind: int = 0) -> Column:
+    """(kind, pos, hash) of every window of ``size`` words."""
     last = F.size(words) - size
     at = F.when(last >= 0, F.sequence(F.lit(0), F.greatest(last, F.lit(0)))).otherwise(F.array().cast("array<int>"))
-    return F.transform(at, lambda i: F.struct(i.alias("pos"), F.xxhash64(F.slice(words, i + 1, size)).alias("hash")))
+    return F.transform(at, lambda i: F.struct(F.lit(kind).alias("kind"), i.alias("pos"), F.xxhash64(F.slice(words, i + 1, size)).alias("hash")))
 
 
 def without(documents: DataFrame, found: DataFrame, id_col: str = "doc_id") -> DataFrame:
@@ -125,10 +125,10 @@ def contaminated(
         asked = each if asked is None else asked.union(each)
     asked = cut_lineage(asked.distinct())
     kinds = sorted(r[0] for r in asked.select("kind").distinct().collect())  # at most two for each size
-    tagged = lambda k: F.transform(_windows(F.col("vals" if k % 2 else "words"), k // 2), lambda w: F.struct(F.lit(k).alias("kind"), w["pos"].alias("pos"), w["hash"].alias("hash")))
+    windows = [_windows(F.col("vals" if k % 2 else "words"), k // 2, k) for k in kinds]
     given = docs.select("doc", template(F.col("text")).alias("words"), *([values(F.col("text")).alias("vals")] if any(k % 2 for k in kinds) else []))
-    empty = F.array().cast("array<struct<kind: int, pos: int, hash: bigint>>")
-    given = given.select("doc", F.explode(F.concat(empty, *[tagged(k) for k in kinds])).alias("w")).select("doc", "w.kind", "w.pos", "w.hash")
+    windows = F.concat(*windows) if len(windows) > 1 else windows[0] if windows else F.array().cast("array<struct<kind: int, pos: int, hash: bigint>>")
+    given = given.select("doc", F.explode(windows).alias("w")).select("doc", "w.kind", "w.pos", "w.hash")
     met = given.join(_sized(asked), ["kind", "hash"]).select("doc", "item", (F.col("pos") - F.col("item_pos")).alias("shift"))
     hits = _sized(cut_lineage(met.distinct()))
 
