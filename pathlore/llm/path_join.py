@@ -279,7 +279,7 @@ def near_duplicates(
     id_col: str = "doc_id",
     text_col: str = "text",
     words_per_gram: int = 5,
-    trees: int = 8,
+    trees: int = 16,
 ) -> DataFrame:
     """One row (id, n_shingles, component_id, kept) per row of ``documents``.
 
