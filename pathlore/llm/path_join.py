@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pathlore.llm.components import components
+from pathlore.llm.components import components, in_few_tasks, merged
 from pathlore.llm.ngram_join import _batches, _bitmap, _sets
 from pathlore.llm.spans import mix
 from pathlore.session import cut_lineage
@@ -30,6 +30,7 @@ from pathlore.session import cut_lineage
 HASHES = 64
 LEAF, GRAMS = 1024, 500_000  # sets and n-grams of a node that is compared exhaustively
 FEW = 8  # sets compared exhaustively whatever their size
+STEP = 2  # levels between two looks at the sizes of a tree's nodes
 DEPTH = 64  # levels after which nodes are compared block by block instead of followed
 CENTRES = 3  # sets that all blocks of a node share
 TASK_ROWS, TASK_GRAMS = 10_000, 1_000_000  # of a task that compares several nodes
@@ -89,8 +90,8 @@ def _children(nodes: np.ndarray, tokens: np.ndarray, row: np.ndarray, second: fl
     return np.concatenate(out), np.concatenate(mine)
 
 
-def _level(rows: DataFrame, roots: list[int] | None, second: float) -> DataFrame:
-    """(node, key, n, label) one level below ``rows`` (node, key, n, label, tokens), or below new ``roots``."""
+def _descend(rows: DataFrame, roots: list[int] | None, second: float, levels: int) -> DataFrame:
+    """(node, key, n, label) ``levels`` below ``rows`` (node, key, n, label, tokens), or below new ``roots``."""
 
     def run(batches):
         for batch in batches:
@@ -102,33 +103,37 @@ def _level(rows: DataFrame, roots: list[int] | None, second: float) -> DataFrame
             else:
                 nodes = np.repeat(mix(np.array(roots, dtype=np.uint64)), batch.num_rows)
                 row = np.tile(np.arange(batch.num_rows), len(roots))
-            child, at = _children(nodes, tokens, row, second)
-            rest = batch.select(["key", "n", "label"]).take(pa.array(row[at]))
-            yield pa.RecordBatch.from_arrays([pa.array(child.view(np.int64)), *rest.columns], names=["node", "key", "n", "label"])
+            for _ in range(levels):
+                nodes, at = _children(nodes, tokens, row, second)
+                row = row[at]
+            rest = batch.select(["key", "n", "label"]).take(pa.array(row))
+            yield pa.RecordBatch.from_arrays([pa.array(nodes.view(np.int64)), *rest.columns], names=["node", "key", "n", "label"])
 
     return cut_lineage(rows.mapInArrow(run, "node long, key long, n long, label long"))
 
 
-def _open(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Rows of nodes that hold several components, with the node's size and whether it is small; centres of large nodes."""
+def _open(rows: DataFrame, most: int) -> tuple[DataFrame, DataFrame]:
+    """Rows of nodes that hold several components, with the node's size and whether it is small; size and centres of large nodes.
+
+    ``most`` is about the number of ``rows``.
+    """
     centre = lambda salt: F.min(F.struct(F.xxhash64("key", F.lit(salt)), "key", "n", "label"))
     sizes = rows.groupBy("node").agg(
         F.count(F.lit(1)).alias("sets"), F.sum("n").alias("grams"), F.min("label").alias("least"), F.max("label").alias("most")
     )
     sizes = sizes.where("least < most").withColumn("small", (F.col("sets") <= FEW) | ((F.col("sets") <= LEAF) & (F.col("grams") <= GRAMS)))
-    held = cut_lineage(rows.join(sizes.select("node", "sets", "grams", "small"), "node"))
-    large = held.where("not small").groupBy("node").agg(F.array(*[centre(s) for s in range(CENTRES)]).alias("centres"))
+    held = cut_lineage(in_few_tasks(rows.join(sizes.select("node", "sets", "grams", "small"), "node"), most))
+    size = [F.max("sets").alias("sets"), F.max("grams").alias("grams")]
+    large = held.where("not small").groupBy("node").agg(*size, F.array(*[centre(s) for s in range(CENTRES)]).alias("centres"))
     return held, large
 
 
 def _blocks(large: DataFrame, centres: DataFrame) -> DataFrame:
     """(node, key, n, label) of blocks of large nodes; all blocks of a node hold its centres."""
     parts = F.ceil(F.greatest(F.col("sets") / (LEAF - CENTRES), F.col("grams") / GRAMS) * 1.2)
-    placed = large.withColumn("parts", parts)
-    part = F.pmod(F.xxhash64("key", F.lit(77)), F.col("parts"))
-    own = placed.select(F.xxhash64("node", part).alias("block"), "key", "n", "label")
-    each = placed.select("node", "parts").distinct().join(centres, "node")
-    each = each.select("node", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"), "centres")
+    part = F.pmod(F.xxhash64("key", F.lit(77)), parts)
+    own = large.select(F.xxhash64("node", part).alias("block"), "key", "n", "label")
+    each = centres.select("node", F.explode(F.sequence(F.lit(0).cast("long"), parts - 1)).alias("part"), "centres")
     shared = each.select(F.xxhash64("node", "part").alias("block"), F.explode("centres").alias("c")).select("block", "c.key", "c.n", "c.label")
     return own.union(shared).distinct().withColumnRenamed("block", "node")
 
@@ -156,14 +161,14 @@ def _edges(nodes: np.ndarray) -> np.ndarray:
 
 
 def _near(table: pa.Table, percent: int) -> pa.Table:
-    """(node, key, label) of the sets of each node that may link to one of another component, by their tokens.
+    """(node, key, id, n, label) of the sets of each node that may link to one of another component, by their tokens.
 
     Sets that are connected this way keep together under a name made of their keys, so that
     the same sets met in several trees are compared once. A pair at the threshold fails here
     with probability of about 10^-6.
     """
     table = table.sort_by([("node", "ascending"), ("key", "ascending")])
-    node, key, label, size = (table.column(c).to_numpy() for c in ("node", "key", "label", "n"))
+    node, key, label, size, rep = (table.column(c).to_numpy() for c in ("node", "key", "label", "n", "id"))
     marks = _matrix(table.column("marks"), np.uint8)
     share = percent / 100
     enough = np.floor(HASHES * share - 5 * np.sqrt(HASHES * share * (1 - share)))
@@ -199,13 +204,13 @@ def _near(table: pa.Table, percent: int) -> pa.Table:
     borders = _edges(group[order])
     name = np.add.reduceat(mix(mix(key[order].view(np.uint64))), borders[:-1]) if len(order) else np.empty(0, np.uint64)
     name = np.repeat(mix(name), np.diff(borders)).view(np.int64) if len(order) else name.view(np.int64)
-    return pa.table({"node": pa.array(name), "key": pa.array(key[order]), "n": pa.array(size[order]), "label": pa.array(label[order])})
+    return pa.table({c: pa.array(x) for c, x in (("node", name), ("key", key[order]), ("id", rep[order]), ("n", size[order]), ("label", label[order]))})
 
 
 def _confirmed(table: pa.Table, percent: int) -> pa.Table:
-    """Links (a, b) of each node by the full sets, one per pair of components."""
+    """Links (a, b) between the components of each node by the full sets, one per pair."""
     table = table.sort_by([("node", "ascending"), ("key", "ascending")])
-    node, key, label = (table.column(c).to_numpy() for c in ("node", "key", "label"))
+    node, label = (table.column(c).to_numpy() for c in ("node", "label"))
     raw = table.column("grams")
     edges, out = _edges(node), [[], []]
     for lo, hi in zip(edges[:-1], edges[1:]):
@@ -229,19 +234,20 @@ def _confirmed(table: pa.Table, percent: int) -> pa.Table:
         names = label[lo:hi]
         i, j = np.nonzero(np.triu((100 * both >= percent * union) & (both > 0) & (names[:, None] != names[None, :]), 1))
         pair = np.sort(np.column_stack([names[i], names[j]]), axis=1)
-        _, first = np.unique(pair, axis=0, return_index=True)
-        out[0].append(key[lo:hi][i[first]])
-        out[1].append(key[lo:hi][j[first]])
+        pair = np.unique(pair, axis=0)
+        out[0].append(pair[:, 0])
+        out[1].append(pair[:, 1])
     a, b = (np.concatenate(x) if x else np.empty(0, np.int64) for x in out)
     return pa.table({"a": pa.array(a), "b": pa.array(b)})
 
 
-def _with_sets(docs: DataFrame, n: int, wanted: DataFrame) -> DataFrame:
-    """(key, grams) of the sets ``wanted`` (id, key): their sorted n-gram hashes.
+def _with_sets(docs: DataFrame, n: int, wanted: DataFrame, sets: int) -> DataFrame:
+    """(key, grams) of the sets ``wanted`` (id, key), at most ``sets``: their sorted n-gram hashes.
 
     Texts whose id is not in a bitmap of the wanted ids are not hashed. Several texts may share
     an id; the key tells which is meant.
     """
+    wanted = cut_lineage(in_few_tasks(wanted, sets))
     bitmap = _bitmap(wanted.select("id"), wanted.count())
 
     def run(batches):
@@ -303,42 +309,44 @@ def near_duplicates(
     )
     classes = cut_lineage(classes)
     named = docs.where("id is not null")
-    none = classes.select(F.col("key").alias("a"), F.col("key").alias("b")).where("false")
-    links, labels, seen = none, none.select(F.col("a").alias("node"), F.col("b").alias("label")), none.select(F.col("a").alias("node"))
-    missed, used, looked = 1.0, 0, False
+    labels, seen = classes.select(F.col("key").alias("node"), F.col("key").alias("label")).where("false"), None
+    missed, used, looked, sets = 1.0, 0, False, classes.count()
 
     while missed > 1 - recall:
         roots = list(range(used, used + (trees if looked else 1)))
         start = classes.join(labels.withColumnRenamed("node", "key"), "key", "left").withColumn("label", F.coalesce("label", "key"))
-        rows, groups, depth = _level(start.select("key", "n", "label", "tokens"), roots, second), None, 1
+        depth, most = STEP if looked else 1, sets * len(roots)
+        rows, groups = _descend(start.select("key", "n", "label", "tokens"), roots, second, depth), None
         while True:
-            held, centres = _open(rows)
+            held, centres = _open(rows, most)
             here = held.where("small").select("node", "key", "n", "label")
             large = held.where("not small")
             more = not large.isEmpty()
             if more and not looked:
                 here, more = here.union(_blocks(large, centres)), False
-            elif more and depth == DEPTH:
+            elif more and depth >= DEPTH:
                 here, more = here.union(_block_pairs(large)), False
             groups = here if groups is None else groups.union(here)
             if not more:
                 break
-            rows = _level(large.join(classes.select("key", "tokens"), "key").select("node", "key", "n", "label", "tokens"), None, second)
-            depth += 1
-        with_marks = cut_lineage(groups.join(classes.select("key", "marks"), "key"))
-        near = _by_task(with_marks.withColumn("one", F.lit(1)), "one", TASK_ROWS, lambda t: _near(t, percent), "node long, key long, n long, label long")
-        near = cut_lineage(near.distinct().join(seen, "node", "left_anti"))
-        if not near.isEmpty():
-            wanted = cut_lineage(near.select("key").distinct().join(classes, "key").select(F.col("rep").alias("id"), "key"))
-            full = cut_lineage(near.join(_with_sets(named, words_per_gram, wanted), "key"))
-            found = _by_task(full, "n", TASK_GRAMS, lambda t: _confirmed(t, percent), "a long, b long")
-            links = cut_lineage(links.union(found))
-            seen = cut_lineage(seen.union(near.select("node").distinct()))
-            labels = components(links)
+            rows = _descend(large.join(classes.select("key", "tokens"), "key").select("node", "key", "n", "label", "tokens"), None, second, STEP)
+            depth += STEP
         if looked:
             missed *= (1 - survival(depth, percent)) ** len(roots)
             used += len(roots)
         looked = True
+        with_marks = cut_lineage(in_few_tasks(groups.join(classes.select("key", "marks", F.col("rep").alias("id")), "key"), most))
+        near = _by_task(with_marks.withColumn("one", F.lit(1)), "one", TASK_ROWS, lambda t: _near(t, percent), "node long, key long, id long, n long, label long")
+        near = near.distinct()
+        near = cut_lineage(in_few_tasks(near if seen is None else near.join(seen, "node", "left_anti"), most))
+        if not near.isEmpty():
+            full = cut_lineage(near.drop("id").join(_with_sets(named, words_per_gram, near.select("id", "key").distinct(), sets), "key"))
+            found = cut_lineage(_by_task(full, "n", TASK_GRAMS, lambda t: _confirmed(t, percent), "a long, b long"))
+            if not found.isEmpty():
+                labels = merged(labels, found) if seen is not None else cut_lineage(components(found))
+            if missed > 1 - recall:
+                names = near.select("node").distinct()
+                seen = cut_lineage(in_few_tasks(names, most) if seen is None else seen.union(in_few_tasks(names, most)))
 
     named_labels = classes.select("key", "rep", "most").join(labels.withColumnRenamed("node", "key"), "key", "left")
     least = named_labels.where("label is not null").groupBy("label").agg(F.min("rep").alias("least"))

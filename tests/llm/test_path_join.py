@@ -116,3 +116,18 @@ def test_survival():
                 now = min(50, int((r.random(now) < 0.85).sum() + ((r.random(now) < 1 / 0.85 - 1) & (r.random(now) < 0.85)).sum()))
             alive += now > 0
         assert abs(alive / 4000 - survival(depth, 85)) < 0.03
+
+
+def test_merged_labels(spark):
+    from pathlore.llm.components import components, merged
+
+    r = random.Random(9)
+    first = [(r.randrange(300), r.randrange(300)) for _ in range(120)]
+    frame = lambda rows: spark.createDataFrame(rows, "a long, b long")
+    labels = components(frame(first))
+    name = dict(map(tuple, labels.collect()))
+    more = [(r.randrange(300), r.randrange(300)) for _ in range(80)]
+    between = [(name.get(a, a), name.get(b, b)) for a, b in more]
+    want = dict(map(tuple, components(frame(first + more)).collect()))
+    got = dict(map(tuple, merged(labels, frame(between)).collect()))
+    assert {k: got.get(k, k) for k in want} == want and all(want.get(k, k) == v for k, v in got.items())
