@@ -224,3 +224,33 @@ def p_normal(z: Column) -> Column:
 
 def p_ks(d: Column, n1: Column, n2: Column) -> Column:
     return _p_ks(d.cast("double"), n1.cast("double"), n2.cast("double"))
+
+
+# Rational approximation of the normal quantile, relative error below 1.2e-9.
+QUANTILE_MIDDLE = (
+    (-3.969683028665376e01, 2.209460984245205e02, -2.759285104469687e02, 1.383577518672690e02, -3.066479806614716e01, 2.506628277459239e00),
+    (-5.447609879822406e01, 1.615858368580409e02, -1.556989798598866e02, 6.680131188771972e01, -1.328068155288572e01, 1.0),
+)
+QUANTILE_TAIL = (
+    (-7.784894002430293e-03, -3.223964580411365e-01, -2.400758277161838e00, -2.549732539343734e00, 4.374664141464968e00, 2.938163982698783e00),
+    (7.784695709041462e-03, 3.224671290700398e-01, 2.445134137142996e00, 3.754408661907416e00, 1.0),
+)
+QUANTILE_EDGE = 0.02425  # share below which the tail form holds
+
+
+def polynomial(x: Column, coefficients: tuple[float, ...]) -> Column:
+    """Value at ``x``; the first coefficient is that of the highest power."""
+    value = F.lit(coefficients[0])
+    for c in coefficients[1:]:
+        value = value * x + F.lit(c)
+    return value
+
+
+def normal_quantile(p: Column) -> Column:
+    """z with P(Z <= z) = p for 0 < p < 1, by built-in functions."""
+    least = F.least(p, 1 - p)
+    q = F.sqrt(-2 * F.log(least))
+    tail = polynomial(q, QUANTILE_TAIL[0]) / polynomial(q, QUANTILE_TAIL[1]) * F.when(p < 0.5, 1.0).otherwise(-1.0)
+    r = p - 0.5
+    middle = r * polynomial(r * r, QUANTILE_MIDDLE[0]) / polynomial(r * r, QUANTILE_MIDDLE[1])
+    return F.when(least < QUANTILE_EDGE, tail).otherwise(middle)

@@ -2,6 +2,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from pathlore.functions.cdf import QUANTILE_EDGE, QUANTILE_MIDDLE, QUANTILE_TAIL
 from pathlore.operators import stats as T
 from pathlore.plans.registry import out, query, rnd
 from pathlore.plans.tables import event_log, features, table, uploads, with_
@@ -186,6 +187,35 @@ def normaltest(spark, sf):
     return out(T.normaltest(_sample(spark, sf), "x", ("week",)).drop("p_value"))
 
 
+def _poly(x: str, coefficients: tuple[float, ...]) -> str:
+    text = f"CAST({coefficients[0]!r} AS DOUBLE)"
+    for c in coefficients[1:]:
+        text = f"({text} * {x} + CAST({c!r} AS DOUBLE))"
+    return text
+
+
+@query(
+    "shapiro_wilk",
+    with_(
+        "log",
+        _S,
+        "r AS (SELECT week, x - avg(x) OVER (PARTITION BY week) AS d, row_number() OVER (PARTITION BY week ORDER BY x) AS pos, count(*) OVER (PARTITION BY week) AS n FROM s)",
+        "p AS (SELECT *, (pos - 0.375::DOUBLE) / (n + 0.25::DOUBLE) AS p FROM r)",
+        "q AS (SELECT *, sqrt(-2 * ln(least(p, 1 - p))) AS q, (p - 0.5::DOUBLE) * (p - 0.5::DOUBLE) AS r FROM p)",
+        f"""m AS (SELECT *, CASE WHEN least(p, 1 - p) < {QUANTILE_EDGE} THEN {_poly("q", QUANTILE_TAIL[0])} / {_poly("q", QUANTILE_TAIL[1])} * (CASE WHEN p < 0.5 THEN 1 ELSE -1 END)
+        ELSE (p - 0.5::DOUBLE) * {_poly("r", QUANTILE_MIDDLE[0])} / {_poly("r", QUANTILE_MIDDLE[1])} END AS m FROM q)""",
+        """a AS (SELECT week, n, 1 / sqrt(n::DOUBLE) AS u, sum(m * m) AS mm, sum(m * d) AS md, sum(d * d) AS ss, max(m) AS m1, max(m) FILTER (pos = n - 1) AS m2,
+        max(d) - min(d) AS r1, max(d) FILTER (pos = n - 1) - max(d) FILTER (pos = 2) AS r2 FROM m GROUP BY week, n)""",
+        f"b AS (SELECT *, CASE WHEN n = 3 THEN sqrt(0.5) ELSE m1 / sqrt(mm) + {_poly('u', T.SW_LAST)} END AS a1, m2 / sqrt(mm) + {_poly('u', T.SW_SECOND)} AS a2 FROM a)",
+        """c AS (SELECT *, CASE WHEN n <= 3 THEN a1 * r1 WHEN n <= 5 THEN a1 * r1 + (md - m1 * r1) / sqrt((mm - 2 * m1 * m1) / (1 - 2 * a1 * a1))
+        ELSE a1 * r1 + a2 * r2 + (md - m1 * r1 - m2 * r2) / sqrt((mm - 2 * m1 * m1 - 2 * m2 * m2) / (1 - 2 * a1 * a1 - 2 * a2 * a2)) END AS t FROM b)""",
+    )
+    + f"SELECT week, CAST(n AS BIGINT) AS n, CASE WHEN n >= 3 AND r1 > 0 THEN {rnd('least(1, t * t / ss)')} END AS statistic FROM c",
+)
+def shapiro_wilk(spark, sf):
+    return out(T.shapiro_wilk(_sample(spark, sf), "x", ("week",)).drop("p_value"))
+
+
 _CELLS = """ce AS (SELECT ra.a AS a, cb.b AS b, coalesce(n, 0) AS n, r * c / (SELECT count(*) FROM src) AS e
       FROM (SELECT a, CAST(count(*) AS DOUBLE) AS r FROM src GROUP BY a) ra CROSS JOIN (SELECT b, count(*) AS c FROM src GROUP BY b) cb
       LEFT JOIN (SELECT a, b, count(*) AS n FROM src GROUP BY ALL) x ON x.a = ra.a AND x.b = cb.b)"""
