@@ -19,6 +19,7 @@ from pathlore.functions.ordered import (
 
 ORDER = ["ts", "event_id"]
 STEP = ["week", "case_id", "user_id"]
+EDGE = "\u2192"  # between the activities of a transition that is one feature
 
 
 def _count() -> Column:
@@ -122,9 +123,9 @@ def eventually_follow(log: DataFrame, mode: str = "count", policy: SkewPolicy =
 
 
 def direct_follow_with_activity(log: DataFrame, policy: SkewPolicy = DEFAULT) -> DataFrame:
-    """Transitions ``a-b`` and activities ``a`` as features of a case."""
+    """Transitions ``a→b`` and activities ``a`` as features of a case; activity names may hold hyphens."""
     keys = [c for c in STEP if c in log.columns]
-    moves = direct_follow(log, "count", policy).select(*keys, F.concat_ws("-", "src", "dst").alias("feature"), "value")
+    moves = direct_follow(log, "count", policy).select(*keys, F.concat_ws(EDGE, "src", "dst").alias("feature"), "value")
     acts = log.groupBy(*keys, F.col("activity").alias("feature")).agg(_count().alias("value"))
     return moves.unionByName(acts)
 

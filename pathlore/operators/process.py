@@ -7,11 +7,9 @@ from pyspark.sql import functions as F
 
 from pathlore.functions.ordered import DEFAULT, SkewPolicy, with_next
 from pathlore.operators.log import pairs_all
-from pathlore.operators.matrix import ORDER, steps
+from pathlore.operators.matrix import EDGE, ORDER, steps
 
 
-EDGE = "\u2192"  # between the activities of a transition that is one feature
-
 def dfg(log: DataFrame, policy: SkewPolicy = DEFAULT) -> DataFrame:
     return steps(log, policy).groupBy("src", "dst").agg(F.count(F.lit(1)).alias("n"))
 

@@ -87,7 +87,7 @@ def eventually_follow_long_cases(spark, sf):
 @query(
     "direct_follow_with_activity",
     with_("log", _NEXT, _DF)
-    + """SELECT week, case_id, user_id, src || '-' || dst AS feature, value FROM df UNION ALL
+    + """SELECT week, case_id, user_id, src || '→' || dst AS feature, value FROM df UNION ALL
       SELECT week, case_id, user_id, activity, count(*) FROM log GROUP BY ALL""",
 )
 def direct_follow_with_activity(spark, sf):

@@ -1,6 +1,6 @@
 from __future__ import annotations
 
-import tempfile
+import uuid
 
 from pyspark.sql import functions as F
 
@@ -176,7 +176,7 @@ def relabel_by_community(spark, sf):
 def save_load_model(spark, sf):
     d = _data(spark, sf)
     _, model = _some(64)["Logistic Regression"](d)
-    path = f"{checkpoint_dir(spark).rstrip('/')}/pathlore/model-{next(tempfile._get_candidate_names())}"
+    path = f"{checkpoint_dir(spark).rstrip('/')}/pathlore/model-{uuid.uuid4().hex}"
     R.save_model(model, path)
     from pyspark.ml.functions import array_to_vector
 

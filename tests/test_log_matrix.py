@@ -115,3 +115,10 @@ def test_dependency_and_fitness_small(spark, log):
     assert tuple(P.model_size(model).first()) == (3, 2, pytest.approx(2 / 9))
     flow = spark.createDataFrame([("x", "y", 0)], "src string, dst string, n long")
     assert P.dfg_percentage(flow).first()["share"] is None
+
+
+def test_transition_features_of_hyphenated_activities_stay_apart(spark):
+    rows = [("c1", 1, "a-b"), ("c1", 2, "c"), ("c2", 3, "a"), ("c2", 4, "b-c")]
+    log = spark.createDataFrame(rows, "case_id string, event_id long, activity string").withColumn("ts", F.timestamp_seconds("event_id"))
+    got = {(r.case_id, r.feature) for r in M.direct_follow_with_activity(log).collect()}
+    assert got == {("c1", "a-b→c"), ("c2", "a→b-c"), ("c1", "a-b"), ("c1", "c"), ("c2", "a"), ("c2", "b-c")}
