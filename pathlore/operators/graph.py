@@ -10,7 +10,7 @@ from itertools import count
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from pathlore.functions.ordered import DEFAULT, SkewPolicy, running_totals, with_next
+from pathlore.functions.ordered import DEFAULT, SkewPolicy, running_totals, with_next, with_position
 from pathlore.session import cut_lineage
 
 # Purity limits of community labels and of the mixed-rate curve.
@@ -127,9 +127,9 @@ def mst(edges: DataFrame, key: list[str] | None = None) -> DataFrame:
 
 
 def rooted(tree: DataFrame, policy: SkewPolicy = DEFAULT) -> DataFrame:
-    """Forest -> (node, parent, tin, tout, size, total): the subtree of a node is an interval.
+    """Forest -> (node, parent, tin, tout, size, total, top): the subtree of a node is an interval.
 
-    ``total`` is the size of the node's tree; every tree is rooted at its smallest node and has an
+    ``total`` is the size of the node's tree and ``top`` its root; every tree is rooted at its smallest node and has an
     interval of its own. The Euler tour visits each edge twice. Its order comes from list ranking,
     which doubles the known distance each round, so a path-like tree takes log(n) rounds as well;
     a first ranking finds the smallest arc of each tour, where it starts. A hub's sorted
@@ -171,15 +171,15 @@ def rooted(tree: DataFrame, policy: SkewPolicy = DEFAULT) -> DataFrame:
             )
             reach *= 2
         step = cut_lineage(step)
-    pos = step.join(trees, "start").select("a", "b", (F.col("base") + F.col("arcs") - 1 - F.col("dist")).alias("pos"), "arcs")
+    pos = step.join(trees, "start").select("a", "b", (F.col("base") + F.col("arcs") - 1 - F.col("dist")).alias("pos"), "arcs", "top")
     back = pos.select(F.col("b").alias("a"), F.col("a").alias("b"), F.col("pos").alias("tout"))
     total = (F.col("arcs") / 2 + 1).cast("long").alias("total")
     down = pos.join(back, ["a", "b"]).where("pos < tout").select(
-        F.col("b").alias("node"), F.col("a").alias("parent"), F.col("pos").alias("tin"), "tout", ((F.col("tout") - F.col("pos") + 1) / 2).cast("long").alias("size"), total
+        F.col("b").alias("node"), F.col("a").alias("parent"), F.col("pos").alias("tin"), "tout", ((F.col("tout") - F.col("pos") + 1) / 2).cast("long").alias("size"), total, "top"
     )
     root = trees.select(
         F.col("top").alias("node"), F.lit(None).cast(dict(arcs.dtypes)["a"]).alias("parent"), (F.col("base") - 1).alias("tin"),
-        (F.col("base") + F.col("arcs")).alias("tout"), total.alias("size"), total,
+        (F.col("base") + F.col("arcs")).alias("tout"), total.alias("size"), total, "top",
     )
     return cut_lineage(down.unionByName(root))
 
@@ -192,48 +192,92 @@ def edge_betweenness_tree(tree: DataFrame) -> DataFrame:
     )
 
 
-def girvan_newman_tree(tree: DataFrame, levels: int = 20, whole: bool = False) -> DataFrame:
-    """Cuts the most central edge again and again: level k (from 0) of t trees has t + k + 1 communities.
+def tree_splits(tree: DataFrame, policy: SkewPolicy = DEFAULT) -> tuple[DataFrame, DataFrame]:
+    """Every cut of the most central edge, until no edge is left, of all trees of a forest.
 
-    ``whole`` adds level -1, the uncut trees.
-    A community is named by its top node. A cut is an interval of the tour, so component sizes
-    after each cut follow from the few intervals cut before; a level is one pass over the nodes.
-    Ties are cut at the smallest node.
+    Returns the cuts (level from 0, parent, community, betweenness, kept_size, split_size) and the
+    spans (node, community, first_level, last_level), which name the community of every node at
+    every level from -1, the uncut trees, on. A community is named by its top node; ties are cut at
+    the smallest lower node.
+
+    A cut lowers the betweenness s * (n - s) of all other edges of its component and leaves other
+    components alone, so the order of all cuts is that of their betweenness and each component may
+    go ahead by itself. Its most central edges hang on its centroid, the largest arm first; arms are
+    cut in one round as long as the next one holds at most half of what is left. Every part then
+    has two thirds of the component at most, so rounds are logarithmic for stars, paths and all
+    between.
+    """
+    state = rooted(tree, policy).select("node", "parent", "tin", "tout", "size", F.col("top").alias("comp"))
+    first = state.select("node", F.col("comp").alias("community"), F.lit(-1).cast("long").alias("first_level"))
+    cuts: list[DataFrame] = []
+    moves: list[DataFrame] = []
+    while True:
+        whole = state.groupBy("comp").agg(F.max("size").alias("n")).where("n > 1")
+        centre = state.join(whole, "comp").where("2 * size > n").groupBy("comp", "n").agg(
+            F.min_by(F.struct("node", "tin", "tout", "size"), "size").alias("c")
+        )
+        centre = cut_lineage(centre.select("comp", "n", *[F.col(f"c.{x}").alias(f"c_{x}") for x in ("node", "tin", "tout", "size")]))
+        if centre.isEmpty():
+            break
+        children = state.withColumnRenamed("parent", "c_node").join(centre, ["comp", "c_node"]).select("comp", "n", "node", F.col("size").alias("s"), F.lit(False).alias("up"))
+        upward = centre.where("c_node <> comp").select("comp", "n", F.col("c_node").alias("node"), (F.col("n") - F.col("c_size")).alias("s"), F.lit(True).alias("up"))
+        arms = children.unionByName(upward).withColumn("_s", -F.col("s"))
+        arms = running_totals(arms, ["comp"], ["_s", "node"], {"upto": "s"}, policy)
+        arms = cut_lineage(arms.withColumn("left", F.col("n") - F.col("upto") + F.col("s")))
+        stop = arms.where("2 * s > left").groupBy("comp").agg(F.min("upto").alias("_stop"))
+        cut = cut_lineage(arms.join(stop, "comp", "left").where("_stop is null or upto < _stop"))
+        done = centre.join(
+            cut.groupBy("comp").agg(F.max(F.when(F.col("up"), F.col("upto"))).alias("up_at"), F.sum(F.when(~F.col("up"), F.col("s")).otherwise(0)).alias("removed")), "comp"
+        )
+        below, rest = F.when(F.col("up"), F.col("left") - F.col("s")).otherwise(F.col("s")), F.col("left")
+        cuts.append(
+            cut.join(done.select("comp", "c_node", "up_at"), "comp").select(
+                "node", F.when(F.col("up_at") < F.col("upto"), F.col("c_node")).otherwise(F.col("comp")).alias("parent"),
+                (below * (rest - below)).alias("betweenness"), (rest - below).alias("kept_size"), below.alias("split_size"),
+            )
+        )
+        # the cut arm that holds a node is the last one that begins before it, if it has not ended
+        marked = state.join(done, "comp").join(cut.where("not up").select("comp", "node", F.col("upto").alias("_upto")), ["comp", "node"], "left")
+        marked = running_totals(marked.withColumn("_one", F.col("_upto").isNotNull().cast("long")), ["comp"], ["tin"], {"k": "_one"}, policy)
+        marked = cut_lineage(marked)
+        arm = marked.where("_one = 1").select("comp", "k", F.col("node").alias("a_node"), F.col("tout").alias("a_tout"), F.col("_upto").alias("a_upto"))
+        placed = marked.join(arm, ["comp", "k"], "left")
+        in_arm = F.coalesce(F.col("tout") <= F.col("a_tout"), F.lit(False))
+        lower = F.col("up_at").isNotNull() & (F.col("tin") >= F.col("c_tin")) & (F.col("tout") <= F.col("c_tout"))
+        above = (F.col("tin") < F.col("c_tin")) & (F.col("tout") > F.col("c_tout"))
+        lost = F.when(F.col("node") == F.col("c_node"), F.col("removed")).when(above, F.when(F.col("up_at").isNotNull(), F.col("c_size")).otherwise(F.col("removed"))).otherwise(0)
+        steps = F.array_compact(F.array(F.when(lower & (~in_arm | (F.col("up_at") < F.col("a_upto"))), F.col("c_node")), F.when(in_arm, F.col("a_node"))))
+        placed = cut_lineage(
+            placed.select(
+                "node", "parent", "tin", "tout", (F.col("size") - lost).alias("size"),
+                F.when(in_arm, F.col("a_node")).when(lower, F.col("c_node")).otherwise(F.col("comp")).alias("comp"), steps.alias("steps"),
+            )
+        )
+        moves.append(placed.select("node", F.explode("steps").alias("community")))
+        state = placed.drop("steps")
+    found = cuts[0]
+    for c in cuts[1:]:
+        found = found.unionByName(c)
+    found = with_position(found.withColumn("_b", -F.col("betweenness")), [], ["_b", "node"], "level", policy)
+    found = cut_lineage(found.select((F.col("level") - 1).alias("level"), "parent", F.col("node").alias("community"), "betweenness", "kept_size", "split_size"))
+    moved = moves[0]
+    for m in moves[1:]:
+        moved = moved.unionByName(m)
+    spans = first.unionByName(moved.join(found.select("community", F.col("level").alias("first_level")), "community").select("node", "community", "first_level"))
+    after = F.lead("first_level").over(Window.partitionBy("node").orderBy("first_level"))  # two rows a round at most
+    return found, spans.withColumn("last_level", F.coalesce(after, F.lit(found.count())) - 1)
+
+
+def girvan_newman_tree(tree: DataFrame, levels: int | None = None, whole: bool = False) -> DataFrame:
+    """(level, node, community) after each cut of the most central edge: level k (from 0) of t trees
+    has t + k + 1 communities. All levels, or the first ``levels``; ``whole`` adds level -1, the
+    uncut trees. As many rows as nodes times levels; `tree_splits` has the same in spans.
     """
-    table = rooted(tree)
-    tops = table.where("parent is null").orderBy("node").collect()
-    cuts = [{"node": t["node"], "tin": t["tin"], "tout": t["tout"], "size": t["size"], "up": None} for t in tops]
-
-    def inside(c: dict) -> Column:
-        return (F.col("tin") >= c["tin"]) & (F.col("tout") <= c["tout"])
-
-    def member(known: list[dict]) -> Column:
-        """Index of the innermost cut interval."""
-        found: Column | None = None
-        for k in sorted(range(len(known)), key=lambda i: known[i]["size"]):
-            found = F.when(inside(known[k]), k) if found is None else found.when(inside(known[k]), k)
-        return found
-
-    for _ in range(min(levels, sum(t["size"] - 1 for t in tops))):
-        own = [c["size"] - sum(d["size"] for d in cuts if d["up"] == k) for k, c in enumerate(cuts)]
-        comp = F.col("_comp")
-        piece = F.element_at(F.array(*[F.lit(s) for s in own]), comp + 1)
-        below = F.col("size")
-        for c in cuts[len(tops) :]:
-            nested = (F.col("tin") < c["tin"]) & (F.col("tout") > c["tout"]) & (comp == c["up"])
-            below = below - F.when(nested, c["size"]).otherwise(0)
-        used = [c["node"] for c in cuts]
-        scored = table.where(~F.col("node").isin(used)).withColumn("_comp", member(cuts)).withColumn("_s", below).withColumn("_b", F.col("_s") * (piece - F.col("_s")))
-        best = scored.orderBy(F.desc("_b"), "node").select("node", "tin", "tout", "size", "_comp").first()
-        new = {"node": best["node"], "tin": best["tin"], "tout": best["tout"], "size": best["size"], "up": best["_comp"]}
-        for c in cuts[len(tops) :]:  # cuts already below the new one hang on it from now on
-            if c["up"] == new["up"] and new["tin"] < c["tin"] and c["tout"] < new["tout"]:
-                c["up"] = len(cuts)
-        cuts.append(new)
-    names = F.array(*[F.lit(c["node"]) for c in cuts])
-    per_level = F.array(*[F.struct(F.lit(k).cast("long").alias("level"), member(cuts[: len(tops) + k + 1]).alias("_k")) for k in range(-1 if whole else 0, len(cuts) - len(tops))])
-    rows = table.select("node", F.explode(per_level).alias("_l"))
-    return rows.select("_l.level", "node", F.element_at(names, F.col("_l._k") + 1).alias("community"))
+    spans = tree_splits(tree)[1].where(F.lit(True) if whole else F.col("last_level") >= 0)
+    last = F.col("last_level") if levels is None else F.least("last_level", F.lit(levels - 1))
+    begin = F.greatest("first_level", F.lit(-1 if whole else 0))
+    rows = spans.withColumn("_last", last).where(begin <= F.col("_last"))
+    return rows.select(F.explode(F.sequence(begin, F.col("_last"))).alias("level"), "node", "community")
 
 
 def split_hierarchy(communities: DataFrame) -> DataFrame:

@@ -106,15 +106,36 @@ def edge_betweenness_tree(spark, sf):
     return G.edge_betweenness_tree(_tree(spark, sf))
 
 
-@query("girvan_newman_tree")
+# every cut in turn: (level, node, top of its part) of the tree tr(p, c), whose ancestors are an(a, n)
+_CUTS = """an(a, n) AS (SELECT c, c FROM tr UNION ALL SELECT tr.p, an.n FROM an JOIN tr ON tr.c = an.a WHERE tr.p IS NOT NULL),
+  cl(level, node, top, parent, community, s, total) AS (SELECT -1::BIGINT, n, min(a), NULL::BIGINT, NULL::BIGINT, NULL::BIGINT, NULL::BIGINT FROM an GROUP BY n
+    UNION ALL SELECT x.level + 1, x.node, CASE WHEN d.n IS NOT NULL AND x.top = b.e.top THEN b.e.node ELSE x.top END, b.e.top, b.e.node, b.e.s, b.e.total
+    FROM cl x CROSS JOIN (SELECT min({'b': s * (s - total), 'node': node, 'top': top, 's': s, 'total': total}) AS e FROM (
+      SELECT i.node AS node, i.top AS top, count(*) AS s, any_value(t.total) AS total FROM cl i JOIN an ON an.a = i.node JOIN cl j ON j.node = an.n AND j.top = i.top
+      JOIN (SELECT top, count(*) AS total FROM cl GROUP BY top) t ON t.top = i.top WHERE i.node <> i.top GROUP BY ALL)) b LEFT JOIN an d ON d.a = b.e.node AND d.n = x.node WHERE b.e IS NOT NULL)"""
+
+
+@query(
+    "girvan_newman_tree",
+    "WITH RECURSIVE tr AS (SELECT c_custkey // 3 AS p, c_custkey AS c FROM customer WHERE c_custkey > 0 UNION ALL SELECT NULL, 0), " + _CUTS
+    + " SELECT node, top AS community, min(level) AS first_level, max(level) AS last_level FROM cl GROUP BY node, top",
+)
 def girvan_newman_tree(spark, sf):
-    return G.girvan_newman_tree(_tree(spark, sf), 10)
+    return G.tree_splits(_tree(spark, sf))[1]
 
 
-@query("split_hierarchy")
+@query(
+    "split_hierarchy",
+    "WITH RECURSIVE " + with_("features", _CORR)[5:].rstrip()
+    + """, pr(nodes, p, c, k) AS (SELECT [0::BIGINT], NULL::BIGINT, NULL::BIGINT, 1 UNION ALL
+      SELECT list_append(nodes, o.c), o.p, o.c, k + 1 FROM (SELECT nodes, k, CASE WHEN list_contains(nodes, n.u) THEN {'p': n.u, 'c': n.v} ELSE {'p': n.v, 'c': n.u} END AS o
+      FROM (SELECT nodes, k, (SELECT min({'w': w, 'u': u, 'v': v}) FROM cr WHERE list_contains(nodes, u) <> list_contains(nodes, v)) AS n FROM pr WHERE k < 64))),
+      tr AS (SELECT p, c FROM pr WHERE k > 1 UNION ALL SELECT NULL, 0), """
+    + _CUTS
+    + " SELECT DISTINCT level, parent, community, -(s * (s - total)) AS betweenness, total - s AS kept_size, s AS split_size FROM cl WHERE level >= 0",
+)
 def split_hierarchy(spark, sf):
-    tree = G.mst(_distances(spark, sf))
-    return G.split_hierarchy(G.girvan_newman_tree(tree, 10, whole=True))
+    return G.tree_splits(G.mst(_distances(spark, sf)))[0]
 
 
 _MEM = """mb AS (SELECT c_custkey AS node, CAST(l AS BIGINT) AS level, c_custkey % CAST(pow(2, l) AS BIGINT) AS community, c_acctbal > 5000 AND c_custkey % 5 <> 1 AS ex
