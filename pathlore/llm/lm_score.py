@@ -3,9 +3,8 @@
 A word is spelled by a first piece (one that begins with the space mark), further pieces and a
 stop. The marginal probability over all segmentations is the log-space forward recursion over the
 word's bytes. The vocabulary's scores are ranks; they give the weights to start from, and
-expectation maximisation over the distinct training words (each once: new words look like rare
-ones) refines them. A text's probability is the product over its words and an end, each a mixture
-of its share of the training tokens and the lattice, weighted by tokens and types seen.
+expectation maximisation over the training words, each as often as it occurs, refines them. A
+text's probability is the product over its words, known or new, and an end.
 
 Counting, learning and scoring run over all texts: words travel as 64-bit hashes in blobs, once
 per partition or group of texts, to hash buckets; texts are hashed to groups that ask the buckets
@@ -15,6 +14,8 @@ vocabulary) and two totals reach the driver.
 
 from __future__ import annotations
 
+from functools import lru_cache
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -30,8 +31,7 @@ BUCKET_BYTES = 16_000_000  # text bytes per bucket of words
 CELLS = 100_000  # bytes of words laid out at once
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
-END_SHARE = 0.01  # share of the end in what the lattice may emit
-STOP = "stop"
+END_SHARE = 0.01, 100  # share of the ends among tokens before any is seen, and its weight in tokens
 
 
 class Pieces:
@@ -101,8 +101,14 @@ class Pieces:
         return out
 
 
-def _same_length(pieces: Pieces, weight: np.ndarray, letters: np.ndarray, expected: np.ndarray | None) -> np.ndarray:
-    """Natural logs of the lattice sums of equally long words (rows of ``letters``); adds expected counts."""
+@lru_cache(maxsize=1)
+def _pieces(model: bytes) -> Pieces:
+    """The vocabulary, read once per worker."""
+    return Pieces(model)
+
+
+def _same_length(pieces: Pieces, weight: np.ndarray, letters: np.ndarray, expected: np.ndarray | None, times: np.ndarray | None) -> np.ndarray:
+    """Natural logs of the lattice sums of equally long words (rows of ``letters``); adds expected counts of ``times`` each."""
     count, length = letters.shape
     logs = np.append(np.log(weight), -np.inf)  # piece -1 has no weight
     h = BYTE_HASH[letters]
@@ -131,18 +137,22 @@ def _same_length(pieces: Pieces, weight: np.ndarray, letters: np.ndarray, expect
         for size, found in arcs.items():
             row, at = np.nonzero(found >= 0)
             share = np.exp(alpha[at, row] + cost[size][row, at] + beta[at + size, row] - total[row])
-            expected += np.bincount(found[row, at], weights=share, minlength=pieces.size)
+            expected += np.bincount(found[row, at], weights=share * times[row], minlength=pieces.size)
             row = np.flatnonzero(heads[size] >= 0)
             share = np.exp(logs[heads[size][row]] + beta[size, row] - total[row])
-            expected += np.bincount(heads[size][row], weights=share, minlength=pieces.size)
-        expected[pieces.bare] += np.exp(logs[pieces.bare] + beta[0] - total).sum()
-        expected[pieces.stop] += count
+            expected += np.bincount(heads[size][row], weights=share * times[row], minlength=pieces.size)
+        expected[pieces.bare] += (np.exp(logs[pieces.bare] + beta[0] - total) * times).sum()
+        expected[pieces.stop] += times.sum()
     return total
 
 
-def lattice(pieces: Pieces, weight: np.ndarray, data: np.ndarray, size: np.ndarray, expected: np.ndarray | None = None) -> np.ndarray:
-    """Natural log probability of each word; ``data`` holds their bytes one after another."""
+def lattice(pieces: Pieces, weight: np.ndarray, data: np.ndarray, size: np.ndarray, expected: np.ndarray | None = None, times: np.ndarray | None = None) -> np.ndarray:
+    """Natural log probability of each word; ``data`` holds their bytes one after another.
+
+    ``expected`` gains the expected count of every piece, each word taken ``times`` (or once).
+    """
     out = np.empty(len(size))
+    times = np.ones(len(size)) if times is None else times
     begin = np.cumsum(size) - size
     order = np.argsort(size, kind="stable")
     lo = 0
@@ -151,7 +161,7 @@ def lattice(pieces: Pieces, weight: np.ndarray, data: np.ndarray, size: np.ndarr
         hi = min(int(np.searchsorted(size[order], length, side="right")), lo + max(1, CELLS // length))
         mine = order[lo:hi]
         letters = data[begin[mine][:, None] + np.arange(length)[None, :]]
-        out[mine] = _same_length(pieces, weight, letters, expected)
+        out[mine] = _same_length(pieces, weight, letters, expected, times[mine])
         lo = hi
     return out
 
@@ -228,19 +238,19 @@ def _count_words(docs: DataFrame, bits: int) -> DataFrame:
 
 
 def _learn(vocabulary: DataFrame, model: bytes, rounds: int) -> np.ndarray:
-    """Piece weights after ``rounds`` of expectation maximisation over the distinct words."""
-    pieces = Pieces(model)
+    """Piece weights after ``rounds`` of expectation maximisation over the counted words."""
+    pieces = _pieces(model)
     weight = pieces.prior
 
     def expect(now):
         def run(batches):
-            mine = Pieces(model)
+            mine = _pieces(model)
             expected = np.zeros(mine.size)
             for batch in batches:
                 for blob in batch.column("blob"):
-                    _, _, size, data = unpack(blob.as_py(), compressed=True)
+                    _, times, size, data = unpack(blob.as_py(), compressed=True)
                     if len(size):
-                        lattice(mine, now, data, size.astype(np.int64), expected)
+                        lattice(mine, now, data, size.astype(np.int64), expected, times)
             yield pa.RecordBatch.from_pydict({"half": pa.array([0], pa.int32()), "blob": pa.array([pack(expected, level=3)], pa.binary())})
 
         return run
@@ -270,7 +280,8 @@ def score_texts(
 
     Tokens are the words ``[^\\x20\\x09-\\x0D]+`` with A-Z in lower case, and one end per text. Counts
     c are over the texts that are not held out: N tokens, V distinct. ``base_score`` sums
-    log10((c + 0.1) / (N + 0.1 * (V + 1))); ``score`` is the model's log10 probability of the text.
+    log10((c + 0.1) / (N + 0.1 * (V + 1))); ``score`` is the model's log10 probability of the text:
+    the lattice's marginal of every word and the share of ends, learned from the same counts.
     ``model`` is a serialised SentencePiece model whose pieces and scores are used.
 
     Null and empty texts are an end alone. ``held_out`` null counts as false. A null id is kept;
@@ -287,15 +298,13 @@ def score_texts(
     sums = vocabulary.agg(F.sum("docs"), F.sum("words"), F.sum("tokens")).first()
     ends, types, tokens = (x or 0 for x in sums)
     n, v = tokens + ends, types + (ends > 0)
-    seen = n / (n + v) if n else 0.0
+    end_share = (ends + END_SHARE[0] * END_SHARE[1]) / (n + END_SHARE[1])
     base_log = lambda c: np.log10((c + 0.1) / (n + 0.1 * (v + 1)))
 
-    def mixed(times, log_lattice):
-        with np.errstate(divide="ignore"):
-            known = np.log(seen * times / n) if n else np.full(len(times), -np.inf)
-        return np.logaddexp(known, np.log((1 - seen) * (1 - END_SHARE)) + log_lattice) / np.log(10)
+    def marginal(data, size):
+        return (np.log1p(-end_share) + lattice(_pieces(model), weight, data, size)) / np.log(10)
 
-    end_score = float(np.log10((seen * ends / n if n else 0.0) + (1 - seen) * END_SHARE))
+    end_score = float(np.log10(end_share))
 
     def distinct(texts: Texts):
         parts = [(k, t, s, d) for k, t, s, d in _unique_words(texts, np.zeros(len(texts), dtype=np.int64))]
@@ -310,7 +319,7 @@ def score_texts(
         grp, blobs = [], []
         if len(asked):
             keys, times, size, data = unpack(known.column("blob")[0].as_py(), compressed=True) if len(known) else (np.empty(0, np.uint64), np.empty(0, np.int64), np.empty(0, np.int32), np.empty(0, np.uint8))
-            score = mixed(times, lattice(Pieces(model), weight, data, size.astype(np.int64))) if len(keys) else np.empty(0)
+            score = marginal(data, size.astype(np.int64)) if len(keys) else np.empty(0)
             keys, times, score = np.append(keys, np.uint64(0)), np.append(times, 0), np.append(score, 0.0)
             for g, blob in zip(asked.column("grp").to_pylist(), asked.column("blob")):
                 (mine,) = unpack(blob.as_buffer())
@@ -335,7 +344,7 @@ def score_texts(
             if len(new):
                 begin = np.cumsum(size) - size
                 place = np.repeat(begin[new] - np.cumsum(size[new]) + size[new], size[new]) + np.arange(size[new].sum())
-                score[new] = mixed(np.zeros(len(new)), lattice(Pieces(model), weight, data[place], size[new]))
+                score[new] = marginal(data[place], size[new])
         base = base_log(times)
         rows = len(table)
         count, known, one, two = np.zeros(rows, np.int64), np.zeros(rows, np.int64), np.zeros(rows), np.zeros(rows)

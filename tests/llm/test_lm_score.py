@@ -94,6 +94,49 @@ def test_scores(spark, sf, monkeypatch):
     assert score_texts(df.where("false"), held_rows(), MODEL).count() == 0
 
 
+def expected_pieces(counts, first, rest, stop):
+    """Expected uses of every piece, by sums over all places of a word."""
+    heads, more = Counter(), Counter()
+    for word, c in counts.items():
+        n = len(word)
+        left, right = [0.0] * (n + 1), [0.0] * (n + 1)
+        right[n] = stop
+        for end in range(n + 1):
+            left[end] = first.get(word[:end], 0.0) + sum(left[b] * rest.get(word[b:end], 0.0) for b in range(end))
+        for at in range(n - 1, -1, -1):
+            right[at] = sum(rest.get(word[at:e], 0.0) * right[e] for e in range(at + 1, n + 1))
+        z = left[n] * stop
+        for end in range(n + 1):
+            heads[word[:end]] += c * first.get(word[:end], 0.0) * right[end] / z
+            for b in range(end):
+                more[word[b:end]] += c * left[b] * rest.get(word[b:end], 0.0) * right[end] / z
+    return heads, more
+
+
+@pytest.mark.parametrize("rounds", [0, 2])
+def test_score_is_the_marginal(spark, rounds):
+    """Known and new words alike: all segmentations, with weights learned from the training tokens."""
+    rows = [(1, "the the cat, sat"), (2, "The cat ate straße"), (3, "new catty words 日本"), (4, ""), (5, None), (6, "the end")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r.score for r in score_texts(df, F.col("doc_id").isin(3, 6), MODEL, rounds=rounds).collect()}
+    counts = Counter(w for i, t in rows if i not in (3, 6) for w in tokens(t))
+    pieces = Pieces(MODEL)
+    first, rest = spelled(MODEL, pieces.prior)
+    stop = pieces.prior[pieces.stop]
+    prior_first, prior_rest, prior_stop = first, rest, stop
+    for _ in range(rounds):
+        heads, more = expected_pieces(counts, first, rest, stop)
+        first = {p: heads[p] + 1000 * w for p, w in prior_first.items()}
+        rest = {p: more[p] + 1000 * w for p, w in prior_rest.items()}
+        stop = sum(counts.values()) + 1000 * prior_stop
+        one, two = sum(first.values()), sum(rest.values()) + stop
+        first, rest, stop = {p: w / one for p, w in first.items()}, {p: w / two for p, w in rest.items()}, stop / two
+    end = (4 + 1) / (sum(counts.values()) + 4 + 100)
+    for i, t in rows:
+        want = sum(math.log10((1 - end) * brute(w, first, rest, stop)) for w in tokens(t)) + math.log10(end)
+        assert got[i] == pytest.approx(want, abs=1e-8)
+
+
 def test_nothing_to_learn(spark):
     df = spark.createDataFrame([(1, "a b"), (None, "a"), (2, None)], "doc_id long, text string")
     got = {r.doc_id: r for r in score_texts(df, F.lit(True), MODEL).collect()}
