@@ -27,6 +27,7 @@ from pyspark.sql import functions as F
 
 from pathlore.functions.ordered import DEFAULT, SkewPolicy, value_ranks
 from pathlore.operators.spectral import _apply, _gram
+from pathlore.session import cut_lineage
 
 METRICS = ("accuracy", "f1", "precision", "recall", "roc_auc", "auc")
 
@@ -129,6 +130,72 @@ def lda_classify(train: DataFrame, test: DataFrame) -> DataFrame:
     return lin.withColumn("score", 1 / (1 + F.exp(-(F.get("_z", F.lit(0)) + b)))).drop("_z")
 
 
+def kernel_svm_fit(train: DataFrame, half: int = 256, seed: int = 5) -> tuple[Scorer, object]:
+    """Linear support-vector machine on random Fourier features of the Gaussian kernel.
+
+    ``half`` frequencies give a cosine and a sine each; the kernel's width is 1 / (p * variance of all
+    entries). Probabilities are the logistic curve of margins that a machine fitted on four fifths of
+    the rows gives the other fifth (by hash of the id); both classes should occur in either part.
+    """
+    sums = F.struct(*[F.aggregate("vec", F.lit(0.0), f).alias(n) for n, f in (("s", lambda a, x: a + x), ("q", lambda a, x: a + x * x))])
+    head = train.select(F.size("vec").alias("p"), sums.alias("t")).agg(F.max("p").alias("p"), F.sum("p").alias("n"), F.sum("t.s").alias("s"), F.sum("t.q").alias("q")).first()
+    p, variance = head["p"], max(head["q"] / head["n"] - (head["s"] / head["n"]) ** 2, 1e-12)
+    waves = np.random.default_rng(seed).normal(size=(p, half)) * np.sqrt(2 / (p * variance))
+
+    def features(df: DataFrame) -> DataFrame:
+        turned = _apply(df, "vec", "_z", np.zeros(p), np.ones(p), waves)
+        return turned.withColumn("features", array_to_vector(F.concat(F.transform("_z", F.cos), F.transform("_z", F.sin)))).drop("_z")
+
+    def margins(model, df: DataFrame) -> DataFrame:
+        return model.transform(df).withColumn("_m", F.get(vector_to_array("rawPrediction"), F.lit(1))).drop("rawPrediction", "prediction")
+
+    rows = cut_lineage(features(train.select("id", "label", "vec")).drop("vec"))
+    solver = LinearSVC(maxIter=100, regParam=0.01)
+    apart, kept = split(rows, 0.2, seed + 7919)  # another hash than that of the rows given
+    curve = LogisticRegression(featuresCol="_v", regParam=0.001).fit(margins(solver.fit(apart), kept).select("label", F.array("_m").alias("_a")).withColumn("_v", array_to_vector("_a")))
+    slope, shift, model = float(curve.coefficients[0]), float(curve.intercept), solver.fit(rows)
+
+    def score(test: DataFrame) -> DataFrame:
+        return margins(model, features(test)).withColumn("score", 1 / (1 + F.exp(-(slope * F.col("_m") + shift)))).select(*test.columns, "score")
+
+    return score, model
+
+
+def adaboost_fit(train: DataFrame, rounds: int = 200, depth: int = 5, seed: int = 5) -> tuple[Scorer, list]:
+    """Adaptive boosting of trees: rows that the last tree got wrong weigh (1 - e) / e times as much
+    in the next, where e is the tree's weighted error.
+
+    Ends early after a tree without error, which then votes as much as one with an error of 1e-10,
+    or before one that is wrong on half of the weight. The score is the logistic curve of the mean
+    vote; the model is the list of (vote, tree). Weights are kept in a written table per round.
+    """
+    state = cut_lineage(train.select("label", array_to_vector("vec").alias("features"), F.lit(1.0).alias("w")))
+    state = cut_lineage(state.withColumn("w", 1.0 / F.lit(float(max(state.count(), 1)))))
+    votes: list = []
+    for _ in range(rounds):
+        tree = DecisionTreeClassifier(maxDepth=depth, seed=seed, weightCol="w").fit(state)
+        tree.setProbabilityCol("").setRawPredictionCol("")
+        seen = tree.transform(state).withColumn("_wrong", F.col("prediction") != F.col("label"))
+        error = seen.agg(F.coalesce(F.sum(F.when(F.col("_wrong"), F.col("w"))), F.lit(0.0)) / F.sum("w")).first()[0]
+        if error >= 0.5 and votes:
+            break
+        vote = float(np.log((1 - max(error, 1e-10)) / max(error, 1e-10)))
+        votes.append((vote, tree))
+        if error <= 1e-10 or error >= 0.5:
+            break
+        # the weights of one round sum to one
+        state = cut_lineage(seen.select("label", "features", (F.col("w") * F.when(F.col("_wrong"), 0.5 / error).otherwise(0.5 / (1 - error))).alias("w")))
+
+    def score(test: DataFrame) -> DataFrame:
+        done, total = test.withColumn("features", array_to_vector("vec")), sum(abs(v) for v, _ in votes) or 1.0
+        for k, (_, tree) in enumerate(votes):
+            done = tree.copy().setPredictionCol(f"_p{k}").transform(done)
+        mean = reduce(Column.__add__, [F.lit(v / total) * (2 * F.col(f"_p{k}") - 1) for k, (v, _) in enumerate(votes)])
+        return done.withColumn("score", 1 / (1 + F.exp(-mean))).select(*test.columns, "score")
+
+    return score, votes
+
+
 def algorithms(p: int, trees: int = 200, k: int = 7, seed: int = 5) -> dict[str, Callable]:
     """Name -> fit(train) -> (scorer, model)."""
     # Display names and settings of the algorithms.
@@ -137,7 +204,9 @@ def algorithms(p: int, trees: int = 200, k: int = 7, seed: int = 5) -> dict[str,
         "Decision Tree": _ml_scorer(DecisionTreeClassifier(maxDepth=5, seed=seed)),
         "Random Forest": _ml_scorer(RandomForestClassifier(numTrees=trees, seed=seed)),
         "Gradient Boosting": _ml_scorer(GBTClassifier(maxIter=trees, maxDepth=5, stepSize=0.05, seed=seed)),
+        "AdaBoost": lambda train: adaboost_fit(train, trees, 5, seed),
         "SVM": _ml_scorer(LinearSVC(maxIter=100)),
+        "Kernel SVM": lambda train: kernel_svm_fit(train, seed=seed),
         "Multi Layer Nets": _ml_scorer(MultilayerPerceptronClassifier(layers=[p, 128, 64, 2], maxIter=100, seed=seed)),
         "KNN": _fit_knn(k),
         "LDA": lambda train: (lambda test: lda_classify(train, test), None),

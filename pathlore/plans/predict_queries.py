@@ -64,6 +64,18 @@ def lda_classify(spark, sf):
     return out(R.decision(R.lda_classify(train, test)).drop("vec"))
 
 
+@query("kernel_svm")
+def kernel_svm(spark, sf):
+    train, test = R.split(_data(spark, sf))
+    return out(R.decision(R.kernel_svm_fit(train)[0](test)).drop("vec"))
+
+
+@query("adaboost")
+def adaboost(spark, sf):
+    train, test = R.split(_data(spark, sf))
+    return out(R.decision(R.adaboost_fit(train, 10)[0](test)).drop("vec"))
+
+
 @query("decision", f"SELECT event_id AS id, {rnd('value / 1000')} AS score, CAST(CASE WHEN 1 - value / 1000 >= 0.95 THEN 0 ELSE 1 END AS BIGINT) AS prediction FROM events")
 def decision(spark, sf):
     e = table(spark, sf, "events").select(F.col("event_id").alias("id"), (F.col("value") / 1000).alias("score"))

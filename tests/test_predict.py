@@ -59,6 +59,57 @@ def test_separable_data_is_learned_by_all(spark):
     assert top.feature == "a"
 
 
+def test_kernel_svm_finds_a_ring(spark):
+    """A ring around a disc: no plane parts them, the kernel does, and its probabilities fit the rates."""
+    rng = np.random.default_rng(2)
+    turn, far = rng.uniform(0, 2 * np.pi, 600), np.where(np.arange(600) % 2, rng.uniform(0, 1, 600), rng.uniform(1.3, 2.3, 600))
+    rows = [(i, i % 2, [float(far[i] * np.cos(turn[i])), float(far[i] * np.sin(turn[i]))]) for i in range(600)]
+    data = spark.createDataFrame(rows, "id long, label long, vec array<double>").coalesce(1)
+    algos = R.algorithms(2)
+    report, _ = R.train_eval_all(data, {n: algos[n] for n in ("SVM", "Kernel SVM")})
+    got = {r.algorithm: r for r in report.collect()}
+    assert got["Kernel SVM"].accuracy > 0.93 > 0.75 > got["SVM"].accuracy and got["Kernel SVM"].auc > 0.97
+    scores = R.kernel_svm_fit(data)[0](data)
+    assert scores.columns == ["id", "label", "vec", "score"] and scores.where("score < 0 or score > 1").count() == 0
+    assert abs(scores.agg(F.avg("score")).first()[0] - 0.5) < 0.1
+
+
+def test_adaboost_rounds_equal_brute_force(spark):
+    """Votes and scores against stumps found by trying every feature and every midpoint."""
+    rng = np.random.default_rng(4)
+    x = np.stack([rng.permutation(26) for _ in range(3)], axis=1).astype(float)
+    y = ((x[:, 0] > 8) & (x[:, 1] < 19) ^ (rng.random(26) < 0.15)).astype(int)
+    w, votes, total = np.full(26, 1 / 26), [], np.zeros(26)
+    for _ in range(4):
+        best = None
+        for f in range(3):
+            for cut in np.arange(0.5, 25):
+                left = x[:, f] <= cut
+                gini = 0.0
+                for side in (left, ~left):
+                    one = w[side & (y == 1)].sum() / w[side].sum()
+                    gini += w[side].sum() * 2 * one * (1 - one)
+                if best is None or gini < best[0] - 1e-12:
+                    best = gini, left
+        left = best[1]
+        guess = np.empty(26, dtype=int)
+        for side in (left, ~left):
+            guess[side] = w[side & (y == 1)].sum() > w[side & (y == 0)].sum()
+        error = w[guess != y].sum() / w.sum()
+        votes.append(np.log((1 - error) / error))
+        total += votes[-1] * (2 * guess - 1)
+        w = np.where(guess != y, w * (1 - error) / error, w)
+        w /= w.sum()
+    data = spark.createDataFrame([(i, int(y[i]), x[i].tolist()) for i in range(26)], "id long, label long, vec array<double>").coalesce(1)
+    score, found = R.adaboost_fit(data, rounds=4, depth=1)
+    assert [v for v, _ in found] == pytest.approx(votes)
+    got = score(data).orderBy("id").toPandas()["score"].to_numpy()
+    assert got == pytest.approx(1 / (1 + np.exp(-total / sum(votes))))
+    sure = data.select("id", "label", F.array(F.col("label").cast("double")).alias("vec"))
+    score, found = R.adaboost_fit(sure, rounds=4, depth=1)
+    assert len(found) == 1 and R.decision(score(sure)).where("prediction <> label").count() == 0
+
+
 def test_metrics_edges(spark):
     rows = [(1, 1, 0.9), (0, 1, 0.9), (0, 0, 0.1), (1, 0, 0.2)]
     m = R.metrics(spark.createDataFrame(rows, "label long, prediction long, score double")).first()
