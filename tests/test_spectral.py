@@ -144,3 +144,22 @@ def test_corr_sparse_in_any_blocks(spark, block, slice_cells):
     got = corr_matrix(df, "v", "o", block=block, slice_cells=slice_cells).toPandas()
     assert len(got) == 21
     assert got.rho.to_numpy() == pytest.approx(np.corrcoef(dense.T)[got.u, got.v], abs=1e-9)
+
+
+def test_corr_pairs_are_not_joined(spark):
+    """A join of the pairs was planned as a broadcast from the size of the input."""
+    rng = np.random.default_rng(8)
+    dense = rng.integers(0, 4, (9, 40)).astype(float)  # observation x variable
+    dense[:, 7] = 2.0
+    df = spark.createDataFrame([(f"v{j:02d}", i, float(dense[i, j])) for i in range(9) for j in range(40) if dense[i, j]], "v string, o int, value double")
+    got = corr_matrix(df, "v", "o", block=11)
+    assert "Join" not in got._jdf.queryExecution().toString()
+    got, sliced = (d.toPandas().sort_values(["u", "v"], ignore_index=True) for d in (got, corr_matrix(df, "v", "o", block=11, slice_cells=30)))
+    assert len(got) == 780 and (got.u < got.v).all()
+    assert (got.rho.isna() == ((got.u == "v07") | (got.v == "v07"))).all()
+    i, j = got.u.str[1:].astype(int), got.v.str[1:].astype(int)
+    want = np.corrcoef(np.delete(dense, 7, axis=1).T)
+    keep = got.rho.notna()
+    at = lambda k: (k - (k > 7))[keep].to_numpy()
+    assert got.rho[keep].to_numpy() == pytest.approx(want[at(i), at(j)])
+    assert sliced.rho.to_numpy() == pytest.approx(got.rho.to_numpy(), nan_ok=True)
