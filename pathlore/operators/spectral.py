@@ -19,6 +19,7 @@ from pyspark.sql.types import ArrayType, DoubleType
 
 from pathlore.functions.ordered import DEFAULT, SkewPolicy, value_ranks
 from pathlore.operators.stats import chi2_contingency, contingency, corr_matrix, ttest_student
+from pathlore.session import cut_lineage
 
 MAX_FEATURES = 4000
 _SPREAD = 64
@@ -194,6 +195,35 @@ def pca(vectors: DataFrame, names: list | None = None, scaled: bool = True, vec:
     return Pca(names or list(range(len(mean))), n, mean, scale, np.maximum(values, 0.0), loadings)
 
 
+def variables_pca(matrix: DataFrame, pc: int, variable: str = "user_id", observation: str = "feature", value: str = "value") -> DataFrame:
+    """Loadings (pc, eigenvalue, feature, loading) of component ``pc`` where variables are many and observations few.
+
+    The components of standardised variables, as by `pca`, from the other side: the observations'
+    cross products have the same eigenvalues, and a variable's loading is its own column times their
+    eigenvector. The driver holds one matrix of observations (``MAX_FEATURES`` at most), and the
+    variables stay on Spark. The largest loading is positive; the smallest variable decides ties (to 9 digits).
+    """
+    names = feature_names(matrix, observation)
+    n = len(names)
+    rows = cut_lineage(to_vectors(matrix, names, variable, observation, value))
+    total = F.aggregate("vec", F.lit(0.0), lambda a, x: a + x)
+    rows = rows.withColumn("_m", total / n)
+    rows = rows.withColumn("_v", F.aggregate("vec", F.lit(0.0), lambda a, x: a + (x - F.col("_m")) * (x - F.col("_m"))) / n)
+    scale = F.when(F.col("_v") > 1e-24, F.sqrt("_v")).otherwise(1.0)
+    rows = rows.withColumn("_s", scale).select(variable, F.transform("vec", lambda x: (x - F.col("_m")) / F.col("_s")).alias("vec"))
+    values, sides = _eigh(_gram(rows, "vec", np.zeros(n)) / (n - 1))
+    if not 1 <= pc <= n or values[pc - 1] <= 1e-12 * max(values[0], 1e-300):
+        raise ValueError(f"component {pc} has no variance")
+    weights = sides[:, [pc - 1]] / np.sqrt(values[pc - 1] * (n - 1))
+    found = _apply(rows, "vec", "_l", np.zeros(n), np.ones(n), weights)
+    found = cut_lineage(found.select(F.col(variable).alias("feature"), F.get("_l", F.lit(0)).alias("loading")))
+    largest = found.agg(F.min(F.struct((-F.round(F.abs("loading"), 9)).alias("a"), "feature", "loading")).alias("t")).first()["t"]
+    sign = -1.0 if largest["loading"] < 0 else 1.0
+    return found.select(
+        F.lit(pc).cast("long").alias("pc"), F.lit(float(values[pc - 1])).alias("eigenvalue"), "feature", (sign * F.col("loading")).alias("loading")
+    )
+
+
 def _apply(vectors: DataFrame, vec: str, out: str, offset: np.ndarray, scale: np.ndarray, weights: np.ndarray) -> DataFrame:
     """out = ((vec - offset) / scale) @ weights, one matrix product per Arrow batch."""
     shared = vectors.sparkSession.sparkContext.broadcast((offset, scale, weights))

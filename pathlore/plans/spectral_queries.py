@@ -240,21 +240,14 @@ def corr_distance(spark, sf):
     return out(d.drop("rho"))
 
 
-def _users_as_variables(spark, sf):
-    m = _user_moves(spark, sf)
-    flipped = X.transpose_view(m).select(F.col("user_id").alias("move"), F.col("feature").alias("user_id"), "value")
-    names = X.feature_names(flipped, "user_id")
-    return m, X.pca(cut_lineage(X.to_vectors(flipped, names, "move", "user_id")), names)
-
-
 def _result(m):
     return m.select("user_id").distinct().withColumn("result", F.when(F.col("user_id") % 3 == 0, 1).otherwise(0))
 
 
 @query("pc_sign_vs_result")
 def pc_sign_vs_result(spark, sf):
-    m, model = _users_as_variables(spark, sf)
-    return out(X.pc_sign_vs_result(model.table(spark), _result(m), 2)[0])
+    m = cut_lineage(_user_moves(spark, sf))
+    return out(X.pc_sign_vs_result(X.variables_pca(m, 2), _result(m), 2)[0])
 
 
 @query("pc_group_test")

@@ -163,3 +163,20 @@ def test_corr_pairs_are_not_joined(spark):
     at = lambda k: (k - (k > 7))[keep].to_numpy()
     assert got.rho[keep].to_numpy() == pytest.approx(want[at(i), at(j)])
     assert sliced.rho.to_numpy() == pytest.approx(got.rho.to_numpy(), nan_ok=True)
+
+
+def test_many_users_as_variables(spark, monkeypatch):
+    rng = np.random.default_rng(4)
+    x = rng.integers(0, 5, (9, 60)).astype(float)  # moves x users
+    x[:, 3] = 1.0
+    df = spark.createDataFrame([(j, f"m{i}", float(x[i, j])) for i in range(9) for j in range(60) if x[i, j]], "user_id long, feature string, value double")
+    monkeypatch.setattr(X, "MAX_FEATURES", 9)  # one matrix of users would be refused
+    sd = x.std(axis=0)
+    z = (x - x.mean(axis=0)) / np.where(sd > 0, sd, 1)
+    values, vecs = X._eigh(z.T @ z / 8)
+    for pc in (1, 2):
+        got = X.variables_pca(df, pc).toPandas().sort_values("feature")
+        assert got.loading.to_numpy() == pytest.approx(vecs[:, pc - 1], abs=1e-9)
+        assert got.eigenvalue.iloc[0] == pytest.approx(values[pc - 1])
+    with pytest.raises(ValueError):
+        X.variables_pca(df, 9)
