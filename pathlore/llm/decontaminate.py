@@ -32,14 +32,15 @@ BROADCAST_ROWS, BROADCAST_BYTES = 200_000, 16_000_000  # larger sides are shuffl
 
 def _normal(text: Column, placeholders: bool) -> Column:
     """Template words, or the values at the same places, joined by white space."""
-    text = F.regexp_replace(text, r"(?<=\d)(?=\p{L})", " ")
+    # each pattern begins with a character that is rare in texts; borders of white space are left to the split
+    text = F.regexp_replace(text, r"\d(?=\p{L})", "$0 ")
     if placeholders:
-        text = F.regexp_replace(text, r"(?<=[^.!?:\s]\s)\p{Lu}\p{L}*", NAME)
+        text = F.regexp_replace(text, r"(?=\p{Lu})(?<=[^.!?:\s]\s)\p{Lu}\p{L}*", NAME)
     text = F.regexp_replace(F.lower(text), r"[^\p{L}\p{M}\p{N}\s\x01]+", "")
     if placeholders:
-        text = F.regexp_replace(text, rf"(?<=\d\s)(?:{'|'.join(UNITS)})(?!\S)", UNIT)
-        text = F.regexp_replace(text, r"(?<!\S)\d\S*", NUMBER)
-    return F.regexp_replace(text, r"^\s+|\s+$", "")
+        text = F.regexp_replace(text, rf"(\d\s)(?:{'|'.join(UNITS)})(?!\S)", "$1" + UNIT)
+        text = F.regexp_replace(text, r"(?=\d)(?<!\S)\d\S*", NUMBER)
+    return text
 
 
 def template(text: Column) -> Column:
@@ -134,7 +135,9 @@ def contaminated(
 
     # compare word by word along each shift
     both = docs.join(hits, "doc").join(_sized(items, "item_text"), "item")
-    both = both.withColumns({"words": template(F.col("text")), "vals": values(F.col("text"))})
+    # written, as the words would be made again for every place that is compared
+    both = both.select("doc", "item", "shift", "item_words", "item_values", template(F.col("text")).alias("words"), values(F.col("text")).alias("vals"))
+    both = cut_lineage(both)
     place = F.sequence(F.lit(0), F.size("item_words") - 1)
     at = lambda i: F.col("shift") + i
     first = lambda i: (i == 0) & (F.get("vals", at(i)) == F.get("item_values", i))

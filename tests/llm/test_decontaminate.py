@@ -126,3 +126,13 @@ def test_known_leaks(spark, sf):
     got = {(r.doc_id, r.item_id) for r in contaminated(docs, bench).collect()}
     assert planted <= got
     assert len(got - planted) <= 3
+
+
+def test_words_are_made_once_per_text(spark):
+    """They were made again for every place of an item that is compared."""
+    text = "Please work out how many red apples the tall farmer sold at the market on that day"
+    docs = spark.createDataFrame([(1, "so " + text), (2, "nothing here")], "doc_id long, text string")
+    items = spark.createDataFrame([(7, text)], "item_id long, text string")
+    found = contaminated(docs, items)
+    assert "regexp_replace" not in found._jdf.queryExecution().optimizedPlan().toString()
+    assert [(r.doc_id, r.item_id) for r in found.collect()] == [(1, 7)]
