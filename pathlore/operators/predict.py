@@ -90,15 +90,22 @@ def knn_classify(train: DataFrame, test: DataFrame, k: int = 7, block: int | Non
         if not len(a) or not len(b):
             return pd.DataFrame({"id": [], "near": [], "label": [], "dist": []})
         x, y = np.stack(a["vec"].to_numpy()), np.stack(b["vec"].to_numpy())
-        size = max(1, 8_000_000 // x.size)  # test rows whose differences fit about 64 MB
+        size = max(1, 4_000_000 // len(x))  # test rows whose products fit about 32 MB
+        width, near_most = max(1, 8_000_000 // x.shape[1]), min(k, len(x))
+        xx, yy = (x * x).sum(axis=1), (y * y).sum(axis=1)
         parts = []
         for s in range(0, len(y), size):
-            d = ((y[s : s + size, None, :] - x[None, :, :]) ** 2).sum(axis=2)
-            order = np.argsort(d, axis=1, kind="stable")[:, :k]
-            rows = np.repeat(b["id"].to_numpy()[s : s + size], order.shape[1])
-            flat = order.ravel()
-            near, label = a["id"].to_numpy()[flat], a["label"].to_numpy()[flat].astype("int64")
-            parts.append(pd.DataFrame({"id": rows, "near": near, "label": label, "dist": np.take_along_axis(d, order, 1).ravel()}))
+            # products tell which rows may be among the nearest; their distances are then summed without cancellation
+            rough = yy[s : s + size, None] + xx[None, :] - 2 * (y[s : s + size] @ x.T)
+            limit = np.partition(rough, near_most - 1, axis=1)[:, near_most - 1] + 1e-10 * (xx.max() + yy[s : s + size])
+            i, j = np.nonzero(~(rough > limit[:, None]))
+            d = np.concatenate([((y[s + i[c : c + width]] - x[j[c : c + width]]) ** 2).sum(axis=1) for c in range(0, len(i), width)])
+            by = np.lexsort((j, d, i))
+            i, j, d = i[by], j[by], d[by]
+            kept = np.arange(len(i)) - np.searchsorted(i, i) < k
+            i, j, d = i[kept], j[kept], d[kept]
+            near, label = a["id"].to_numpy()[j], a["label"].to_numpy()[j].astype("int64")
+            parts.append(pd.DataFrame({"id": b["id"].to_numpy()[s + i], "near": near, "label": label, "dist": d}))
         return pd.concat(parts)
 
     found = left.unionByName(right).groupBy("_t", "_q").applyInPandas(nearest, f"id {kind}, near {kind}, label long, dist double")

@@ -156,3 +156,16 @@ def test_code_similarity_over_blocks(spark, sf, block, slices):
 def test_code_tokens(spark):
     df = spark.createDataFrame([("a  b\n\nc\td  \n",), ("one",), ("",)], "upload string")
     assert [r.tokens for r in Y.code_tokens(df).collect()] == [["c", "d"], [], []]
+
+
+def test_knn_keeps_order_of_copies_and_far_vectors(spark):
+    """Rough distances by products choose candidates only: far from the origin all digits are lost in them."""
+
+    rng = np.random.default_rng(6)
+    x = rng.integers(0, 3, (60, 4)) + np.array([1e8, 0, 0, 0])
+    rows = [(i, i % 2, [float(v) for v in x[i % 45]]) for i in range(60)]
+    df = spark.createDataFrame(rows, "id long, label long, vec array<double>")
+    got = {r.id: r.score for r in R.knn_classify(df.where("id % 4 <> 0"), df.where("id % 4 = 0"), 5, block=20).collect()}
+    for i in range(0, 60, 4):
+        near = sorted((sum((a - b) ** 2 for a, b in zip(rows[i][2], v)), j, y) for j, y, v in rows if j % 4)[:5]
+        assert got[i] == pytest.approx(sum(y for _, _, y in near) / 5)
