@@ -169,3 +169,20 @@ def test_knn_keeps_order_of_copies_and_far_vectors(spark):
     for i in range(0, 60, 4):
         near = sorted((sum((a - b) ** 2 for a, b in zip(rows[i][2], v)), j, y) for j, y, v in rows if j % 4)[:5]
         assert got[i] == pytest.approx(sum(y for _, _, y in near) / 5)
+
+
+def test_every_test_row_is_scored_once(spark, sf):
+    seen = spark.sparkContext.accumulator(0)
+
+    def fit(train):
+        def rows(batches):
+            for b in batches:
+                seen.add(b.num_rows)
+                yield b
+
+        return lambda test: test.mapInArrow(rows, test.schema).withColumn("score", F.lit(0.7)), len(train.columns)
+
+    data = _data(spark, sf)
+    report, models = R.train_eval_all(data, {"b": fit, "a": fit})
+    assert [r["algorithm"] for r in report.orderBy("algorithm").collect()] == ["a", "b"] and models == {"b": 3, "a": 3}
+    assert seen.value == 2 * R.split(data)[1].count()
