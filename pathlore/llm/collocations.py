@@ -27,8 +27,8 @@ from pathlore.llm.spans import Texts, mix, pack, unpack, words
 from pathlore.session import cut_lineage
 
 UNKNOWN = "und"
-SLICE_BYTES = 4_000_000  # text that is counted at once
-BUCKET_BYTES = 16_000_000  # text whose phrases are added up in one group
+SLICE_BYTES = 2_000_000  # text that is counted at once
+BUCKET_BYTES = 4_000_000  # text whose phrases are added up in one group
 OFTEN, HELD = 32, 200_000  # count of a tuple in a chunk from which its task adds it up, and how many it holds
 BIT_LIMIT = 26  # sets are known to the tasks as 2 ** 26 bits at most
 SLICES = 64

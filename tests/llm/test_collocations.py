@@ -2,6 +2,7 @@ from __future__ import annotations
 
 import random
 import re
+import tracemalloc
 from collections import Counter
 
 import numpy as np
@@ -119,3 +120,16 @@ def test_empty(spark):
     assert run(spark, []) == [] and run(spark, [("en", None), (None, ""), (None, "a b")]) == []
     with pytest.raises(ValueError):
         run(spark, [], words=4)
+
+
+def test_counting_a_chunk_takes_bounded_memory():
+    rng = np.random.default_rng(0)
+    vocabulary = np.array([f"w{i:05d}" for i in range(30000)])
+    texts = [" ".join(vocabulary[rng.integers(0, 30000, 2000)]) for _ in range(700)]
+    batch = pa.RecordBatch.from_pydict({"lang": pa.array(np.arange(700) % 4, pa.int64()), "text": texts})
+    tracemalloc.start()
+    for chunk in collocations._chunks(batch):
+        collocations._summed(*collocations._words_and_pairs(*chunk))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 120_000_000  # 161 MB with slices of 4 MB
