@@ -56,6 +56,7 @@ def random_walks(
     q: float = 1.0,
     seed: int = 0,
     policy: SkewPolicy = DEFAULT,
+    row_arcs: int = 512,
 ) -> DataFrame:
     """Weighted second-order walks: (key, start, walk, path).
 
@@ -63,7 +64,9 @@ def random_walks(
     node has neighbours, so a step is an equi-join on (node, slot) that meets about two rows even
     at a hub. A step back, near or away weighs 1/p, 1 and 1/q. For p < 1 the extra weight of the
     way back is drawn first, from the share of that edge; what remains uses rejection, which is
-    only needed for p > 1 or q other than 1, and tries again until a step is kept.
+    only needed for p > 1 or q other than 1, and tries again until a step is kept. Without
+    rejection the keyed graphs of at most ``row_arcs`` arcs are walked in a row each, by the same
+    draws; no walk of theirs is shuffled. The walks are written once, as models read them often.
     """
     key = key or []
     arcs = _arcs(edges.where("w > 0"), key).groupBy(*key, "a", "b").agg(F.sum("w").alias("w"))
@@ -72,6 +75,14 @@ def random_walks(
     placed = running_totals(arcs, [*key, "a"], ["b"], {"cum": "w"}, policy).join(size, [*key, "a"])
     lo, hi = (F.col("cum") - F.col("w")) / F.col("tot"), F.col("cum") / F.col("tot")
     placed = placed.select(*key, "a", "b", "deg", (F.col("w") / F.col("tot")).alias("share"), lo.alias("lo"), F.when(F.col("cum") >= F.col("tot") * (1 - 1e-12), 1.0).otherwise(hi).alias("hi"))
+    rejecting = p > 1 or q != 1
+    done = None
+    if key and not rejecting:
+        large = cut_lineage(arcs.groupBy(*key).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > row_arcs).select(*key))
+        if large.isEmpty():
+            return cut_lineage(_walks_in_rows(placed, key, length, per_node, p, seed))
+        done = _walks_in_rows(placed.join(large, key, "left_anti"), key, length, per_node, p, seed)
+        arcs, placed, size = (d.join(large, key, "left_semi") for d in (arcs, placed, size))
     last = F.least(F.floor(F.col("hi") * F.col("deg")), F.col("deg") - 1)
     slots = placed.select(*key, F.col("a").alias("cur"), "b", "lo", "hi", F.explode(F.sequence(F.floor(F.col("lo") * F.col("deg")), last)).alias("slot"))
     slots = cut_lineage(slots)
@@ -80,7 +91,6 @@ def random_walks(
     walkers = walkers.select("*", F.col("start").alias("cur"), F.lit(None).cast(dict(arcs.dtypes)["a"]).alias("prev"), F.array("start").alias("path"))
     near = arcs.select(*key, F.col("a").alias("prev"), F.col("b"), F.lit(True).alias("_near"))
     shares = cut_lineage(placed.select(*key, F.col("a").alias("cur"), F.col("b").alias("prev"), "share")) if p < 1 else None
-    rejecting = p > 1 or q != 1
     top = max(1.0, 1 / q)
 
     def propose(w: DataFrame, step: int, attempt: int) -> DataFrame:
@@ -115,11 +125,42 @@ def random_walks(
         walkers = moved.select(*key, "start", "walk", F.col("b").alias("cur"), F.col("cur").alias("prev"), F.array_append("path", F.col("b")).alias("path"))
         if step % 4 == 0:
             walkers = cut_lineage(walkers)
-    return walkers.select(*key, "start", "walk", "path")
-
-
-def walk_embedding(walks: DataFrame, dim: int = 64, window: int = 8, seed: int = 0, partitions: int = 1) -> tuple[DataFrame, Word2VecModel]:
-    """Word2Vec over the walks: (node, vec) and the model."""
+    walks = walkers.select(*key, "start", "walk", "path")
+    return cut_lineage(walks if done is None else walks.unionByName(done))
+
+
+def _walks_in_rows(placed: DataFrame, key: list[str], length: int, per_node: int, p: float, seed: int) -> DataFrame:
+    """Walks of small graphs: the arcs of a graph are a map in one row, a walk is folded over its draws."""
+    ways = placed.groupBy(*key, "a").agg(F.sort_array(F.collect_list(F.struct("hi", "b", "share"))).alias("to"))
+    graphs = ways.groupBy(*key).agg(F.map_from_entries(F.collect_list(F.struct("a", "to"))).alias("ways"))
+    walkers = graphs.select(*key, "ways", F.explode(F.map_keys("ways")).alias("start"))
+    walkers = walkers.select("*", F.explode(F.sequence(F.lit(1), F.lit(per_node))).alias("walk"))
+
+    def draw(step: Column) -> Column:
+        named = [F.col(k) for k in key] + [F.col("start"), F.col("walk"), step, F.lit(0), F.lit(seed)]
+        back = _uniform(*named, F.lit("back")) if p < 1 else F.lit(None).cast("double")
+        return F.struct(_uniform(*named).alias("u"), back.alias("back"))
+
+    def move(path: Column, drawn: Column) -> Column:
+        to = F.element_at("ways", F.element_at(path, -1))
+        b = F.get(F.filter(to, lambda way: drawn["u"] < way["hi"]), F.lit(0))["b"]
+        if p < 1:
+            prev = F.get(path, F.size(path) - 2)  # null before the second step
+            extra = (1 / p - 1) * F.get(F.filter(to, lambda way: way["b"] == prev), F.lit(0))["share"]
+            b = F.when(drawn["back"] < extra / (1 + extra), prev).otherwise(b)
+        return F.concat(path, F.array(b))
+
+    steps = F.slice(F.sequence(F.lit(0), F.lit(length - 1)), 2, length)
+    path = F.aggregate(F.transform(steps, draw), F.array("start"), move)
+    return walkers.select(*key, "start", "walk", path.alias("path"))
+
+
+def walk_embedding(
+    walks: DataFrame, dim: int = 64, window: int = 8, seed: int = 0, partitions: int | None = None, task_walks: int = 500_000
+) -> tuple[DataFrame, Word2VecModel]:
+    """Word2Vec over the walks: (node, vec) and the model. A task trains on ``task_walks`` walks, unless
+    ``partitions`` is given; their vectors are averaged."""
+    partitions = partitions or max(1, -(-walks.count() // task_walks))
     words = walks.select(F.transform("path", lambda n: n.cast("string")).alias("_words"))
     model = Word2Vec(vectorSize=dim, windowSize=window, minCount=1, seed=seed, numPartitions=partitions, inputCol="_words", outputCol="_v").fit(words)
     return model.getVectors().select(F.col("word").alias("node"), vector_to_array("vector").alias("vec")), model
