@@ -30,7 +30,8 @@ from pathlore.session import cut_lineage
 HASHES = 64
 LEAF, GRAMS = 1024, 500_000  # sets and n-grams of a node that is compared exhaustively
 FEW = 8  # sets compared exhaustively whatever their size
-STEP = 2  # levels between two looks at the sizes of a tree's nodes
+FIRST = 4  # levels of a tree before the first look at the sizes of its nodes
+STEP = 2  # levels between two further looks
 DEPTH = 64  # levels after which nodes are compared block by block instead of followed
 CENTRES = 3  # sets that all blocks of a node share
 TASK_ROWS, TASK_GRAMS = 10_000, 1_000_000  # of a task that compares several nodes
@@ -115,13 +116,16 @@ def _descend(rows: DataFrame, roots: list[int] | None, second: float, levels: in
 def _open(rows: DataFrame, most: int) -> tuple[DataFrame, DataFrame]:
     """Rows of nodes that hold several components, with the node's size and whether it is small; size and centres of large nodes.
 
-    ``most`` is about the number of ``rows``.
+    Of small nodes with the same sets one is kept, as they are compared exhaustively. ``most`` is about the number of ``rows``.
     """
     centre = lambda salt: F.min(F.struct(F.xxhash64("key", F.lit(salt)), "key", "n", "label"))
+    content = [F.bit_xor(F.xxhash64("key", F.lit(salt))).alias(f"content{salt}") for salt in range(2)]
     sizes = rows.groupBy("node").agg(
-        F.count(F.lit(1)).alias("sets"), F.sum("n").alias("grams"), F.min("label").alias("least"), F.max("label").alias("most")
+        F.count(F.lit(1)).alias("sets"), F.sum("n").alias("grams"), F.min("label").alias("least"), F.max("label").alias("most"), *content
     )
     sizes = sizes.where("least < most").withColumn("small", (F.col("sets") <= FEW) | ((F.col("sets") <= LEAF) & (F.col("grams") <= GRAMS)))
+    same = [F.when(F.col("small"), F.col(f"content{salt}")).otherwise(F.col("node")).alias(f"content{salt}") for salt in range(2)]
+    sizes = sizes.groupBy("sets", "grams", "small", *same).agg(F.min("node").alias("node"))
     held = cut_lineage(in_few_tasks(rows.join(sizes.select("node", "sets", "grams", "small"), "node"), most))
     size = [F.max("sets").alias("sets"), F.max("grams").alias("grams")]
     large = held.where("not small").groupBy("node").agg(*size, F.array(*[centre(s) for s in range(CENTRES)]).alias("centres"))
@@ -315,7 +319,7 @@ def near_duplicates(
     while missed > 1 - recall:
         roots = list(range(used, used + (trees if looked else 1)))
         start = classes.join(labels.withColumnRenamed("node", "key"), "key", "left").withColumn("label", F.coalesce("label", "key"))
-        depth, most = STEP if looked else 1, sets * len(roots)
+        depth, most = FIRST if looked else 1, sets * len(roots)
         rows, groups = _descend(start.select("key", "n", "label", "tokens"), roots, second, depth), None
         while True:
             held, centres = _open(rows, most)

@@ -131,3 +131,13 @@ def test_merged_labels(spark):
     want = dict(map(tuple, components(frame(first + more)).collect()))
     got = dict(map(tuple, merged(labels, frame(between)).collect()))
     assert {k: got.get(k, k) for k in want} == want and all(want.get(k, k) == v for k, v in got.items())
+
+
+def test_small_nodes_of_the_same_sets_are_opened_once(spark):
+    rows = [(node, key, 5, key) for node in (1, 2, 9) for key in (10, 11)]
+    rows += [(3, key, 5, key) for key in (10, 11, 12)] + [(4, 20, 5, 1), (4, 21, 5, 1)]
+    rows += [(node, key, path_join.GRAMS, key) for node in (5, 6) for key in range(30, 40)]  # large: followed along different ways
+    held, large = path_join._open(spark.createDataFrame(rows, "node long, key long, n long, label long"), len(rows))
+    assert sorted((r.node, r.key) for r in held.where("small").collect()) == [(1, 10), (1, 11), (3, 10), (3, 11), (3, 12)]
+    assert sorted(r.node for r in held.where("not small").collect()) == [5] * 10 + [6] * 10
+    assert sorted((r.node, r.sets, r.grams) for r in large.collect()) == [(n, 10, 10 * path_join.GRAMS) for n in (5, 6)]
