@@ -180,3 +180,14 @@ def test_many_users_as_variables(spark, monkeypatch):
         assert got.eigenvalue.iloc[0] == pytest.approx(values[pc - 1])
     with pytest.raises(ValueError):
         X.variables_pca(df, 9)
+
+
+def test_corr_slices_hold_a_quarter_of_the_cells_in_one_block(spark, monkeypatch):
+    from pathlore.operators import stats
+
+    asked = []
+    monkeypatch.setattr(stats, "_corr_sliced", lambda cells, n, blocks, slices: asked.append((n, blocks, slices)))
+    for n in (200, 1000):
+        df = spark.range(4 * n).selectExpr("id % 4 as v", "id div 4 as o", "cast(id % 7 as double) as value")
+        stats.corr_matrix(df, "v", "o", slice_cells=400)
+    assert asked == [(200, 1, 8), (1000, 1, 40)]  # 100 cells a task whatever the number of observations
