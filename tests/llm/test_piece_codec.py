@@ -69,6 +69,17 @@ def test_reset_and_odd_tables(spark, monkeypatch):
     assert encode(same, MODEL).count() == 3
 
 
+def test_query_takes_texts_without_pieces(spark, tmp_path):
+    # the last source byte of an empty list used to end the job with an error
+    from pathlore.llm.queries import QUERIES
+
+    rows = [(1, "two words"), (2, None), (3, ""), (None, "x")]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: (r.n_tokens, r.source_bytes) for r in QUERIES["op4_piece_codec"](spark, str(tmp_path)).collect()}
+    library = sentencepiece.SentencePieceProcessor(model_file=PATH)
+    assert got == {i: (len(library.encode(t or "")), len((t or "").encode())) for i, t in rows}
+
+
 def _trie(keys: dict[bytes, bytes]) -> bytes:
     """A double array for single-byte and two-byte keys, laid out by hand with room for every label."""
     strings = b"".join(v + b"\0" for v in keys.values())
