@@ -41,7 +41,7 @@ def labelled_features(spark, sf):
 
 @query("train_eval_all")
 def train_eval_all(spark, sf):
-    return out(R.train_eval_all(_data(spark, sf), R.algorithms(64, trees=10))[0])
+    return out(R.train_eval_all(_data(spark, sf), R.algorithms(64))[0])
 
 
 @query(

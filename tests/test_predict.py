@@ -186,3 +186,17 @@ def test_every_test_row_is_scored_once(spark, sf):
     report, models = R.train_eval_all(data, {"b": fit, "a": fit})
     assert [r["algorithm"] for r in report.orderBy("algorithm").collect()] == ["a", "b"] and models == {"b": 3, "a": 3}
     assert seen.value == 2 * R.split(data)[1].count()
+
+
+def test_train_eval_all_query_grows_all_trees(spark, tmp_path, monkeypatch):
+    # the query used to ask for ten trees and ten rounds of boosting
+    from pathlore.plans import predict_queries as Q
+
+    rows = [(i, [float((i * k) % 7) for k in range(1, 65)], i % 10) for i in range(40)]
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").write.parquet(f"{tmp_path}/embeddings.parquet")
+    given = []
+    monkeypatch.setattr(Q.R, "train_eval_all", lambda data, algos: given.append((data, algos)) or (spark.range(1), {}))
+    Q.train_eval_all(spark, str(tmp_path))
+    (data, algos), = given
+    assert data.count() == 40 and list(algos) == list(R.algorithms(64))
+    assert algos["Random Forest"](data)[1].getNumTrees == R.algorithms(64)["Random Forest"](data)[1].getNumTrees == 200
