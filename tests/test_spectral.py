@@ -191,3 +191,30 @@ def test_corr_slices_hold_a_quarter_of_the_cells_in_one_block(spark, monkeypatch
         df = spark.range(4 * n).selectExpr("id % 4 as v", "id div 4 as o", "cast(id % 7 as double) as value")
         stats.corr_matrix(df, "v", "o", slice_cells=400)
     assert asked == [(200, 1, 8), (1000, 1, 40)]  # 100 cells a task whatever the number of observations
+
+
+def test_corr_many_variables_are_copied_to_few_blocks(spark, monkeypatch):
+    # 70 variables in blocks of 2 used to be copied 35 times each
+    from pathlore.functions import ordered
+
+    rng = np.random.default_rng(8)
+    dense = rng.integers(0, 3, size=(70, 7)).astype(float)
+    dense[5] = 2.0  # no correlation with a constant
+    rows = [(int(v), int(o), float(dense[v, o])) for v, o in zip(*np.nonzero(dense))]
+    df = spark.createDataFrame(rows, "v long, o long, value double")
+    seen, copies = [], ordered.blocked_pairs
+    monkeypatch.setattr(ordered, "blocked_pairs", lambda d, key, blocks: seen.append(blocks) or copies(d, key, blocks))
+    got = {(r.u, r.v): r.rho for r in corr_matrix(df, "v", "o", block=2).collect()}
+    assert seen == [ordered.MANY_BLOCKS]
+    with np.errstate(invalid="ignore"):
+        want = np.corrcoef(dense)
+    assert set(got) == {(u, v) for u in range(70) for v in range(u + 1, 70)} and len(got) == 70 * 69 // 2
+    for (u, v), rho in got.items():
+        assert rho is None if np.isnan(want[u, v]) else abs(rho - want[u, v]) < 1e-12
+
+
+@pytest.mark.parametrize("rows,block,cells,want", [(9_000, 1024, 1, 9), (90_000, 1024, 1, 16), (540_000, 1024, 1, 33), (5, 1024, 1, 1), (0, 1024, 1, 1), (90_000, 1024, 900, 81)])
+def test_blocks_of_pairs_grow_slower_than_rows(rows, block, cells, want):
+    from pathlore.functions.ordered import pair_blocks
+
+    assert pair_blocks(rows, block, cells, 2_000_000) == want
